@@ -27,6 +27,19 @@ SELECT r.doc_id, any_value(n) AS n_shingles, min(other) AS component_id, r.doc_i
 FROM reach r JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * v.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1}
+    return {"op1_minhash_near_dedup": OP1, "op4_exact_top_k": OP4}

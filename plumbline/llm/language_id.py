@@ -79,19 +79,25 @@ def document_probabilities(model: dict[str, np.ndarray], texts: list[bytes]) ->
     return totals / np.maximum(lengths, 1)[:, None]
 
 
+def _portions(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Consecutive texts of about a million bytes together."""
+    portion, held = [], 0
+    for text in texts:
+        portion.append((text or "").encode("utf-8", "replace"))
+        held += len(portion[-1])
+        if held >= 1_000_000:
+            yield portion
+            portion, held = [], 0
+    if portion:
+        yield portion
+
+
 def _scored(model, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weights = model.value
         for pdf in batches:
             langs, scores = [], []
-            texts = pdf["text"].tolist()
-            at = 0
-            while at < len(texts):
-                portion, held = [], 0
-                while at < len(texts) and held < 1_000_000:
-                    portion.append((texts[at] or "").encode("utf-8", "replace"))
-                    held += len(portion[-1])
-                    at += 1
+            for portion in _portions(pdf["text"].tolist()):
                 p = document_probabilities(weights, portion)
                 langs += [names[k] for k in p.argmax(axis=1)]
                 scores += p.max(axis=1).tolist()
@@ -101,6 +107,23 @@ def _scored(model, names: list[str]):
     return run
 
 
+def identified(docs: DataFrame, labelled: DataFrame, least: float, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more."""
+    model, names = fit(labelled, doc_id=doc_id, text=text, lang=lang)
+    if not names:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series) -> pd.Series:
+        scores: list[float] = []
+        for portion in _portions(texts.tolist()):
+            scores += document_probabilities(shared.value, portion).max(axis=1).tolist()
+        return pd.Series(scores, dtype="float64")
+
+    return docs.where(F.col(text).rlike("\\p{L}")).where(best(F.col(text)) >= least)
+
+
 def identify(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Return ``doc_id, held_out, lang_pred, score``, a row for each input row.
 

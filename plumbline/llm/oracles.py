@@ -4,11 +4,11 @@ OP1 = r"""
 WITH RECURSIVE toks AS (
   SELECT doc_id,
          list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                     '[\x20\x09-\x0D]+'), w -> w <> '') AS w
+                     '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM documents),
 shing AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
   FROM toks),
 sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM shing),
 flat AS (SELECT doc_id, unnest(s) AS g FROM shing),
@@ -29,17 +29,50 @@ FROM reach r JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id
 
 OP4 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * v.e[i])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * v.e[i])) AS BIGINT) AS score
   FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5
 """
 
+OP8 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce('=' || lang, '') AS g, coalesce('=' || source, '') AS s FROM documents),
+w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+tri AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) >= 3),
+trig AS (SELECT doc_id, i, array_to_string(w[i:i+2], ' ') AS k FROM tri),
+rep AS (SELECT doc_id, i FROM trig QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, (VALUES (0), (1), (2)) v(o) GROUP BY 1),
+st AS (
+  SELECT w.doc_id, g, s, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         10000 * n_symbols // greatest(word_chars, 1) AS symbol_rate, 10000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate,
+         10000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 100 * word_chars // greatest(n_words, 1) AS word_length FROM st),
+long AS (UNPIVOT (SELECT g, s, symbol_rate, dup_line_rate, repeat_rate, word_length FROM m WHERE NOT base_failed)
+         ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME metric VALUE v),
+binned AS (SELECT g, s, metric, greatest(length(bin(v)) - 6, 0) AS sh, v >> CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS hi FROM long),
+sk AS (SELECT g, s, metric, sh, hi, count(*) AS n FROM binned GROUP BY ALL),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY g, s, metric ORDER BY sh, hi) AS upto, sum(n) OVER (PARTITION BY g, s, metric) AS total,
+               ((hi + 1) << CAST(sh AS BIGINT)) - 1 AS top FROM sk),
+q AS (SELECT g, s, metric, min(CASE WHEN 100 * upto >= 50 * total THEN top END) AS q50, min(CASE WHEN 100 * upto >= 10 * total THEN top END) AS q10 FROM cum GROUP BY ALL),
+f AS (SELECT g, s, metric, q50 + 4 * (q50 - q10) + CASE metric WHEN 'symbol_rate' THEN 400 WHEN 'dup_line_rate' THEN 3000 WHEN 'repeat_rate' THEN 3000 ELSE 400 END AS most FROM q),
+p AS (SELECT g, s, max(CASE WHEN metric = 'symbol_rate' THEN most END) AS a, max(CASE WHEN metric = 'dup_line_rate' THEN most END) AS b,
+             max(CASE WHEN metric = 'repeat_rate' THEN most END) AS c, max(CASE WHEN metric = 'word_length' THEN most END) AS e FROM f GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(symbol_rate <= a AND dup_line_rate <= b AND repeat_rate <= c AND word_length <= e, false) AS kept
+FROM m LEFT JOIN p ON p.g = m.g AND p.s = m.s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op4_exact_top_k": OP4}
+    return {"op1_minhash_near_dedup": OP1, "op4_exact_top_k": OP4, "op8_quality_rules": OP8}

@@ -178,6 +178,17 @@ def _scored(model):
     return run
 
 
+def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are predicted good."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(labelled if labelled is not None else docs, labels, label, doc_id=doc_id, text=text))
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(predict(shared.value, np.array([statistics(t) for t in texts], float).reshape(-1, len(STATISTICS))))
+
+    return docs.where(score(F.col(text)) >= THRESHOLD)
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.html_text import extract_main_text
 from plumbline.llm.language_id import identify
+from plumbline.llm.mixing import labelled_languages, mix
 from plumbline.llm.near_dedup import near_duplicates
 from plumbline.llm.packing import pack
 from plumbline.llm.quality import score_quality
+from plumbline.llm.quality_rules import filter_quality
 from plumbline.llm.sharding import kd_shards
 from plumbline.llm.toxicity import score_toxicity
 from plumbline.llm.vector_search import top_k
 
+#: Target shares of tokens by language.
+LANGUAGE_WEIGHTS = {"en": 0.57, "de": 0.16, "fr": 0.16, "es": 0.11}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -52,5 +57,14 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mix(docs, labelled_languages(docs, table(spark, sf_dir, "labels")), LANGUAGE_WEIGHTS)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_quality(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

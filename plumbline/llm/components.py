@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import checkpointed
 
 
+#: Rows of a task in a round.
+ROWS_A_TASK = 200_000
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id of every node.
 
@@ -21,18 +25,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).where("src <> dst").distinct()
     both = checkpointed(pairs.union(pairs.select("dst", "src")))
+    # few edges need few tasks and files a round
+    tasks = max(1, both.count() // ROWS_A_TASK)
+    both = both.coalesce(tasks)
     state = both.groupBy("src").agg(F.min("dst").alias("near"))
     state = state.select(F.col("src").alias("node"), F.least("src", "near").alias("parent"), F.least("src", "near").alias("grand"))
     while True:
         heard = both.join(state.select(F.col("node").alias("dst"), "grand"), "dst").groupBy("src").agg(F.min("grand").alias("heard"))
-        told = checkpointed(state.join(heard, state.node == heard.src).select("node", "parent", "grand", "heard"))
+        told = checkpointed(state.join(heard, state.node == heard.src).select("node", "parent", "grand", "heard").coalesce(tasks))
         hook = told.groupBy(F.col("parent").alias("root")).agg(F.min("heard").alias("hook"))
         moved = told.join(hook, told.node == hook.root, "left").select(
             "node", "grand", F.least("parent", "grand", "heard", F.coalesce("hook", "parent")).alias("parent")
         )
-        moved = checkpointed(moved)
+        moved = checkpointed(moved.coalesce(tasks))
         above = moved.select(F.col("node").alias("parent"), F.col("parent").alias("grand_now"))
-        state = checkpointed(moved.join(above, "parent").select("node", "parent", F.col("grand_now").alias("grand"), (F.col("grand_now") < F.col("grand")).alias("changed")))
+        state = checkpointed(moved.join(above, "parent").select("node", "parent", F.col("grand_now").alias("grand"), (F.col("grand_now") < F.col("grand")).alias("changed")).coalesce(tasks))
         if not state.where("changed").limit(1).count():
             return state.select("node", F.col("grand").alias("component"))
         state = state.drop("changed")

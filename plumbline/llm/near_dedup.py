@@ -10,8 +10,9 @@
 3. A bucket is not expanded into all its pairs: its best-connected member (the
    hub) is compared with the others, links join components, and only members
    still in different components are compared further: by more hubs while that
-   is cheaper, then pair by pair. Every pair of a bucket is therefore either
-   compared or already known to be connected.
+   links some, then pair by pair, leaving out pairs whose sizes and hashed bitmaps
+   prove too small an intersection. Every pair of a bucket is therefore compared,
+   excluded by proof, or already known to be connected.
 4. A candidate pair is verified sequentially: after each batch of signature
    values the posterior probability (uniform prior) that its similarity
    reaches the threshold is compared with ``MISS``, and the pair is pruned
@@ -29,7 +30,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpointed, small_or_shuffled, stored
@@ -62,7 +63,10 @@ def _family(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return whole[0], whole[1] | np.uint32(1), rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
 
 
-_SIGNED = "doc_id long, digest binary, n_shingles long, sig binary, bands array<long>"
+#: Longs of the bitmap on which a shingle set is hashed; it bounds an intersection from above.
+BITMAP = 32
+
+_SIGNED = "doc_id long, digest binary, n_shingles long, sig binary, bands array<long>, bits array<long>"
 
 
 def minhash(shingles: np.ndarray, shape: tuple[int, int] = SHORT) -> np.ndarray:
@@ -89,6 +93,19 @@ def band_keys(signature: np.ndarray, shape: tuple[int, int] = SHORT) -> np.ndarr
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """The set hashed on ``64 * BITMAP`` bits."""
+    on = np.zeros(64 * BITMAP, np.uint8)
+    on[shingles % np.uint64(64 * BITMAP)] = 1
+    return np.packbits(on).view(np.int64)
+
+
+def _most_common() -> Column:
+    """At most so many shingles of documents a and b agree: a bit that only one of them sets is a shingle of its own."""
+    alone = [sum((F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(BITMAP)), F.lit(0)) for x, y in ("ab", "ba")]
+    return F.least(F.col("n_shingles_a") - alone[0], F.col("n_shingles_b") - alone[1])
+
+
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
@@ -98,10 +115,10 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(shingles):
                 signature = minhash(shingles)
                 sig = (signature[:VERIFY] >> np.uint32(24)).astype(np.uint8).tobytes()
-                rows.append((doc_id, xxh3_128_digest(b" ".join(tokens)), len(shingles), sig, band_keys(signature)))
+                rows.append((doc_id, xxh3_128_digest(b" ".join(tokens)), len(shingles), sig, band_keys(signature), bitmap(shingles)))
             else:
-                rows.append((doc_id, None, 0, None, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "sig", "bands"])
+                rows.append((doc_id, None, 0, None, None, None))
+        yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "sig", "bands", "bits"])
 
 
 @lru_cache(maxsize=None)
@@ -168,21 +185,10 @@ def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
-def _crowd_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _long_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        sets = [shingle_set(words(x)) for x in pdf["text"]]
-        keys = [band_keys(minhash(x, LONG), LONG) for x in sets]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "bands": keys, "shingles": [x.view(np.int64) for x in sets]})
-
-
-def _shared_counts(crowd: DataFrame) -> DataFrame:
-    """doc_id, n_shared: how many of its shingles some other document of the crowd holds too.
-
-    The intersection of two documents of the crowd is at most the smaller count.
-    """
-    each = crowd.select("doc_id", F.explode("shingles").alias("shingle"))
-    common = each.groupBy("shingle").agg(F.count("*").alias("holders")).where("holders > 1")
-    return each.join(common, "shingle", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+        keys = [band_keys(minhash(shingle_set(words(x)), LONG), LONG) for x in pdf["text"]]
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "bands": keys})
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
@@ -229,58 +235,46 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     own = signed.where("digest is not null").join(heads.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
     first = stored(_buckets(own), "buckets")
     crowded = checkpointed(first.where(F.col("n") > WIDE).select("doc_id").distinct())
-    crowd = stored(_only(texts, crowded).mapInPandas(_crowd_sets, "doc_id long, bands array<long>, shingles array<long>"), "crowd")
-    members = first.where(F.col("n") <= WIDE).union(_buckets(crowd))
+    again = _only(texts, crowded).mapInPandas(_long_keys, "doc_id long, bands array<long>")
+    members = first.where(F.col("n") <= WIDE).union(_buckets(again))
     # the hub of a bucket is the member that meets most others over all buckets
-    facts = members.groupBy("doc_id").agg(F.sum("n").alias("score")).join(own.select("doc_id", "n_shingles"), "doc_id")
-    facts = facts.join(_shared_counts(crowd), "doc_id", "left").withColumn("n_shared", F.coalesce("n_shared", "n_shingles"))
-    members = stored(members.join(facts, "doc_id"), "members")
-    labels, links, tested, new_links = None, None, 0, 0
-    left = members
+    scores = members.groupBy("doc_id").agg(F.sum("n").alias("score"))
+    members = stored(members.join(scores, "doc_id"), "members")
+    labels, links, rounds = None, None, 0
     while True:
-        # components so far; a bucket whose members all share one is done
-        if labels is not None:
-            left = (
-                members.where("n > 2")
-                .join(labels, members.doc_id == labels.node, "left")
-                .select("band", *facts.columns, F.coalesce("component", "doc_id").alias("component"))
-            )
+        # a bucket whose members all share a component is done; after the first hub so is a bucket of two
+        if labels is None:
+            left = members.withColumn("component", F.col("doc_id"))
         else:
-            left = members.select("band", *facts.columns, F.col("doc_id").alias("component"))
-        left = checkpointed(left)
-        sizes = left.groupBy("band", "component").agg(F.count("*").alias("m"))
-        open_bands = (
-            sizes.groupBy("band")
-            .agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("parts"))
-            .where("parts > 1")
-            .select("band", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross"))
-        )
-        open_bands = checkpointed(open_bands)
-        cross = open_bands.agg(F.sum("cross")).first()[0]
-        if not cross:
+            left = members.where("n > 2").join(labels, members.doc_id == labels.node, "left").select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
+        left = stored(left, "left")
+        parts = left.groupBy("band", "component").agg(F.count("*").alias("m")).groupBy("band")
+        parts = parts.agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
+        still_open = checkpointed(parts.select("band", "members", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("cross")))
+        size = still_open.agg(F.sum("cross").alias("cross"), F.sum("members").alias("members")).first()
+        if not size.cross:
             break
-        rows = left.join(open_bands.select("band"), "band", "left_semi")
-        exhaustive = tested >= HUB_ROUNDS or tested and (not new_links or cross <= PAIRS_A_ROW * max(1000, left.count()))
-        a, b = (rows.select("band", *(F.col(c).alias(f"{c}_{side}") for c in (*facts.columns, "component"))) for side in "ab")
-        if exhaustive:
-            pairs = a.join(b, "band").where("doc_id_a < doc_id_b")
+        rows = left.join(still_open.select("band"), "band", "left_semi")
+        listed = rounds >= HUB_ROUNDS or rounds and (not new_links or size.cross <= PAIRS_A_ROW * max(1000, size.members))
+        if listed:
+            facts = rows.join(own.select("doc_id", "n_shingles", "bits"), "doc_id")
+            a, b = (facts.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n_shingles", "bits"))) for x in "ab")
+            most = _most_common()
+            pairs = a.join(b, "band").where("doc_id_a < doc_id_b and component_a <> component_b")
+            pairs = pairs.where(100 * most >= PERCENT * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
+            pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
         else:
-            hubs = rows.groupBy("band").agg(F.max(F.struct("score", F.negative("doc_id").alias("minus_id"))).alias("hub"))
-            hubs = checkpointed(hubs.select("band", F.negative("hub.minus_id").alias("doc_id_a")))
-            pairs = b.join(a.join(hubs, ["band", "doc_id_a"]), "band").where("doc_id_a <> doc_id_b")
-        # at most so many shingles in common, and at least so many in the union
-        most = F.least("n_shared_a", "n_shared_b")
-        pairs = pairs.where("component_a <> component_b").where(100 * most >= PERCENT * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
-        pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-        found = _links(pairs, own, texts)
+            order = F.col("score") if not rounds else F.xxhash64("doc_id", F.lit(rounds))
+            hubs = rows.groupBy("band").agg(F.max(F.struct(order.alias("at"), F.negative("doc_id").alias("minus_id"), "component")).alias("hub"))
+            hubs = hubs.select("band", F.negative("hub.minus_id").alias("a"), F.col("hub.component").alias("component_a"))
+            pairs = rows.join(hubs, "band").where("component <> component_a").select("a", F.col("doc_id").alias("b"))
+        found = _links(pairs.distinct(), own, texts)
         new_links = found.count()
         links = found if links is None else links.union(found)
         labels = connected_components(links)
-        tested += 1
-        if exhaustive:
+        rounds += 1
+        if listed:
             break
-        # a hub has met every other member of its bucket
-        members = checkpointed(members.join(hubs.select("band", F.col("doc_id_a").alias("doc_id")), ["band", "doc_id"], "left_anti"))
     if labels is None:
         classes = heads.select("digest", F.col("first_id").alias("component"))
     else:
@@ -295,3 +289,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each group, and one row of each repeated id."""
+    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept"))
+    kept = stored(kept.groupBy("_kept").agg(F.count("*").alias("_rows")), "kept")
+    rows = docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
+    if kept.where("_kept is not null and _rows > 1").limit(1).count():
+        rows = rows.where(F.col(doc_id).isNull()).unionByName(rows.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    return rows

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import stored
-from plumbline.llm.tokens import WordTokenizer, default_path, in_portions
+from plumbline.llm.tokens import default_path, in_portions, word_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
@@ -34,7 +34,7 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = word_tokenizer(path)
         end = np.array([END_ID], "<u4").tobytes()
         for pdf in batches:
             ids, at = pdf["doc_id"].tolist(), 0

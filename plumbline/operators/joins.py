@@ -44,19 +44,31 @@ def anti_join(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
     return df.join(keys, on, "left_anti")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, on: str, left_ts: str, right_ts: str, values: list[str], width: float | None = None) -> DataFrame:
     """Each left row with the latest right values at or before its time (null without one).
 
-    Both sides become one timeline a key: a union, one shuffle on the key and a
-    running last value; no pair of rows is ever formed. Of right rows at the
-    same time the largest values win; a right row comes before a left row at
-    the same time.
+    Both sides become one timeline a key: a union, one shuffle and a running
+    last value; no pair of rows is ever formed. Of right rows at the same time
+    the largest values win; a right row comes before a left row at the same
+    time. With ``width`` (seconds for times, else units) a timeline is cut into
+    slices that are ordered in different tasks, so that one key may hold much of
+    the data; each slice starts from the last value of the slices before it.
     """
+    kind = dict(left.dtypes)[left_ts]
+    number = F.col("_ts").cast("timestamp").cast("double") if kind.startswith("timestamp") else F.col("_ts").cast("double")
+    cut = F.floor(number / width) if width else F.lit(0)
     lefts = left.select(F.col(on), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).alias("_right"))
-    rights = right.select(F.col(on), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), F.struct(*values).alias("_right"))
-    line = Window.partitionBy(on).orderBy("_ts", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    merged = lefts.unionByName(rights).withColumn("_last", F.last("_right", ignorenulls=True).over(line))
-    return merged.where("_side = 1").select("_left.*", *(F.col(f"_last.{v}").alias(v) for v in values))
+    rights = right.where(F.col(on).isNotNull())
+    rights = rights.select(F.col(on), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), F.struct(*values).alias("_right"))
+    line = Window.partitionBy(on, "_slice").orderBy("_ts", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    merged = lefts.unionByName(rights).withColumn("_slice", cut)
+    found = merged.withColumn("_last", F.last("_right", ignorenulls=True).over(line)).where("_side = 1")
+    if width:
+        newest = F.max(F.when(F.col("_side") == 0, F.struct("_ts", "_right")))
+        earlier = Window.partitionBy(on).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = merged.groupBy(on, "_slice").agg(newest.alias("_newest")).select(on, "_slice", F.last("_newest._right", ignorenulls=True).over(earlier).alias("_carried"))
+        found = found.join(carried, [on, "_slice"], "left").withColumn("_last", F.coalesce("_last", "_carried"))
+    return found.select("_left.*", *(F.col(f"_last.{v}").alias(v) for v in values))
 
 
 def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str, width: float, keys: list[str] | None = None) -> DataFrame:

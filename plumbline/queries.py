@@ -362,7 +362,7 @@ def asof_join(spark, d):
     events = t(spark, d, "events")
     left = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     right = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("at"), F.col("value").alias("seen"))
-    return J.as_of_join(left, right, "user_id", "ts", "at", ["seen"]).select("event_id", "seen")
+    return J.as_of_join(left, right, "user_id", "ts", "at", ["seen"], width=7 * 86400).select("event_id", "seen")
 
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate FROM orders o WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_orderdate <= TIMESTAMP '1997-01-01') AND o_orderdate <= TIMESTAMP '1997-01-01'")
@@ -460,3 +460,68 @@ def update_and_delete(spark, d):
 @query("SELECT o_custkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1")
 def upsert_latest(spark, d):
     return R.upsert(t(spark, d, "orders"), ["o_custkey"], "o_orderdate").select("o_custkey", "o_orderdate")
+
+
+# more summaries ----------------------------------------------------------------
+
+
+@query("SELECT event_type, arg_max(ts, value) AS peak_at, max(value) AS peak, max(ts) AS last FROM (SELECT * FROM events ORDER BY ts DESC, event_id) GROUP BY 1")
+def peak_of_series(spark, d):
+    rows = t(spark, d, "events").groupBy("event_type").agg(F.max_by("ts", F.struct("value", F.negative(S.epoch_ms(F.col("ts"))))).alias("peak_at"), F.max("value").alias("peak"), F.max("ts").alias("last"))
+    return rows.select("event_type", "peak_at", "peak", "last")
+
+
+@query("SELECT l_returnflag, count_if(l_quantity > 10) AS value, count_if(l_quantity > 40) AS value2, CASE WHEN count_if(l_quantity > 10) = 0 THEN NULL ELSE round(count_if(l_quantity > 40) / count_if(l_quantity > 10), 6) END AS ratio FROM lineitem GROUP BY 1")
+def ratio_of_filters(spark, d):
+    out = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") > 10).alias("value"), F.count_if(F.col("l_quantity") > 40).alias("value2"))
+    return out.withColumn("ratio", F.round(F.try_divide("value2", "value"), 6))
+
+
+@query(
+    "WITH r AS (SELECT CAST(ts AS DATE) AS day, count(*) AS runs FROM events WHERE event_type <> 'purchase' GROUP BY 1), f AS (SELECT CAST(ts AS DATE) AS day, count(*) AS failures FROM events WHERE event_type = 'purchase' GROUP BY 1)"
+    " SELECT coalesce(r.day, f.day) AS day, coalesce(runs, 0) AS runs, coalesce(failures, 0) AS failures FROM r FULL JOIN f ON r.day = f.day"
+)
+def failure_counts_per_day(spark, d):
+    rows = t(spark, d, "events").groupBy(F.to_date("ts").alias("day"))
+    return rows.agg(F.count_if(F.col("event_type") != "purchase").alias("runs"), F.count_if(F.col("event_type") == "purchase").alias("failures"))
+
+
+@query("SELECT year(o_orderdate) AS year, count(*) AS n, round(avg(lines), 6) AS lines FROM (SELECT o_orderdate, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate) GROUP BY 1")
+def counts_by_year(spark, d):
+    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
+    rows = t(spark, d, "orders").join(lines, "o_orderkey", "left").fillna(0, ["lines"])
+    return rows.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg("lines"), 6).alias("lines"))
+
+
+@query("SELECT r_name FROM region UNION ALL SELECT n_name FROM nation")
+def union_all(spark, d):
+    return t(spark, d, "region").select("r_name").unionAll(t(spark, d, "nation").select("n_name"))
+
+
+@query("SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+def set_difference(spark, d):
+    return t(spark, d, "customer").select("c_nationkey").subtract(t(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 HAVING count(o_orderkey) > 12")
+def related_count_filter(spark, d):
+    counts = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")).where("n > 12")
+    return t(spark, d, "customer").select("c_custkey").join(counts, "c_custkey")
+
+
+@query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
+def ordered_arrays(spark, d):
+    return D.ordered_arrays(t(spark, d, "orders"), "o_custkey", "o_orderdate", ["o_orderkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT conv_id, max(turn) AS turn, count(*) AS messages, count_if(role = 'assistant') AS answers FROM conversations GROUP BY 1")
+def message_counters(spark, d):
+    return t(spark, d, "conversations").groupBy("conv_id").agg(F.max("turn").alias("turn"), F.count("*").alias("messages"), F.count_if(F.col("role") == "assistant").alias("answers"))
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3")
+def top_n_per_group(spark, d):
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return t(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", F.row_number().over(order).alias("r")).where("r <= 3").drop("r")

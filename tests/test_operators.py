@@ -69,9 +69,10 @@ def test_inclusive_status_ranges(spark):
 def test_as_of_ties_and_gaps(spark):
     left = spark.createDataFrame([("a", 1), ("a", 5), ("a", 9), ("b", 3), (None, 4)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 10), ("a", 5, 11), ("a", 5, 12), ("c", 1, 13)], "k string, at int, v int")
-    out = J.as_of_join(left, right, "k", "t", "at", ["v"]).collect()
     want = [("", 4, None), ("a", 1, None), ("a", 5, 12), ("a", 9, 12), ("b", 3, None)]
-    assert sorted((r.k or "", r.t, r.v) for r in out) == want
+    for width in (None, 1, 3, 100):
+        out = J.as_of_join(left, right, "k", "t", "at", ["v"], width).collect()
+        assert sorted((r.k or "", r.t, r.v) for r in out) == want
 
 
 def test_numbers_follow_a_global_order(spark):

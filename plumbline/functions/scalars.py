@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from math import pi
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,3 +147,38 @@ def status_map(pairs: Column) -> Column:
     """A map from an array of (key, value) structs in which later entries overwrite earlier ones."""
     keys = F.array_distinct(F.transform(pairs, lambda p: p["key"]))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)["value"]))
+
+
+def money_parts(text: Column) -> Column:
+    """Amount and currency symbol of a text such as "$1,234.50" or "1234.5 EUR"; null without a number."""
+    number = F.nullif(F.regexp_extract(text, r"-?\d[\d,]*(?:\.\d+)?", 0), F.lit(""))
+    symbol = F.nullif(F.trim(F.regexp_replace(text, r"[-\d,.\s]", "")), F.lit(""))
+    amount = F.regexp_replace(number, ",", "").cast("decimal(38,10)")
+    return F.when(number.isNotNull(), F.struct(amount.alias("value"), symbol.alias("currency")))
+
+
+def first_named(elements: Column, names: list[str]) -> Column:
+    """The value of the first (name, value) struct with an accepted name."""
+    wanted = F.array(*(F.lit(n) for n in names))
+    return F.get(F.filter(elements, lambda e: F.array_contains(wanted, e["name"])), F.lit(0))["value"]
+
+
+def compact_json(*columns: str) -> Column:
+    """A JSON object without null fields."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "true"})
+
+
+def escape_astral(text: Column) -> Column:
+    """Characters beyond the basic plane as <U+XXXXXX>."""
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long")
+    one = lambda c: F.when(code(c) > 0xFFFF, F.concat(F.lit("<U+"), F.lpad(F.hex(code(c)), 6, "0"), F.lit(">"))).otherwise(c)
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def folded_tokens(text: Column) -> Column:
+    """Lower-cased words of a text without combining marks."""
+    @F.pandas_udf("string")
+    def fold(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)))
+
+    return F.filter(F.split(F.lower(fold(text)), r"\s+"), lambda w: w != "")

@@ -20,7 +20,8 @@ Reader = Callable[..., DataFrame]
 
 
 def _csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding: str = "utf-8", **options: Any) -> DataFrame:
-    reader = spark.read.options(sep=sep, header=header, encoding=ENCODINGS.get(encoding, encoding), escape='"', multiLine=True, **options)
+    reader = spark.read.options(sep=sep, header=header, encoding=ENCODINGS.get(encoding, encoding), escape='"', multiLine=True, nullValue="\x00", **options)
+    # a null is what stands unquoted between separators, "" is the empty string
     df = reader.csv(path)
     return df if header else df.toDF(*(f"column_{i}" for i in range(len(df.columns))))
 
@@ -36,6 +37,7 @@ READERS: dict[str, Reader] = {
     "jsonl": lambda spark, path, **o: spark.read.options(**o).json(path),
     "parquet": lambda spark, path, **o: spark.read.options(**o).parquet(path),
     "orc": lambda spark, path, **o: spark.read.options(**o).orc(path),
+    "jdbc": lambda spark, path, **o: spark.read.format("jdbc").options(url=path, **o).load(),
     "text": lambda spark, path, **o: spark.read.options(**o).text(path),
 }
 
@@ -146,3 +148,37 @@ def log_lines(df: DataFrame, column: str, pattern: str, names: list[str]) -> Dat
     """Groups of a pattern as columns, null where a line does not match."""
     assert re.compile(pattern).groups >= len(names)
     return df.select("*", *(F.nullif(F.regexp_extract(column, pattern, i + 1), F.lit("")).alias(n) for i, n in enumerate(names)))
+
+
+def create_table_as(df: DataFrame, name: str, temporary: bool = True) -> None:
+    """Name a relation: a view, or a table of the catalog."""
+    df.createOrReplaceTempView(name) if temporary else df.write.mode("overwrite").saveAsTable(name)
+
+
+def delete_before(df: DataFrame, ts: str, cutoff: Column) -> DataFrame:
+    """Rows at or after a cut-off; rows without a time stay."""
+    return df.where(F.coalesce(F.col(ts) >= cutoff, F.lit(True)))
+
+
+def decode_records(df: DataFrame, schema: str, key: str = "key", value: str = "value") -> DataFrame:
+    """Binary keys and JSON values of a log: ``key``, ``value`` (a struct) and ``size`` in bytes. Bad JSON fails the query."""
+    size = F.coalesce(F.octet_length(key), F.lit(0)) + F.coalesce(F.octet_length(value), F.lit(0))
+    return df.select(F.col(key).cast("string").alias("key"), F.from_json(F.col(value).cast("string"), schema, {"mode": "FAILFAST"}).alias("value"), size.alias("size"))
+
+
+def before_key(df: DataFrame, key: str, first: Any, size: int) -> DataFrame:
+    """The previous rows before a key, nearest first; gaps between keys do not matter."""
+    rows = df if first is None else df.where(F.col(key) < first)
+    return rows.orderBy(F.desc(key)).limit(size)
+
+
+def wait_until(ready: Callable[[], bool], seconds: float, every: float = 1.0) -> bool:
+    """Poll a test until it holds; False if it never does in time."""
+    import time
+
+    end = time.monotonic() + seconds
+    while not ready():
+        if time.monotonic() >= end:
+            return False
+        time.sleep(every)
+    return True

@@ -65,7 +65,7 @@ sk AS (SELECT g, s, metric, sh, hi, count(*) AS n FROM binned GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY g, s, metric ORDER BY sh, hi) AS upto, sum(n) OVER (PARTITION BY g, s, metric) AS total,
                ((hi + 1) << CAST(sh AS BIGINT)) - 1 AS top FROM sk),
 q AS (SELECT g, s, metric, min(CASE WHEN 100 * upto >= 50 * total THEN top END) AS q50, min(CASE WHEN 100 * upto >= 10 * total THEN top END) AS q10 FROM cum GROUP BY ALL),
-f AS (SELECT g, s, metric, q50 + 4 * (q50 - q10) + CASE metric WHEN 'symbol_rate' THEN 400 WHEN 'dup_line_rate' THEN 3000 WHEN 'repeat_rate' THEN 3000 ELSE 400 END AS most FROM q),
+f AS (SELECT g, s, metric, q50 + 4 * (q50 - q10) + CASE metric WHEN 'symbol_rate' THEN 400 WHEN 'dup_line_rate' THEN 5000 WHEN 'repeat_rate' THEN 3000 ELSE 400 END AS most FROM q),
 p AS (SELECT g, s, max(CASE WHEN metric = 'symbol_rate' THEN most END) AS a, max(CASE WHEN metric = 'dup_line_rate' THEN most END) AS b,
              max(CASE WHEN metric = 'repeat_rate' THEN most END) AS c, max(CASE WHEN metric = 'word_length' THEN most END) AS e FROM f GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

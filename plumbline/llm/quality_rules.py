@@ -20,7 +20,7 @@ SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: name -> slack of the fence. Metrics are whole numbers: per ten thousand, and hundredths of a character.
-METRICS = {"symbol_rate": 400, "dup_line_rate": 3000, "repeat_rate": 3000, "word_length": 400}
+METRICS = {"symbol_rate": 400, "dup_line_rate": 5000, "repeat_rate": 3000, "word_length": 400}
 #: Quantiles (percent) of a fence and the factor of their distance.
 MIDDLE, LOW, SPREADS = 50, 10, 4
 

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import BROADCAST_ROWS, checkpointed, stored
 
-#: Slices of an interval in one counting pass.
-BINS = 1024
+#: Slices of an interval in one counting pass, at most, and of all intervals of a level together.
+BINS, BINS_A_PASS = 8_192, 262_144
 #: A median may be off by this share of its node's bytes.
 TOLERANCE = 0.0002
 #: Bits of the id's hash below a metadata value in an order, and of the value.
 HASH_BITS, VALUE_BITS = 40, 22
-#: Slots are counted in groups of about so many rows.
-GROUP_ROWS = 50_000
+#: Slots are counted in groups of about so many rows, in at most so many groups a shard.
+GROUP_ROWS, MOST_GROUPS = 2_000, 65_536
 #: Levels between checkpoints of the nodes.
 LEVELS = 4
 
@@ -85,7 +85,8 @@ def kd_shards(
                 goal = r.bytes * (leaves[r.node] // 2) / leaves[r.node]
                 nodes[r.node] = {"dim": dim, "lo": r[f"lo{dim}"], "hi": r[f"hi{dim}"], "below": 0, "goal": goal, "slack": r.bytes * TOLERANCE, "cut": None}
         while open_nodes := {k: v for k, v in nodes.items() if v["cut"] is None}:
-            slices = [(k, v["dim"], v["lo"], v["hi"], max(1, ceil((v["hi"] - v["lo"] + 1) / BINS))) for k, v in open_nodes.items()]
+            bins_each = max(64, min(BINS, BINS_A_PASS // len(open_nodes)))
+            slices = [(k, v["dim"], v["lo"], v["hi"], max(1, ceil((v["hi"] - v["lo"] + 1) / bins_each))) for k, v in open_nodes.items()]
             edges = spark.createDataFrame(slices, "node int, dim int, lo long, hi long, step long")
             key = F.element_at("orders", F.col("dim") + 1)
             near = placed.join(_bounded(edges, len(slices)), "node").withColumn("key", key).where("key between lo and hi")
@@ -114,7 +115,8 @@ def kd_shards(
         placed = placed.join(_bounded(cuts, len(nodes)), "node", "left").select(
             *rows.columns, F.when(right, F.col("right")).otherwise(F.col("node")).alias("node")
         )
-        leaves = {**leaves, **{k: leaves[k] // 2 for k in nodes}, **{k + leaves[k] // 2: leaves[k] - leaves[k] // 2 for k in nodes}}
+        # a side without rows has no facts and is not split again
+        leaves = {**{k: leaves[k] // 2 for k in nodes}, **{k + leaves[k] // 2: leaves[k] - leaves[k] // 2 for k in nodes}}
         level += 1
         if level % LEVELS == 0:
             placed = checkpointed(placed)
@@ -128,7 +130,7 @@ def _bounded(nodes: DataFrame, n: int) -> DataFrame:
 def _slots(placed: DataFrame) -> DataFrame:
     """Number the rows of each shard without bringing a shard to one task."""
     rows = placed.count()
-    groups = max(1, rows // GROUP_ROWS)
+    groups = min(MOST_GROUPS, max(1, rows // GROUP_ROWS))
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit(1)), F.lit(groups)).cast("int"))
     before = Window.partitionBy("node").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = salted.groupBy("node", "salt").agg(F.count("*").alias("n")).select("node", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch that carries whole texts; Spark bounds its bytes as well.
+TEXT_BATCH = 1_000
 #: Rows that an explicit broadcast may hold; callers count before they broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -42,6 +44,19 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_text_batches(df: DataFrame) -> DataFrame:
+    """Hand whole texts to Python in small batches, for the memory of executors and their workers.
+
+    Lowers ``spark.sql.execution.arrow.maxRecordsPerBatch`` of the session to
+    ``TEXT_BATCH`` where it is higher or unbounded, and leaves a lower setting alone.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > TEXT_BATCH:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH))
+    return df
+
+
 def id_text(doc_id: str = "doc_id") -> Column:
     return F.col(doc_id).cast("string")
 

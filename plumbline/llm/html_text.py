@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import with_text_batches
+
 #: Lines of a block, and characters that mark a block as text; a page whose best block has fewer is judged by half of that.
 WINDOW, THRESHOLD = 3, 80
 
@@ -176,5 +178,5 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     parsed whole and independently, so repeated rows and null ids pass through;
     other columns are ignored. No shuffle.
     """
-    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
+    rows = with_text_batches(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     return rows.mapInPandas(_extracted, "page_id long, url string, text string, n_chars long")

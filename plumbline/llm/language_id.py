@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import gru
-from plumbline.llm.common import fold
+from plumbline.llm.common import fold, with_text_batches
 
 FOLDS, HELD_OUT = 4, 2
 #: Bounds of the training sample: rows of each language, windows of a row, bytes of a window.
@@ -34,7 +34,7 @@ def training_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     The rows of a language are those with the smallest hashes of the id outside
     the held-out fold; their windows lie at hashed places of the whole text.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
+    rows = with_text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
         (fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
     )
     names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()

@@ -40,12 +40,16 @@ def fit_posteriors(docs: DataFrame, labelled: DataFrame, bound: int = LABELLED_R
     named = labelled.select("doc_id", "domain").where("doc_id is not null and domain is not null")
     names = named.groupBy("domain").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "domain").limit(64).collect()
     domains = sorted(r.domain for r in names)
+    if not domains:
+        return [], docs.sparkSession.createDataFrame([], "bucket int, ll array<double>")
     ids = checkpointed(named.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(_words(text))).alias("word")).join(small_or_shuffled(ids, ids.count()), "doc_id")
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).join(small_or_shuffled(ids, ids.count()), "doc_id")
+    rows = texts.select("domain", F.explode(F.array_distinct(_words("_text"))).alias("word"))
     counts = rows.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")).pivot("domain", domains).count().fillna(0)
+    counts = checkpointed(counts)
     totals = counts.agg(*(F.sum(F.col(f"`{d}`")).alias(f"t{k}") for k, d in enumerate(domains))).first()
     likelihoods = [F.log((F.col(f"`{d}`") + 0.5) / F.lit(float((totals[k] or 0) + 0.5 * BUCKETS))) for k, d in enumerate(domains)]
-    return domains, counts.select("bucket", F.array(*likelihoods).alias("ll") if domains else F.array().cast("array<double>").alias("ll"))
+    return domains, counts.select("bucket", F.array(*likelihoods).alias("ll"))
 
 
 def _total(table: Column) -> Column:

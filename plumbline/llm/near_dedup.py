@@ -33,13 +33,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, small_or_shuffled, stored
+from plumbline.llm.common import checkpointed, small_or_shuffled, stored, with_text_batches
 from plumbline.llm.components import connected_components
 from plumbline.llm.shingles import shingle_set, words
 from xxhash import xxh3_128_digest
 
 #: Bands and rows of the first keys, and of the longer keys for members of wide buckets.
-SHORT, LONG = (48, 6), (160, 10)
+SHORT, LONG = (48, 6), (88, 8)
 #: Distinct texts over which a bucket counts as wide.
 WIDE = 32
 #: Signature values of a verification (one byte each) and their batches.
@@ -227,7 +227,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     texts are expected to agree) and each get a row. Other columns are ignored;
     an empty table gives an empty result.
     """
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = with_text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     signed = stored(texts.mapInPandas(_sign, _SIGNED), "signed")
     heads = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     heads = checkpointed(heads)

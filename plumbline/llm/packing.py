@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import stored, with_text_batches
 from plumbline.llm.tokens import default_path, in_portions, word_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
-#: Ranks are counted in groups of about so many pieces.
-GROUP_ROWS = 50_000
+#: Ranks are counted in groups of about so many pieces, in at most so many groups a length.
+GROUP_ROWS, MOST_GROUPS = 2_000, 65_536
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -232,11 +232,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
     counts of at most ``capacity`` lengths and the plan made of them.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = with_text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     pieces = stored(texts.mapInPandas(_pieces(tokenizer_path or default_path(), capacity), _PIECES), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(plan_sequences(counts, capacity))
-    groups = max(1, sum(counts.values()) // GROUP_ROWS)
+    groups = min(MOST_GROUPS, max(1, sum(counts.values()) // GROUP_ROWS))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

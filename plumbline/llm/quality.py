@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, fold, labelled_ids, small_or_shuffled
+from plumbline.llm.common import checkpointed, fold, labelled_ids, small_or_shuffled, with_text_batches
 
 FOLDS, HELD_OUT = 5, 0
 #: Bound of the labelled sample.
@@ -157,7 +157,7 @@ def _statistics_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str, text: str) -> DataFrame:
     """doc_id, y, text of the bounded sample of labelled rows outside the held-out fold."""
     ids = checkpointed(labelled_ids(labels, label, HELD_OUT, FOLDS, bound, doc_id))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = with_text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     return texts.join(small_or_shuffled(ids, ids.count()), "doc_id")
 
 

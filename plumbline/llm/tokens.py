@@ -18,7 +18,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a cache generation; the generation before is kept until the next is full.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 180_000
 #: Unseen pieces tokenized in one call.
 TOGETHER = 1_000
 #: Characters for which lower-casing and word splitting need no more than the patterns below.
@@ -102,7 +102,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def in_portions(texts, limit: int = 4_000_000):
+def in_portions(texts, limit: int = 2_000_000):
     """Lists of consecutive texts (null as empty) of about ``limit`` characters."""
     portion, held = [], 0
     for text in texts:

@@ -293,9 +293,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay: one of each group, and one row of each repeated id."""
-    kept = near_duplicates(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept"))
-    kept = stored(kept.groupBy("_kept").agg(F.count("*").alias("_rows")), "kept")
-    rows = docs.join(kept, docs[doc_id].cast("long").eqNullSafe(kept["_kept"]), "left_semi")
-    if kept.where("_kept is not null and _rows > 1").limit(1).count():
+    verdicts = near_duplicates(docs, doc_id, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    verdicts = verdicts.agg(F.count_if("kept").alias("_kept")).where("_kept <> 1")
+    verdicts = stored(verdicts, "verdicts")
+    # the ids that go are the smaller side; rows without an id match none and stay
+    gone = verdicts.where("_kept = 0").select("_id")
+    rows = docs.join(small_or_shuffled(gone, gone.count()), docs[doc_id].cast("long") == gone["_id"], "left_anti")
+    if verdicts.where("_kept > 1").limit(1).count():
         rows = rows.where(F.col(doc_id).isNull()).unionByName(rows.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
     return rows

@@ -56,8 +56,8 @@ def _total(table: Column) -> Column:
     return F.aggregate("_buckets", F.lit(0.0), lambda total, bucket: total + F.get(table, bucket))
 
 
-def soft_memberships(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[list[str], DataFrame]:
-    """(domains, rows of doc_id, n_tokens, p): p is the posterior over the domains, uniform for a text without words.
+def soft_memberships(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", *carry: Column) -> tuple[list[str], DataFrame]:
+    """(domains, rows of doc_id, ``carry``, n_tokens, p): p is the posterior over the domains, uniform for a text without words.
 
     The mean log-likelihood of a document's distinct words counts as
     ``EVIDENCE_WORDS`` words at most, so that long texts stay soft.
@@ -68,22 +68,32 @@ def soft_memberships(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id
     cells = {r.bucket: r.ll for r in model.collect()}
     floors = [min((c[j] for c in cells.values()), default=0.0) for j in range(k)]
     tables = [F.lit([cells[b][j] if b in cells else floors[j] for b in range(BUCKETS)]) for j in range(k)]
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _words(text).alias("_words"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *carry, _words(text).alias("_words"))
+    keep = rows.columns[:-1]
     rows = rows.select(
-        "doc_id",
+        *keep,
         F.size("_words").cast("long").alias("n_tokens"),
         F.transform(F.array_distinct("_words"), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")).alias("_buckets"),
     )
     sums = [_total(t) for t in tables]
     scale = F.least(F.lit(EVIDENCE_WORDS), F.size("_buckets")) / F.greatest(F.size("_buckets"), F.lit(1))
-    rows = rows.select("doc_id", "n_tokens", (F.array(*(s * scale for s in sums)) if k else F.array().cast("array<double>")).alias("_ll"))
-    rows = rows.select("doc_id", "n_tokens", F.transform("_ll", lambda x: F.exp(x - F.array_max("_ll"))).alias("_w"))
-    rows = rows.select("doc_id", "n_tokens", F.transform("_w", lambda x: x / F.aggregate("_w", F.lit(0.0), lambda t, y: t + y)).alias("p"))
+    rows = rows.select(*keep, "n_tokens", (F.array(*(s * scale for s in sums)) if k else F.array().cast("array<double>")).alias("_ll"))
+    rows = rows.select(*keep, "n_tokens", F.transform("_ll", lambda x: F.exp(x - F.array_max("_ll"))).alias("_w"))
+    rows = rows.select(*keep, "n_tokens", F.transform("_w", lambda x: x / F.aggregate("_w", F.lit(0.0), lambda t, y: t + y)).alias("p"))
     return domains, rows
 
 
-def fit_rates(rows: DataFrame, weights: list[float], budget: float | None = None) -> tuple[DataFrame, list[float], list[float]]:
-    """Rates of rows with ``n_tokens`` and ``p``: (rows with ``rate``, targets, expected totals reached).
+def _stepped(rate: Column, pull: Column, k: int) -> Column:
+    """The rate of a row after a gradient step, projected on the non-negative."""
+    gradient = sum((F.col("p")[j] * pull[j] for j in range(k)), F.lit(0.0))
+    return F.greatest(F.lit(0.0), rate - gradient)
+
+
+def fit_steps(rows: DataFrame, weights: list[float], budget: float | None = None) -> tuple[DataFrame, list[list[float]], list[float], list[float]]:
+    """Fit rates of rows with ``n_tokens`` and ``p``: (rows with ``rate``, pulls, targets, expected totals reached).
+
+    A rate follows from the row's ``p`` and the pull of each step on each domain
+    alone, so the pulls give any row its rate again without a join.
 
     ``weights`` are the targets' shares; their sum is ``budget`` tokens, by
     default the largest that needs no domain more than once.
@@ -97,20 +107,37 @@ def fit_rates(rows: DataFrame, weights: list[float], budget: float | None = None
         budget = min((c / s for c, s in zip(natural, share, strict=True) if s > 0 and c > 0), default=0.0)
     targets = [budget * s for s in share]
     state = rows.withColumn("rate", F.lit(1.0))
-    reached = natural
+    reached, pulls = natural, []
     for step in range(1, STEPS + 1):
         pull = [(r - t) / c if c > 0 else 0.0 for r, t, c in zip(reached, targets, natural, strict=True)]
-        gradient = sum((F.col("p")[j] * F.lit(g) for j, g in enumerate(pull)), F.lit(0.0))
-        state = state.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - gradient))
+        pulls.append(pull)
+        state = state.withColumn("rate", _stepped(F.col("rate"), F.lit(pull), k))
         if step % STEPS_A_TABLE == 0:
             state = checkpointed(state)
         sums = state.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col("p")[j]).alias(f"s{j}") for j in range(k))).first()
         reached = [float(sums[j] or 0.0) for j in range(k)]
         if all(abs(r - t) <= ENOUGH * max(budget, 1.0) for r, t in zip(reached, targets, strict=True)):
             break
+    return state, pulls, targets, reached
+
+
+def fit_rates(rows: DataFrame, weights: list[float], budget: float | None = None) -> tuple[DataFrame, list[float], list[float]]:
+    """``fit_steps`` without the pulls: (rows with ``rate``, targets, expected totals reached)."""
+    state, _, targets, reached = fit_steps(rows, weights, budget)
     return state, targets, reached
 
 
+def _weights(domains: list[str], targets: dict[str, float] | None) -> list[float]:
+    weights = [float((targets or dict.fromkeys(domains, 1.0)).get(d, 0.0)) for d in domains]
+    return weights if sum(weights) else [1.0] * len(domains)
+
+
+def _copies() -> Column:
+    """The whole part of the rate, plus one if a hash of the id falls below the rest."""
+    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(2**40)) / F.lit(float(2**40))
+    return (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+
+
 def labelled_languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, domain: the languages of a bounded sample of the documents that a label table covers."""
     ids = labels.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS)
@@ -133,15 +160,30 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
     if not domains:
         return rows.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     rows = stored(rows, "members")
-    weights = [float((targets or dict.fromkeys(domains, 1.0)).get(d, 0.0)) for d in domains]
-    fitted, _, _ = fit_rates(rows, weights if sum(weights) else [1.0] * len(domains), budget)
+    fitted, _, _ = fit_rates(rows, _weights(domains, targets), budget)
     at = F.array_position("p", F.array_max("p")).cast("int")
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(2**40)) / F.lit(float(2**40))
     return fitted.select(
         "doc_id",
         "n_tokens",
         F.element_at(F.lit(domains), at).alias("domain"),
         F.array_max("p").alias("posterior"),
         "rate",
-        (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int").alias("copies"),
+        _copies().alias("copies"),
     )
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as its ``copies`` in ``mix``.
+
+    A row is written once beside its posterior and its rate is computed from the
+    fitted pulls, so whole texts are not shuffled; repeated ids and null ids
+    need no care. Without labels every row stays once.
+    """
+    domains, rows = soft_memberships(docs, labelled, doc_id, text, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    if not domains:
+        return docs
+    rows = stored(rows, "members")
+    _, pulls, _, _ = fit_steps(rows.select("n_tokens", "p"), _weights(domains, targets), budget)
+    rate = F.aggregate(F.lit(pulls), F.lit(1.0), lambda r, g: _stepped(r, g, len(domains)))
+    drawn = rows.withColumn("rate", rate).select("_row", _copies().alias("copies")).where("copies > 0")
+    return drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from plumbline.llm.mixing import fit_rates, mix
+from plumbline.llm.mixing import fit_rates, mix, mixed
 
 
 def test_rates_equal_a_numpy_reference(spark):
@@ -43,3 +43,18 @@ def test_mix(spark):
     assert got[900].n_tokens == got[901].n_tokens == 0
     assert {r.rate for r in mix(frame, labelled.limit(0)).collect()} == {1.0}
     assert mix(frame.limit(0), labelled).count() == 0
+
+
+def test_mixed_rows_are_the_copies_of_mix(spark):
+    rng = np.random.default_rng(2)
+    kinds = {"a": ["red", "green", "blue", "pink"], "b": ["one", "two", "three", "four"]}
+    rows = [(i, " ".join(rng.choice(kinds["a" if i % 4 else "b"], 30)), i % 7, 0.5) for i in range(300)] + [(900, None, 1, None), (None, "red red", 2, 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, copies int, rate double")
+    labelled = spark.createDataFrame([(i, "a" if i % 4 else "b") for i in range(200)], "doc_id long, domain string")
+    plan = {r.doc_id: r.copies for r in mix(frame, labelled, {"a": 1, "b": 3}).collect()}
+    got = mixed(frame, labelled, {"a": 1, "b": 3})
+    assert got.columns == frame.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((row for row in rows for _ in range(plan[row[0]])), key=str)
+    assert len(set(plan.values())) > 1
+    assert mixed(frame, labelled.limit(0)).count() == len(rows)
+    assert mixed(frame.limit(0), labelled).count() == 0

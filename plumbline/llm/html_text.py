@@ -1,13 +1,14 @@
 """Main text of web pages by the distribution of text over line blocks.
 
-Markup is stripped to lines, one for each block element. A line counts the
-characters outside links; lines of parts that are never the article (menus,
-forms, adverts, comments and so on, by element or by a word of class, id or
-role) count nothing, and neither do lines outside an ``article`` or ``main`` if
-the page has one. The counts are summed over a sliding window of ``WINDOW``
-lines: where the sum leaves zero is a surge, where it returns to zero a dive.
-Stretches between surge and dive whose sum reaches the threshold somewhere are
-the text; all their lines are kept, in page order.
+Markup is stripped to lines, one for each block element. Parts that are never
+the article (menus, forms, adverts, comments and so on, by element or by class,
+id or role) give no lines. If the page has an ``article`` or ``main``, all the
+other lines inside are the text, linked or short ones too. Otherwise a line
+counts the characters outside links, and the counts are summed over a sliding
+window of ``WINDOW`` lines: where the sum leaves zero is a surge, where it
+returns to zero a dive. Stretches between surge and dive whose sum reaches the
+threshold somewhere are the text; their lines from the first to the last that
+counts are kept, in page order.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -42,7 +44,7 @@ SPACES = frozenset("br td th option img wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements that are never the article.
 ASIDE = frozenset("nav footer aside form button input label menu dialog fieldset".split())
-#: Words of class, id or role that mark such a part.
+#: Words of class, id or role that mark such a part; inside an article only the whole name does.
 MARKS = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay"
     " nav navbar navigation menu breadcrumb breadcrumbs sidebar widget related recommended footer masthead header comment comments reply replies respond disqus"
@@ -52,12 +54,13 @@ MARKS = frozenset(
 OPEN_ENDED = frozenset("p li dt dd option tr td th".split())
 
 
-def _marked(tag: str, attrs: str) -> bool:
+def _marked(tag: str, attrs: str, inside: int) -> bool:
     if tag in ASIDE:
         return True
     if not attrs or tag in ("html", "body", "article", "main", "a"):
         return False
-    return any(w in MARKS for m in _NAMED.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()))
+    names = ((m[1] or m[2] or m[3] or "").lower() for m in _NAMED.finditer(attrs))
+    return any(w in MARKS for x in names for w in (x.split() if inside else _WORD.findall(x)))
 
 
 def _tokens(html: str) -> list[tuple[int, int, str, str, bool]]:
@@ -79,11 +82,18 @@ def _closings(tokens: list) -> dict[int, int]:
     return found
 
 
-def lines_of(html: str) -> list[tuple[str, int]]:
-    """(text, counted characters) of each line; a left-out part is a gap of empty lines."""
+def lines_of(html: str) -> tuple[bool, list[tuple[str, int]]]:
+    """(whether the page has an article, (text, characters outside links) of each line, only of the article's if it has)."""
     tokens = _tokens(html)
     closing = _closings(tokens)
-    has_body = any(t[2] in ("article", "main") and i in closing for i, t in enumerate(tokens))
+    # how many articles are open after each token, whatever part is left out
+    steps = [0] * len(tokens)
+    for i, token in enumerate(tokens):
+        if token[2] in ("article", "main") and i in closing:
+            steps[i] += 1
+            steps[closing[i]] -= 1
+    depth = list(accumulate(steps))
+    has_body = any(depth)
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     links: list[str] = []
@@ -92,19 +102,14 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
-            if text:
-                own = len(text.replace(" ", "")) - len("".join(unescape("".join(links)).split()))
-                lines.append((text, own if inside or not has_body else 0))
+            if text and (inside or not has_body):
+                lines.append((text, len(text.replace(" ", "")) - len("".join(unescape("".join(links)).split()))))
             parts.clear()
             links.clear()
 
-    def gap(n: int = WINDOW) -> None:
-        if not inside:
-            lines.extend([("", 0)] * n)
-
     for i, (start, end, tag, attrs, is_end) in enumerate(tokens):
         if i <= skip_to:
-            at = end
+            at, inside = end, depth[i]
             continue
         if start > at:
             parts.append(html[at:start])
@@ -117,20 +122,16 @@ def lines_of(html: str) -> list[tuple[str, int]]:
             in_link = 0 if is_end else int(i in closing)
         elif tag in BLOCKS:
             flush()
-            if tag in ("article", "main") and (is_end or i in closing):
-                inside = max(0, inside + (-1 if is_end else 1))
-                if not inside:
-                    gap()
+            inside = depth[i]
         elif tag in SPACES:
             parts.append(" ")
         outer_header = tag == "header" and not inside
-        if not is_end and tag not in VOID and (outer_header or _marked(tag, attrs)):
+        if not is_end and tag not in VOID and (outer_header or _marked(tag, attrs, inside)):
             if tag in OPEN_ENDED:
                 last = next((k for k in range(i + 1, len(tokens)) if tokens[k][2] in BLOCKS or tokens[k][2] == tag), len(tokens)) - 1
             else:
                 last = closing.get(i) or next((k for k in range(i + 1, len(tokens)) if tokens[k][2] in BLOCKS), len(tokens)) - 1
             flush()
-            gap(1 if tag in OPEN_ENDED else WINDOW)
             in_link, skip_to = 0, last
             at = max(at, tokens[last][1]) if last > i else at
             if last + 1 < len(tokens):
@@ -140,12 +141,14 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     if at < len(html):
         parts.append(html[at:])
     flush()
-    return lines
+    return has_body, lines
 
 
 def main_text(html: str | None) -> str:
-    """The lines between surge and dive points, joined by blank lines."""
-    lines = lines_of(html) if html else []
+    """The lines of the article, or those between surge and dive points, joined by blank lines."""
+    found, lines = lines_of(html) if html else (False, [])
+    if found:
+        return "\n\n".join(text for text, _ in lines)
     sums = [sum(n for _, n in lines[i : i + WINDOW]) for i in range(len(lines))]
     threshold = min(THRESHOLD, max(sums, default=0) / 2)
     kept: list[str] = []
@@ -159,7 +162,7 @@ def main_text(html: str | None) -> str:
             surge = next(k for k in range(i, dive) if lines[k][1])
             last = max(k for k in range(surge, dive) if lines[k][1])
             # linked lines between the counted ones belong to the text
-            kept += [text for text, _ in lines[surge : last + 1] if text]
+            kept += [text for text, _ in lines[surge : last + 1]]
         i = dive
     return "\n\n".join(kept)
 

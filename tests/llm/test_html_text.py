@@ -17,6 +17,24 @@ def test_page_without_article_elements():
     assert main_text(page) == f"Title\n\n{LONG}\n\nMore text"
 
 
+def test_article_keeps_linked_and_short_lines():
+    body = '<h1><a href=x>Title</a></h1><div class="post-header share-price">By me</div><p>{}</p>{}<p>End.</p><p><a href=y>Read on</a></p>'
+    refs = "".join(f"<li><a href={i}>Work {i}</a></li>" for i in range(5))
+    kept = ["Title", "By me", LONG, *(f"Work {i}" for i in range(5)), "End.", "Read on"]
+    for tag in ("article", "main"):
+        page = f"<p>{LONG}</p><{tag}>{body.format(LONG, f'<ol>{refs}</ol>')}<div class='x share'>Share</div></{tag}><p>{LONG}</p>"
+        assert main_text(page) == "\n\n".join(kept)
+    assert main_text("<article><h2><a href=x>Only a link</a></h2></article>") == "Only a link"
+    # the advert's end lies behind the article's: what follows is still outside
+    assert main_text(f"<article><p>{LONG}</p><div class=ad>Buy</article><p>x</p></div><p>Not of it</p>") == LONG
+
+
+def test_left_out_parts_do_not_split_a_stretch():
+    ad = "<div class=ad>BUY</div>"
+    assert main_text(f"<body><p>{LONG}</p>{ad}<p>Short closing sentence.</p>{ad}<p>And one.</p>") == f"{LONG}\n\nShort closing sentence.\n\nAnd one."
+    assert main_text(f"<body><h1>Title</h1>{ad}{ad}<p>{LONG}</p>") == f"Title\n\n{LONG}"
+
+
 def test_short_broken_and_empty_pages():
     assert main_text(None) == main_text("") == main_text("<html><body></body></html>") == ""
     assert main_text("<p>Tiny.") == "Tiny."

@@ -1,11 +1,11 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 A text is the set of its hashed lower-cased letter runs and of their stems. On a bounded,
-documented sample of labelled rows the terms that tell the classes apart are
-kept (a document-frequency and a log-odds test), and a factorization machine
-with a bias, a weight and a ``FACTORS``-vector for each of them is fitted by Adam on
+documented sample of labelled rows a factorization machine
+with a bias, a weight and a ``FACTORS``-vector for each frequent term is fitted by Adam on
 the logistic loss; the vectors give each pair of terms its own weight, so that
-two words can mean more, or less, than their sum.
+two words can mean more, or less, than their sum. Terms that do not tell the classes
+apart by themselves (a log-odds test) decay faster, unless their pairs hold against it.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from plumbline.llm.common import fold
 from plumbline.llm.quality import FOLDS, HELD_OUT, labelled_texts
 
 BUCKETS = 2**20
-#: Bounds: labelled rows, and terms of the model.
+#: Bounds: labelled rows, and terms that decay slowly.
 SAMPLE_ROWS, TERMS = 8_000, 8_192
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.03, 1e-5
+#: Decay of a term whose own presence does not separate the classes.
+WEAK_DECAY = 0.03
 #: A longer letter run also gives its first letters as a term, which inflected forms share.
 STEM = 4
-#: A term is kept from this many sample rows and this many standard errors of its log-odds.
+#: A term is kept from this many sample rows, and decays slowly from this many standard errors of its log-odds.
 LEAST_ROWS, LEAST_Z = 4, 2.5
 #: Weight of a toxic row in the loss; toxic rows are a tenth of the labels.
 TOXIC_WEIGHT = 5.0
@@ -67,8 +69,10 @@ def _rows_of(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 def raw_scores(model: dict, lists: list[list[int]]) -> np.ndarray:
     """bias + sum of weights + sum over pairs of terms of the product of their vectors."""
-    flat, row = _rows_of(lists)
-    n = len(lists)
+    return _raw(model, *_rows_of(lists), len(lists))
+
+
+def _raw(model: dict, flat: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     out = model["bias"] + np.bincount(row, model["w"][flat], n)
     for f in range(model["v"].shape[1]):
         v = model["v"][flat, f]
@@ -76,6 +80,11 @@ def raw_scores(model: dict, lists: list[list[int]]) -> np.ndarray:
     return out
 
 
+def frequent_terms(lists: list[list[int]]) -> np.ndarray:
+    """Hash buckets in at least ``LEAST_ROWS`` rows."""
+    return np.flatnonzero(np.bincount(_rows_of(lists)[0], minlength=BUCKETS) >= LEAST_ROWS)
+
+
 def select_terms(lists: list[list[int]], y: np.ndarray, most: int = TERMS) -> np.ndarray:
     """Hash buckets whose presence differs between the classes, the clearest ``most`` of them."""
     flat, row = _rows_of(lists)
@@ -91,24 +100,26 @@ def select_terms(lists: list[list[int]], y: np.ndarray, most: int = TERMS) -> np
     return np.sort(some[best[z[best] >= LEAST_Z]])
 
 
-def fit_machine(lists: list[list[int]], y: np.ndarray, terms: int, seed: int = 3) -> dict:
-    """Fit on rows of term numbers below ``terms``."""
+def fit_machine(lists: list[list[int]], y: np.ndarray, terms: int, seed: int = 3, decay: np.ndarray | None = None) -> dict:
+    """Fit on rows of term numbers below ``terms``; ``decay`` (default: ``DECAY``) is of each term."""
+    decay = np.full(terms, DECAY) if decay is None else decay
     rng = np.random.default_rng(seed)
     rate = (y.sum() + 1) / (len(y) + 2)
     model = {"bias": np.array(np.log(rate / (1 - rate))), "w": np.zeros(terms), "v": rng.normal(0, 0.05, (terms, FACTORS))}
     if not terms or not 0 < y.sum() < len(y):
         return model
+    arrays = [np.array(x, np.int64) for x in lists]
     first, second, step = {k: np.zeros_like(a) for k, a in model.items()}, {k: np.zeros_like(a) for k, a in model.items()}, 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            own = [lists[i] for i in rows]
-            flat, row = _rows_of(own)
+            own = [arrays[i] for i in rows]
+            flat, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
             weight = np.where(y[rows] > 0, TOXIC_WEIGHT, 1.0)
-            error = weight * (1 / (1 + np.exp(-np.clip(raw_scores(model, own), -40, 40))) - y[rows]) / len(rows)
+            error = weight * (1 / (1 + np.exp(-np.clip(_raw(model, flat, row, len(rows)), -40, 40))) - y[rows]) / len(rows)
             each = error[row]
-            grads = {"bias": error.sum(), "w": np.bincount(flat, each, terms) + DECAY * model["w"], "v": DECAY * model["v"]}
+            grads = {"bias": error.sum(), "w": np.bincount(flat, each, terms) + decay * model["w"], "v": decay[:, None] * model["v"]}
             for f in range(FACTORS):
                 v = model["v"][flat, f]
                 sums = np.bincount(row, v, len(rows))
@@ -131,11 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int = S
     sample = labelled_texts(docs, labels, label, bound, doc_id, text)
     rows = sorted((r.doc_id, r.y, r.x) for r in sample.mapInPandas(_term_rows, "doc_id long, y int, x array<int>").collect())
     lists, y = [r[2] for r in rows], np.array([float(r[1] > 0) for r in rows])
-    kept = select_terms(lists, y) if rows else np.empty(0, np.int64)
+    kept = frequent_terms(lists)
+    decay = np.where(np.isin(kept, select_terms(lists, y)), DECAY, WEAK_DECAY)
     number = np.full(BUCKETS, -1, np.int32)
     number[kept] = np.arange(len(kept))
     lists = [[k for k in number[x].tolist() if k >= 0] if x else [] for x in lists]
-    return fit_machine(lists, y, len(kept)) | {"number": number}
+    return fit_machine(lists, y, len(kept), decay=decay) | {"number": number}
 
 
 def _scored(model):

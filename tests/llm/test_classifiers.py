@@ -55,6 +55,20 @@ def test_pairs_of_terms_are_learnt():
     assert np.abs(model["v"]).max() > 0.3
 
 
+def test_pairs_of_terms_that_say_nothing_alone(spark):
+    """The label is an exclusive-or: either word alone has no log-odds."""
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(2000):
+        one, other = (i // 2) % 2, i % 2
+        fillers = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvxy'[k // 100]}" for k in rng.integers(0, 400, 12)]
+        rows.append((i, " ".join([*fillers, *["moonish"] * one, *["sunward"] * other])))
+        labels.append((i, int(one != other)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    held = [r for r in toxicity.score_toxicity(docs, marks).collect() if r.held_out]
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in held]) > 0.95
+
+
 def test_machine_equals_explicit_pairs():
     rng = np.random.default_rng(0)
     model = {"bias": np.array(0.3), "w": rng.normal(size=9), "v": rng.normal(size=(9, 4))}

@@ -1,8 +1,10 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
+from plumbline.llm import near_dedup
 from plumbline.llm.components import connected_components
 from plumbline.llm.near_dedup import least_matches, near_duplicates
 from plumbline.llm.shingles import shingle_set, words
@@ -67,3 +69,16 @@ def test_pruning_bound_keeps_pairs_at_the_threshold():
     draws = (rng.random((20000, 192)) < 0.75).reshape(20000, -1, 32).sum(axis=2).cumsum(axis=1)
     assert (draws < np.array(least)).any(axis=1).mean() < 2e-3
     assert least[-1] > 100 and list(least) == sorted(least)
+
+
+def test_unrelated_long_texts_are_pruned_and_near_copies_are_not():
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(40):
+        tokens = [f"w{k}" for k in rng.integers(0, 5000, 2000)]
+        texts += [" ".join(tokens), " ".join([*tokens[:1900], *(f"x{k}" for k in rng.integers(0, 5000, 100))])]
+    signed = next(near_dedup._sign(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a)]
+    frame = pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "sig_a": [signed["sig"][a] for a, _ in pairs], "sig_b": [signed["sig"][b] for _, b in pairs]})
+    kept = next(near_dedup._plausible(iter([frame])))
+    assert set(zip(kept["a"], kept["b"], strict=True)) == {(2 * i + 1, 2 * i) for i in range(40)}

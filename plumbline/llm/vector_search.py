@@ -141,8 +141,8 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, vec_id: str = "
     Components become floor(256 * x). Queries are the rows whose id is divisible
     by ``query_every``, candidates all rows but the query's own id; ties go to
     the smaller id. Vectors that are null, empty or hold a null or non-finite
-    component, of another length than the first pivot, or without an id take no
-    part. Repeated rows count once. Fewer than k candidates give as many rows; an
+    component, or without an id take no part; of vectors of different lengths the
+    common components count (the shorter ones end in zeros). Repeated rows count once. Fewer than k candidates give as many rows; an
     empty table none. Pivots come from a sample of ``SAMPLE_ROWS``; every row is
     indexed and the result is exact.
     """
@@ -151,14 +151,13 @@ def top_k(vectors: DataFrame, query_every: int = 50, k: int = 5, vec_id: str = "
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v0"))
     rows = rows.where(F.col("vec_id").isNotNull()).where(F.coalesce(sound, F.lit(False)))
     rows = rows.select("vec_id", F.transform("v0", lambda x: F.floor(x * 256).cast("int")).alias("v"))
+    total, size = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    rows = rows.select("vec_id", F.concat("v", F.array_repeat(F.lit(0), F.lit(size or 0) - F.size("v"))).alias("v"))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     if not sample:
         return empty
-    size = len(sample[0].v)
-    rows = rows.where(F.size("v") == size)
-    sample = np.array([r.v for r in sample if len(r.v) == size], float)
-    total = rows.count()
+    sample = np.array([r.v for r in sample], float)
     pivots = spark.sparkContext.broadcast(choose_pivots(sample, int(min(PIVOTS, max(1, sqrt(total) / 8)))))
     keyed = rows.mapInPandas(_keyed(pivots), "vec_id long, v array<int>, pivot int, dist double, norm2 double")
     keyed = stored(keyed.withColumn("slice", F.floor(F.col("dist") / SLICE).cast("int")), "keyed")

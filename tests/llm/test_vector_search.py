@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.llm.vector_search import top_k
 
@@ -30,3 +31,13 @@ def test_few_and_no_rows(spark):
     frame = spark.createDataFrame([(*r, 1) for r in rows], SCHEMA)
     assert sorted((r.query_id, r.rank, r.vec_id) for r in top_k(frame, 50, 5).collect()) == [(0, 1, 1), (0, 2, 2)]
     assert top_k(frame.limit(0)).count() == 0
+
+
+def test_vectors_of_other_lengths_take_part(spark):
+    """The row with the smallest hash is the odd one; SQL sums over the common components."""
+    rng = np.random.default_rng(4)
+    sizes = spark.range(300).orderBy(F.xxhash64("id"), "id").limit(2).collect()
+    odd = {sizes[0].id: 3, sizes[1].id: 11}
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=odd.get(i, 8)))]) for i in range(300)]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in top_k(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA), 10, 5).collect())
+    assert got == brute([(i, v + [0.0] * (11 - len(v))) for i, v in rows], 10, 5)

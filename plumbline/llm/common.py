@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,11 +16,11 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (tests, a local shell) gets a folder
-    under the temporary directory.
+    A session without that setting (a local shell) gets a folder in its SQL
+    warehouse, which driver and executors share as well.
     """
     sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/plumbline"
+    path = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plumbline-scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(path)
     return path.rstrip("/")
@@ -44,6 +43,15 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Remove the files of a table from ``stored`` once all that was made of it is written or checkpointed itself."""
+    folders = {name.rsplit("/", 1)[0] for name in table.inputFiles()}
+    spark = table.sparkSession
+    for folder in (x for x in folders if x.rsplit("/", 1)[1].startswith("plumbline-")):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_text_batches(df: DataFrame) -> DataFrame:
     """Hand whole texts to Python in small batches, for the memory of executors and their workers.
 

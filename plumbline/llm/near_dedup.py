@@ -1,25 +1,27 @@
 """Near-duplicate documents: MinHash banding, sequential Bayesian verification, exact check.
 
-1. Every text becomes a set of five-word shingles, ``HASHES`` MinHash values
+1. Every text becomes a set of five-word shingles, 288 MinHash values
    and ``BANDS`` band keys. Texts with the same words are folded into one
    representative (the smallest id) before anything is compared.
-2. Documents sharing a band key are candidates. A passage that many otherwise
-   different texts hold makes buckets that grow with the corpus; members of
-   buckets over ``WIDE`` are banded a second time with longer keys, which such
-   passages rarely fill, and those buckets replace the wide ones.
-3. A bucket is not expanded into all its pairs: its best-connected member (the
-   hub) is compared with the others, links join components, and only members
-   still in different components are compared further: by more hubs while that
-   links some, then pair by pair, leaving out pairs whose sizes and hashed bitmaps
-   prove too small an intersection. Every pair of a bucket is therefore compared,
-   excluded by proof, or already known to be connected.
+2. Documents sharing a band key are candidates, but a bucket is not expanded
+   into its pairs. In a round every bucket that still holds several components
+   names a hub, and every member proposes the one best hub among its buckets:
+   at most one comparison a document. Links join components, links inside one
+   component are dropped and buckets of one component leave.
+3. When hubs link nothing more, buckets of at most ``LISTED`` members give
+   their pairs. The documents of larger ones (many texts around one passage,
+   say) meet over an exact index instead: each lists the rarest shingles of its
+   set, of which two sets at the threshold share at least one, together with
+   the largest partner that it could still link with if that shingle is the
+   first they share. Documents without a possible partner leave before any pair
+   is formed. So no pair of a bucket is left out, whatever the bucket's size,
+   unless it is excluded by proof or already connected.
 4. A candidate pair is verified sequentially: after each batch of signature
    values the posterior probability (uniform prior) that its similarity
    reaches the threshold is compared with ``MISS``, and the pair is pruned
    below it. Survivors are compared on their full shingle sets, so a reported
    link is exact. A pair of similarity 0.75 is missed by banding with
-   probability (1 - 0.75**6)**48 = 8e-5 (1e-4 by the longer keys) and by pruning
-   with at most ``MISS``.
+   probability (1 - 0.75**6)**48 = 8e-5 and by pruning with at most ``MISS``.
 """
 
 from __future__ import annotations
@@ -33,62 +35,54 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, small_or_shuffled, stored, with_text_batches
-from plumbline.llm.components import connected_components
+from plumbline.llm.common import checkpointed, dropped, small_or_shuffled, stored, with_text_batches
+from plumbline.llm.components import composed, connected_components
 from plumbline.llm.shingles import shingle_set, words
 from xxhash import xxh3_128_digest
 
-#: Bands and rows of the first keys, and of the longer keys for members of wide buckets.
-SHORT, LONG = (48, 6), (88, 8)
-#: Distinct texts over which a bucket counts as wide.
-WIDE = 32
+#: Bands and rows of a band.
+BANDS, ROWS = 48, 6
+#: Members up to which a bucket gives all its pairs.
+LISTED = 8
 #: Signature values of a verification (one byte each) and their batches.
 VERIFY, BATCH = 192, 32
 #: A link: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Probability of pruning a pair that reaches the threshold, over all batches.
 MISS = 1e-4
-#: Cross-component pairs are listed once there are no more of them than this many a bucket row.
-PAIRS_A_ROW = 3
-#: After so many hubs a bucket, the remaining cross-component pairs are listed in any case.
-HUB_ROUNDS = 8
+#: Rounds of hubs; a round without a link ends them earlier.
+HUB_ROUNDS = 5
+#: Slots of the count of shingles by which the index orders them. A fixed size; the order alone, not the result, depends on it.
+SLOTS = 2**18
 
+_rng = np.random.default_rng(20240229)
+_XOR = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32)
+_ODD = _rng.integers(0, 2**32, (BANDS * ROWS, 1), dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+_KEYS = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
-@lru_cache(maxsize=None)
-def _family(shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Constants of bands * rows hash functions and of the band keys."""
-    bands, rows = shape
-    rng = np.random.default_rng([20240229, bands, rows])
-    whole = rng.integers(0, 2**32, (2, bands * rows, 1), dtype=np.uint64).astype(np.uint32)
-    return whole[0], whole[1] | np.uint32(1), rng.integers(0, 2**63, (bands, rows), dtype=np.uint64) | np.uint64(1)
-
-
-#: Longs of the bitmap on which a shingle set is hashed; it bounds an intersection from above.
-BITMAP = 32
+_SIGNED = "doc_id long, copies long, digest binary, n_shingles long, sig binary, bands array<long>"
+_PAIR = "a long, b long, component_a long, component_b long"
 
-_SIGNED = "doc_id long, digest binary, n_shingles long, sig binary, bands array<long>, bits array<long>"
 
-
-def minhash(shingles: np.ndarray, shape: tuple[int, int] = SHORT) -> np.ndarray:
+def minhash(shingles: np.ndarray) -> np.ndarray:
     """The minima of each hash function over a non-empty shingle set, in blocks that stay in cache."""
-    xor, odd, _ = _family(shape)
     low = None
     half = (shingles >> np.uint64(32)).astype(np.uint32) ^ shingles.astype(np.uint32)
-    work = np.empty((len(xor), min(512, len(half))), np.uint32)
+    work = np.empty((len(_XOR), min(512, len(half))), np.uint32)
     for at in range(0, len(half), 512):
         block = half[at : at + 512]
         out = work[:, : len(block)]
-        np.bitwise_xor(block, xor, out=out)
-        np.multiply(out, odd, out=out)
+        np.bitwise_xor(block, _XOR, out=out)
+        np.multiply(out, _ODD, out=out)
         least = out.min(axis=1)
         low = least if low is None else np.minimum(low, least)
     return low
 
 
-def band_keys(signature: np.ndarray, shape: tuple[int, int] = SHORT) -> np.ndarray:
+def band_keys(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band; the band's number is part of the key."""
-    rows = signature.reshape(shape).astype(np.uint64) + np.uint64(1)
-    key = (rows * _family(shape)[2]).sum(axis=1, dtype=np.uint64)
+    rows = signature.reshape(BANDS, ROWS).astype(np.uint64) + np.uint64(1)
+    key = (rows * _KEYS).sum(axis=1, dtype=np.uint64)
     key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return (key ^ (key >> np.uint64(32))).view(np.int64)
 
@@ -98,32 +92,19 @@ def verified_bytes(signature: np.ndarray) -> bytes:
     return ((signature[:VERIFY] * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """The set hashed on ``64 * BITMAP`` bits."""
-    on = np.zeros(64 * BITMAP, np.uint8)
-    on[shingles % np.uint64(64 * BITMAP)] = 1
-    return np.packbits(on).view(np.int64)
-
-
-def _most_common() -> Column:
-    """At most so many shingles of documents a and b agree: a bit that only one of them sets is a shingle of its own."""
-    alone = [sum((F.bit_count(F.col(f"bits_{x}")[i].bitwiseAND(F.bitwise_not(F.col(f"bits_{y}")[i]))) for i in range(BITMAP)), F.lit(0)) for x, y in ("ab", "ba")]
-    return F.least(F.col("n_shingles_a") - alone[0], F.col("n_shingles_b") - alone[1])
-
-
 def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+        for text in pdf["text"]:
             tokens = words(text)
             shingles = shingle_set(tokens)
             if len(shingles):
                 signature = minhash(shingles)
-                sig = verified_bytes(signature)
-                rows.append((doc_id, xxh3_128_digest(b" ".join(tokens)), len(shingles), sig, band_keys(signature), bitmap(shingles)))
+                rows.append((xxh3_128_digest(b" ".join(tokens)), len(shingles), verified_bytes(signature), band_keys(signature)))
             else:
-                rows.append((doc_id, None, 0, None, None, None))
-        yield pd.DataFrame(rows, columns=["doc_id", "digest", "n_shingles", "sig", "bands", "bits"])
+                rows.append((None, 0, None, None))
+        signed = pd.DataFrame(rows, columns=["digest", "n_shingles", "sig", "bands"], index=pdf.index)
+        yield pd.concat([pdf[["doc_id", "copies"]], signed], axis=1)
 
 
 @lru_cache(maxsize=None)
@@ -161,7 +142,7 @@ def _plausible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             span = slice(k * BATCH, (k + 1) * BATCH)
             matches[alive] += (left[alive, span] == right[alive, span]).sum(axis=1)
             alive = alive[matches[alive] >= least]
-        yield pdf.iloc[alive][["a", "b"]]
+        yield pdf.iloc[alive][["a", "b", "component_a", "component_b"]]
 
 
 def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -182,43 +163,128 @@ def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             common = len(np.intersect1d(left, right, assume_unique=True))
             if 100 * common >= PERCENT * (len(left) + len(right) - common):
                 linked.append(row)
-        yield pdf.iloc[linked][["a", "b"]]
+        yield pdf.iloc[linked][["a", "b", "component_a", "component_b"]]
 
 
-def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row for each of the given ids."""
-    return texts.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-
-def _long_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keys = [band_keys(minhash(shingle_set(words(x)), LONG), LONG) for x in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "bands": keys})
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of the given ids."""
+    return rows.join(small_or_shuffled(ids, ids.count()), "doc_id", "left_semi")
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
     """band, doc_id, n of the buckets with n > 1 members."""
     keyed = keys.select(F.explode(F.array_distinct("bands")).alias("band"), "doc_id")
-    shared = keyed.groupBy("band").agg(F.count_distinct("doc_id").alias("n")).where("n > 1")
-    return keyed.join(shared, "band").select("band", "doc_id", "n").distinct()
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return keyed.join(shared, "band").select("band", "doc_id", "n")
+
+
+def _with_both(pairs: DataFrame, rows: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs with a column of both documents, the stored table of that column)."""
+    ids = checkpointed(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    needed = stored(_only(rows, ids).select("doc_id", column), "ends")
+    left, right = (needed.select(F.col("doc_id").alias(x), F.col(column).alias(f"{column}_{x}")) for x in "ab")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "component_a", "component_b", f"{column}_a", f"{column}_b"), needed
 
 
 def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact links among candidate pairs (a, b)."""
-    sig = signed.select("doc_id", "sig")
-    with_sigs = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        sig.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b"
-    )
-    alive = checkpointed(with_sigs.select("a", "b", "sig_a", "sig_b").mapInPandas(_plausible, "a long, b long"))
-    ids = alive.select(F.col("a").alias("doc_id")).union(alive.select("b")).distinct()
-    ids = checkpointed(ids)
-    needed = stored(_only(texts, ids), "texts")
-    with_texts = (
-        alive.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
-    return checkpointed(with_texts.mapInPandas(_exact, "a long, b long"))
+    """Exact links among candidate pairs (a, b) of two components."""
+    pairs = checkpointed(pairs)
+    with_sigs, sigs = _with_both(pairs, signed, "sig")
+    alive = checkpointed(with_sigs.mapInPandas(_plausible, _PAIR))
+    with_texts, needed = _with_both(alive, texts, "text")
+    links = checkpointed(with_texts.mapInPandas(_exact, _PAIR))
+    for table in (sigs, needed):
+        dropped(table)
+    return links
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows (band, doc_id, component, ...) of the buckets that hold several components."""
+    several = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    return rows.join(several.select("band"), "band", "left_semi")
+
+
+def _hub_pairs(rows: DataFrame, order: Column) -> DataFrame:
+    """For each document of open buckets the best hub among them, unless they share a component."""
+    hubs = rows.groupBy("band").agg(F.max(F.struct(order.alias("at"), F.negative("doc_id").alias("minus_id"), "component")).alias("hub"))
+    met = rows.join(hubs, "band").where("component <> hub.component")
+    best = met.groupBy("doc_id", "component").agg(F.max("hub").alias("hub"))
+    return best.select(F.negative("hub.minus_id").alias("a"), F.col("doc_id").alias("b"), F.col("hub.component").alias("component_a"), F.col("component").alias("component_b"))
+
+
+def _paired(rows: DataFrame, key: str, *where: str) -> DataFrame:
+    """Pairs of two components that share a key."""
+    a, b = (rows.select(key, *(F.col(c).alias(f"{c}_{x}") for c in rows.columns if c != key)) for x in "ab")
+    met = a.join(b, key).where("doc_id_a < doc_id_b and component_a <> component_b")
+    for condition in where:
+        met = met.where(condition)
+    return met.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "component_a", "component_b").distinct()
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles % np.uint64(SLOTS)).astype(np.int64)
+
+
+def _slot_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(SLOTS, np.int64)
+    for pdf in batches:
+        for text in pdf["text"]:
+            counts += np.bincount(_slots(shingle_set(words(text))), minlength=SLOTS)
+    some = np.flatnonzero(counts)
+    yield pd.DataFrame({"slot": some, "n": counts[some]})
+
+
+def rarest(shingles: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, largest partners): the part of a set that any set at the threshold shares.
+
+    Shingles are ordered by count, then value. If the first shared one stands at
+    place i, at most n - i are shared, so a partner has at most
+    (100 + PERCENT) * (n - i) / PERCENT - n shingles. Shingles that no other set
+    has are left out.
+    """
+    n, of = len(shingles), counts[_slots(shingles)]
+    order = np.lexsort((shingles, of))[: n - -(-PERCENT * n // 100) + 1]
+    most = (100 + PERCENT) * (n - np.arange(len(order))) // PERCENT - n
+    shared = of[order] > 1
+    return shingles[order][shared], most[shared]
+
+
+def _rarest(counts):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(words(text)) for text in pdf["text"]]
+            parts = [rarest(s, counts.value) for s in sets]
+            rows = pdf[["doc_id", "component"]].assign(n=[len(s) for s in sets])
+            rows = rows.loc[rows.index.repeat([len(keys) for keys, _ in parts])]
+            if len(rows):
+                yield rows.assign(shingle=np.concatenate([k for k, _ in parts]).view(np.int64), most=np.concatenate([m for _, m in parts]))
+
+    return run
+
+
+def index_pairs(docs: DataFrame) -> DataFrame:
+    """Pairs of two components of ``docs`` (doc_id, component, text) that may reach the threshold, without one that does left out."""
+    counts = np.zeros(SLOTS, np.int32)
+    # at most SLOTS numbers, whatever the table
+    found = docs.select("text").mapInPandas(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[found["slot"].to_numpy()] = np.minimum(found["n"].to_numpy(), 2**31 - 1)
+    index = docs.mapInPandas(_rarest(docs.sparkSession.sparkContext.broadcast(counts)), "doc_id long, component long, n int, shingle long, most int")
+    index = stored(index, "index")
+    sizes = index.groupBy("shingle").agg(F.min("n").alias("least"), F.count("*").alias("sets")).where("sets > 1")
+    live = index.join(sizes, "shingle").where("most >= least").select(*index.columns)
+    return _paired(live, "shingle", "n_a <= most_b and n_b <= most_a")
+
+
+def _documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text, copies: one row for each id, with its smallest text, and each row without an id."""
+    rows = with_text_batches(docs)
+    repeats = checkpointed(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies")).where("copies > 1"))
+    n = repeats.count()
+    if not n:
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    repeats = small_or_shuffled(repeats, n)
+    once = rows.join(repeats, "doc_id", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+    return once.unionByName(rows.join(repeats, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("copies").alias("copies")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,82 +294,80 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ``component_id`` the smallest id reachable over links of similarity 0.75 or
     more, ``kept`` whether that is the document itself. Null and empty texts
     have no shingles and link with nothing. A row without an id is kept and has
-    a null component. Rows that repeat an id are one document for linking (its
-    texts are expected to agree) and each get a row. Other columns are ignored;
-    an empty table gives an empty result.
+    a null component. Rows that repeat an id are one document and each get its
+    row; if their texts differ, the smallest text is the document's. Texts of
+    any length are read whole. Other columns are ignored; an empty table gives
+    an empty result.
     """
-    texts = with_text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    signed = stored(texts.mapInPandas(_sign, _SIGNED), "signed")
+    texts = _documents(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    signed = stored(texts.select("doc_id", "copies", "text").mapInPandas(_sign, _SIGNED), "signed")
     heads = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     heads = checkpointed(heads)
     # one row for each distinct text
-    own = signed.where("digest is not null").join(heads.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
-    first = stored(_buckets(own), "buckets")
-    crowded = checkpointed(first.where(F.col("n") > WIDE).select("doc_id").distinct())
-    again = _only(texts, crowded).mapInPandas(_long_keys, "doc_id long, bands array<long>")
-    members = first.where(F.col("n") <= WIDE).union(_buckets(again))
+    others = signed.select("doc_id", "digest").where("digest is not null").join(heads, "digest").where("doc_id <> first_id").select("doc_id")
+    others = checkpointed(others)
+    own = signed.where("digest is not null and doc_id is not null").join(small_or_shuffled(others, others.count()), "doc_id", "left_anti")
+    members = stored(_buckets(own), "buckets")
     # the hub of a bucket is the member that meets most others over all buckets
     scores = members.groupBy("doc_id").agg(F.sum("n").alias("score"))
-    members = stored(members.join(scores, "doc_id"), "members")
-    labels, links, rounds = None, None, 0
-    while True:
-        # a bucket whose members all share a component is done; after the first hub so is a bucket of two
-        if labels is None:
-            left = members.withColumn("component", F.col("doc_id"))
+    rows = stored(members.join(scores, "doc_id").withColumn("component", F.col("doc_id")), "members")
+    dropped(members)
+    labels = None
+    for at in range(HUB_ROUNDS + 1):
+        hubs = at < HUB_ROUNDS and (labels is None or merged.limit(1).count())
+        if hubs:
+            pairs = _hub_pairs(rows.where("n > 2") if labels is None else rows, F.col("score") if labels is None else F.xxhash64("doc_id", F.lit(at)))
         else:
-            left = members.where("n > 2").join(labels, members.doc_id == labels.node, "left").select(*members.columns, F.coalesce("component", "doc_id").alias("component"))
-        left = stored(left, "left")
-        parts = left.groupBy("band", "component").agg(F.count("*").alias("m")).groupBy("band")
-        parts = parts.agg(F.sum("m").alias("members"), F.sum(F.col("m") * F.col("m")).alias("same"), F.count("*").alias("parts")).where("parts > 1")
-        still_open = checkpointed(parts.select("band", "members", ((F.col("members") * F.col("members") - F.col("same")) / 2).alias("cross")))
-        size = still_open.agg(F.sum("cross").alias("cross"), F.sum("members").alias("members")).first()
-        if not size.cross:
+            few = _paired(rows.where(F.col("n") <= LISTED).select("band", "doc_id", "component"), "band")
+            crowded = checkpointed(rows.where(F.col("n") > LISTED).select("doc_id", "component").distinct())
+            pairs = few
+            if n := crowded.count():
+                crowd = stored(texts.select("doc_id", "text").join(small_or_shuffled(crowded, n), "doc_id"), "crowd")
+                pairs = few.union(index_pairs(crowd)).distinct()
+        found = _links(pairs, own, texts)
+        merged = connected_components(found.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
+        labels = merged if labels is None else checkpointed(composed(labels, merged))
+        if not hubs:
             break
-        rows = left.join(still_open.select("band"), "band", "left_semi")
-        listed = rounds >= HUB_ROUNDS or rounds and (not new_links or size.cross <= PAIRS_A_ROW * max(1000, size.members))
-        if listed:
-            facts = rows.join(own.select("doc_id", "n_shingles", "bits"), "doc_id")
-            a, b = (facts.select("band", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "component", "n_shingles", "bits"))) for x in "ab")
-            most = _most_common()
-            pairs = a.join(b, "band").where("doc_id_a < doc_id_b and component_a <> component_b")
-            pairs = pairs.where(100 * most >= PERCENT * (F.col("n_shingles_a") + F.col("n_shingles_b") - most))
-            pairs = pairs.select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"))
-        else:
-            order = F.col("score") if not rounds else F.xxhash64("doc_id", F.lit(rounds))
-            hubs = rows.groupBy("band").agg(F.max(F.struct(order.alias("at"), F.negative("doc_id").alias("minus_id"), "component")).alias("hub"))
-            hubs = hubs.select("band", F.negative("hub.minus_id").alias("a"), F.col("hub.component").alias("component_a"))
-            pairs = rows.join(hubs, "band").where("component <> component_a").select("a", F.col("doc_id").alias("b"))
-        found = _links(pairs.distinct(), own, texts)
-        new_links = found.count()
-        links = found if links is None else links.union(found)
-        labels = connected_components(links)
-        rounds += 1
-        if listed:
-            break
-    if labels is None:
-        classes = heads.select("digest", F.col("first_id").alias("component"))
-    else:
-        classes = heads.join(labels, heads.first_id == labels.node, "left").select("digest", F.coalesce("component", "first_id").alias("component"))
+        now = merged.select(F.col("node").alias("component"), F.col("component").alias("later"))
+        still = rows.join(now, "component", "left").withColumn("component", F.coalesce("later", "component")).select(*rows.columns)
+        still = stored(_open(still), "open")
+        dropped(rows)
+        rows = still
+    dropped(rows)
+    classes = heads.join(labels, heads.first_id == labels.node, "left").select("digest", F.coalesce("component", "first_id").alias("component"))
     return (
-        signed.select("doc_id", "digest", "n_shingles")
+        signed.select("doc_id", "copies", "digest", "n_shingles")
         .join(classes, "digest", "left")
         .select(
             "doc_id",
             "n_shingles",
             F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+            F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
         )
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        .drop("copy")
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that stay: one of each group, and one row of each repeated id."""
+    """The rows of ``docs``, all columns, that stay: one of each group of near-duplicates.
+
+    Of rows that repeat an id one stays, with the smallest text, which is the
+    document's. Rows without an id stay; so do null and empty texts, which link
+    with nothing. An empty table gives an empty result.
+    """
     verdicts = near_duplicates(docs, doc_id, text).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
     verdicts = verdicts.agg(F.count_if("kept").alias("_kept")).where("_kept <> 1")
     verdicts = stored(verdicts, "verdicts")
     # the ids that go are the smaller side; rows without an id match none and stay
+    same = docs[doc_id].cast("long")
     gone = verdicts.where("_kept = 0").select("_id")
-    rows = docs.join(small_or_shuffled(gone, gone.count()), docs[doc_id].cast("long") == gone["_id"], "left_anti")
-    if verdicts.where("_kept > 1").limit(1).count():
-        rows = rows.where(F.col(doc_id).isNull()).unionByName(rows.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    rows = docs.join(small_or_shuffled(gone, gone.count()), same == gone["_id"], "left_anti")
+    again = verdicts.where("_kept > 1").select("_id")
+    if n := again.count():
+        again = small_or_shuffled(again, n)
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        first = rows.join(again, same == again["_id"]).groupBy("_id").agg(F.min_by(whole, F.coalesce(F.concat(F.lit("1"), F.col(f"`{text}`")), F.lit("2"))).alias("_row"))
+        rows = rows.join(again, same == again["_id"], "left_anti").unionByName(first.select("_row.*"))
     return rows

@@ -2,13 +2,14 @@
 
 Markup is stripped to lines, one for each block element. Parts that are never
 the article (menus, forms, adverts, comments and so on, by element or by class,
-id or role) give no lines. If the page has an ``article`` or ``main``, all the
-other lines inside are the text, linked or short ones too. Otherwise a line
-counts the characters outside links, and the counts are summed over a sliding
-window of ``WINDOW`` lines: where the sum leaves zero is a surge, where it
-returns to zero a dive. Stretches between surge and dive whose sum reaches the
-threshold somewhere are the text; their lines from the first to the last that
-counts are kept, in page order.
+id or role) give no lines. A line weighs the characters that it has outside
+links. Structure changes weights: a line of an ``article`` or ``main`` weighs a
+block's threshold at least, linked or short ones too, and a line outside weighs
+nothing, unless the text blocks outside outweigh the article's by far. Weights
+are summed over a sliding window of ``WINDOW`` lines: where the sum leaves zero
+is a surge, where it returns to zero a dive. Stretches between surge and dive
+whose sum reaches the threshold somewhere are the text; their lines from the
+first to the last that weighs are kept, in page order.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from plumbline.llm.common import with_text_batches
 
 #: Lines of a block, and characters that mark a block as text; a page whose best block has fewer is judged by half of that.
 WINDOW, THRESHOLD = 3, 80
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|textarea|select|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: An article without a block of text counts for nothing if a block outside has this many times the characters of its best.
+OUTWEIGHED = 4
+
+_OPENING = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
+#: Elements whose content is no text of the page.
+RAW = "script style noscript template svg math iframe object textarea select title head".split()
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -63,9 +65,63 @@ def _marked(tag: str, attrs: str, inside: int) -> bool:
     return any(w in MARKS for x in names for w in (x.split() if inside else _WORD.findall(x)))
 
 
+class _Scanner:
+    """Finds the ends of markup in one pass: what is not found once is not searched again."""
+
+    def __init__(self, html: str) -> None:
+        self.html, self.missing, self.quotes = html, set(), True
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The ``>`` of a tag, outside quotes; on a page whose quotes do not close, the next one."""
+        k = at
+        while self.quotes:
+            m = _QUOTE_OR_END.search(self.html, k)
+            if m and m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end()) if m else -1
+            if close < 0:
+                self.quotes = False
+            k = close + 1
+        return self.find(">", at)
+
+
 def _tokens(html: str) -> list[tuple[int, int, str, str, bool]]:
-    """(start, end, tag, attributes, closing) of the markup; comments and raw elements have no tag."""
-    return [(m.start(), m.end(), (m["tag"] or "").lower(), m["attrs"] or "", bool(m["end"])) for m in _TOKEN.finditer(html)]
+    """(start, end, tag, attributes, closing) of the markup; comments and raw elements have no tag. Linear in the length."""
+    found, scan, at = [], _Scanner(html), 0
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        if html.startswith("<!--", start):
+            end = scan.find("-->", start + 4)
+            at = end + 3 if end >= 0 else len(html)
+            found.append((start, at, "", "", False))
+        elif html.startswith(("<!", "<?"), start):
+            close = "]]>" if html.startswith("<![CDATA[", start) else ">"
+            end = scan.find(close, start)
+            if end < 0:
+                close, end = ">", scan.find(">", start)
+            if end >= 0:
+                at = end + len(close)
+                found.append((start, at, "", "", False))
+        elif m := _OPENING.match(html, start):
+            end = scan.tag_end(m.end())
+            if end >= 0:
+                tag, at = m[2].lower(), end + 1
+                if not m[1] and tag in _RAW_END:
+                    last = None if tag in scan.missing else _RAW_END[tag].search(html, at)
+                    if not last:
+                        scan.missing.add(tag)
+                    at = last.end() if last else len(html)
+                    tag = ""
+                found.append((start, at, tag, html[m.end() : end] if tag else "", bool(m[1])))
+    return found
 
 
 def _closings(tokens: list) -> dict[int, int]:
@@ -82,8 +138,8 @@ def _closings(tokens: list) -> dict[int, int]:
     return found
 
 
-def lines_of(html: str) -> tuple[bool, list[tuple[str, int]]]:
-    """(whether the page has an article, (text, characters outside links) of each line, only of the article's if it has)."""
+def lines_of(html: str) -> list[tuple[str, int, bool]]:
+    """(text, characters outside links, whether in an article) of each line."""
     tokens = _tokens(html)
     closing = _closings(tokens)
     # how many articles are open after each token, whatever part is left out
@@ -93,8 +149,7 @@ def lines_of(html: str) -> tuple[bool, list[tuple[str, int]]]:
             steps[i] += 1
             steps[closing[i]] -= 1
     depth = list(accumulate(steps))
-    has_body = any(depth)
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     links: list[str] = []
     at, inside, in_link, skip_to = 0, 0, 0, -1
@@ -102,8 +157,8 @@ def lines_of(html: str) -> tuple[bool, list[tuple[str, int]]]:
     def flush() -> None:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
-            if text and (inside or not has_body):
-                lines.append((text, len(text.replace(" ", "")) - len("".join(unescape("".join(links)).split()))))
+            if text:
+                lines.append((text, len(text.replace(" ", "")) - len("".join(unescape("".join(links)).split())), inside > 0))
             parts.clear()
             links.clear()
 
@@ -141,15 +196,27 @@ def lines_of(html: str) -> tuple[bool, list[tuple[str, int]]]:
     if at < len(html):
         parts.append(html[at:])
     flush()
-    return has_body, lines
+    return lines
+
+
+def block_sums(weights: list[int]) -> list[int]:
+    """The weight of the ``WINDOW`` lines from each line on."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
+def weighted(lines: list[tuple[str, int, bool]]) -> list[tuple[str, int]]:
+    """(text, weight) of the lines that can be text."""
+    best = {place: max(block_sums([n for _, n, x in lines if x is place]), default=0) for place in (True, False)}
+    outweighed = best[True] < min(THRESHOLD, best[False] / OUTWEIGHED)
+    if outweighed or not any(x for _, _, x in lines):
+        return [(text, n) for text, n, _ in lines]
+    return [(text, max(n, THRESHOLD)) for text, n, x in lines if x]
 
 
 def main_text(html: str | None) -> str:
-    """The lines of the article, or those between surge and dive points, joined by blank lines."""
-    found, lines = lines_of(html) if html else (False, [])
-    if found:
-        return "\n\n".join(text for text, _ in lines)
-    sums = [sum(n for _, n in lines[i : i + WINDOW]) for i in range(len(lines))]
+    """The lines between surge and dive points, joined by blank lines."""
+    lines = weighted(lines_of(html)) if html else []
+    sums = block_sums([n for _, n in lines])
     threshold = min(THRESHOLD, max(sums, default=0) / 2)
     kept: list[str] = []
     i = 0
@@ -178,8 +245,9 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     """Return ``page_id, url, text, n_chars``, a row for each page.
 
     A null or empty page, or one without text, has the empty string. Pages are
-    parsed whole and independently, so repeated rows and null ids pass through;
-    other columns are ignored. No shuffle.
+    parsed whole, in time linear in their length, and independently, so repeated
+    rows and null ids pass through; other columns are ignored; an empty table
+    gives an empty result. No shuffle.
     """
     rows = with_text_batches(pages).select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
     return rows.mapInPandas(_extracted, "page_id long, url string, text string, n_chars long")

@@ -1,3 +1,6 @@
+import random
+import time
+
 from plumbline.llm.html_text import extract_main_text, main_text
 
 LONG = "Some long text of the article that goes on and on for quite a while, with commas and more words."
@@ -50,3 +53,54 @@ def test_rows(spark):
     out = sorted(((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract_main_text(frame).collect()), key=str)
     assert out == [(0, None, "", 0), (1, "u", "Tiny.", 5), (1, "u", "Tiny.", 5)]
     assert extract_main_text(frame.limit(0)).count() == 0
+
+
+def brute(lines):
+    """Surges and dives by hand: a line is alive if it or one of the next two weighs anything."""
+    weights = [0 if linked else len(text.replace(" ", "")) for text, linked in lines]
+    at = lambda i: weights[i] if 0 <= i < len(weights) else 0
+    blocks = [at(i) + at(i + 1) + at(i + 2) for i in range(len(lines))]
+    stretches, now = [], []
+    for i, block in enumerate(blocks):
+        if block:
+            now.append(i)
+        if now and (not block or i == len(blocks) - 1):
+            stretches.append(now)
+            now = []
+    least = min(80, max(blocks, default=0) / 2)
+    out = []
+    for rows in stretches:
+        if max(blocks[i] for i in rows) >= least:
+            heavy = [i for i in rows if weights[i]]
+            out += [lines[i][0] for i in rows if heavy[0] <= i <= heavy[-1]]
+    return "\n\n".join(out)
+
+
+def test_only_the_distribution_separates_text_from_links():
+    """No article element, no class names, one element for every line."""
+    rng = random.Random(2)
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randrange(1, 40)):
+            linked = rng.random() < 0.5
+            for _ in range(rng.randrange(1, 5)):
+                lines.append((" ".join("w" * rng.randrange(1, 9) for _ in range(rng.choice((1, 2, 25)))), linked))
+        page = "".join(f"<div><a href=x>{t}</a></div>" if linked else f"<div>{t}</div>" for t, linked in lines)
+        assert main_text(page) == brute(lines)
+    menu = "".join(f"<div><a href={i}>Section {i}</a></div>" for i in range(6))
+    page = f"<body>{menu}<div>Title</div><div>{LONG}</div><div>{LONG}</div>{menu}<div>Imprint</div>{menu}"
+    assert main_text(page) == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+def test_text_blocks_outweigh_an_article_element_without_text():
+    teaser = "<article><a href=1>Read this too</a></article>"
+    assert main_text(f"<body>{teaser}<div>{LONG}</div><div>{LONG}</div>") == f"{LONG}\n\n{LONG}"
+    assert main_text(f"<body><article><p>A short note of some words.</p></article><div>{LONG}</div>") == "A short note of some words."
+
+
+def test_broken_markup_takes_linear_time():
+    began = time.time()
+    for part in ('<p "', "<p '\"", "<![CDATA[", "<!", "<script", "<script>", "</", "<a href='>", "<!--", "<div class=ad>", "<td class=ad>", "<svg "):
+        main_text(part * (1_000_000 // len(part)))
+    assert time.time() - began < 12 * 2
+    assert main_text('<p "' * 250_000 + "><p>End.").endswith("End.")

@@ -61,11 +61,18 @@ m AS (
 long AS (UNPIVOT (SELECT g, s, symbol_rate, dup_line_rate, repeat_rate, word_length FROM m WHERE NOT base_failed)
          ON symbol_rate, dup_line_rate, repeat_rate, word_length INTO NAME metric VALUE v),
 binned AS (SELECT g, s, metric, greatest(length(bin(v)) - 6, 0) AS sh, v >> CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS hi FROM long),
-sk AS (SELECT g, s, metric, sh, hi, count(*) AS n FROM binned GROUP BY ALL),
+sk AS (SELECT g, s, metric, sh, hi, count(*) AS n FROM binned GROUP BY ALL UNION ALL
+       SELECT g, NULL, metric, sh, hi, count(*) FROM binned GROUP BY ALL),
 cum AS (SELECT *, sum(n) OVER (PARTITION BY g, s, metric ORDER BY sh, hi) AS upto, sum(n) OVER (PARTITION BY g, s, metric) AS total,
                ((hi + 1) << CAST(sh AS BIGINT)) - 1 AS top FROM sk),
-q AS (SELECT g, s, metric, min(CASE WHEN 100 * upto >= 50 * total THEN top END) AS q50, min(CASE WHEN 100 * upto >= 10 * total THEN top END) AS q10 FROM cum GROUP BY ALL),
-f AS (SELECT g, s, metric, q50 + 4 * (q50 - q10) + CASE metric WHEN 'symbol_rate' THEN 400 WHEN 'dup_line_rate' THEN 5000 WHEN 'repeat_rate' THEN 3000 ELSE 400 END AS most FROM q),
+cut AS (SELECT *, min(CASE WHEN 2 * upto >= total THEN upto END) OVER (PARTITION BY g, s, metric) AS middle,
+               CASE metric WHEN 'symbol_rate' THEN 75 WHEN 'dup_line_rate' THEN 98 WHEN 'repeat_rate' THEN 95 ELSE 90 END AS pct FROM cum),
+q AS (SELECT g, s, metric, max(total) AS n, min(CASE WHEN 2 * upto >= total THEN top END) AS mid, min(CASE WHEN 100 * upto >= pct * total THEN top END) AS up,
+             min(CASE WHEN upto > middle AND 100 * (upto - middle) >= 5 * (total - middle) THEN top END) AS start FROM cut GROUP BY ALL),
+own AS (SELECT g, s, metric, n, CASE WHEN up > mid THEN up + (CASE metric WHEN 'dup_line_rate' THEN 2 WHEN 'word_length' THEN 3 ELSE 4 END) * (up - mid)
+                                     ELSE mid + greatest(50, coalesce((start - mid) // 2, 0)) END AS fence FROM q),
+f AS (SELECT o.g, o.s, o.metric, (o.n * o.fence + 200 * l.fence) // (o.n + 200) AS most
+      FROM own o JOIN own l ON o.g = l.g AND o.metric = l.metric AND o.s IS NOT NULL AND l.s IS NULL),
 p AS (SELECT g, s, max(CASE WHEN metric = 'symbol_rate' THEN most END) AS a, max(CASE WHEN metric = 'dup_line_rate' THEN most END) AS b,
              max(CASE WHEN metric = 'repeat_rate' THEN most END) AS c, max(CASE WHEN metric = 'word_length' THEN most END) AS e FROM f GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -4,9 +4,13 @@ Each document gets integer statistics of its whole text. Per language and
 source, every metric is summarised by a mergeable quantile sketch: counts of
 log-linear bins (64 linear bins, then 32 to a power of two), exact below 64 and
 within 1/32 above. Sketches of parts of a group add up, so a group with a third
-of all rows is merged from partial counts. A group's fence for a metric is its
-median plus ``SPREADS`` times the distance to a lower quantile plus a slack;
-documents are joined with their group's fences and kept within all of them.
+of all rows is merged from partial counts, and a language's sketch is the sum of
+its sources'. A fence lies ``spreads`` times the distance between the median and
+an upper quantile above that quantile. Where both are the same (three quarters
+without any symbol, say) it lies half-way from the median to where the values
+above the median begin. A group's fence is averaged with its language's, which
+counts as ``PRIOR_ROWS`` rows. Documents are joined with their group's fences
+and kept within all of them.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ from plumbline.llm.common import small_or_shuffled, stored
 SPACES = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: name -> slack of the fence. Metrics are whole numbers: per ten thousand, and hundredths of a character.
-METRICS = {"symbol_rate": 400, "dup_line_rate": 5000, "repeat_rate": 3000, "word_length": 400}
-#: Quantiles (percent) of a fence and the factor of their distance.
-MIDDLE, LOW, SPREADS = 50, 10, 4
+#: name -> (upper quantile in percent, spreads). Metrics are whole numbers: per ten thousand, and hundredths of a character.
+METRICS = {"symbol_rate": (75, 4), "dup_line_rate": (98, 2), "repeat_rate": (95, 4), "word_length": (90, 3)}
+#: Where the values above the median begin: their quantile in percent, and the least distance of a fence from its median if the upper quantile is the median.
+BEGIN, LEAST_DISTANCE = 5, 50
+#: Rows that a language's fence counts for beside those of the group.
+PRIOR_ROWS = 200
 
 
 def _repeats(words: str) -> Column:
@@ -90,21 +96,46 @@ def quantile_sketches(rows: DataFrame, groups: list[str], metrics: list[str]) ->
 
 
 def sketch_quantiles(sketch: DataFrame, groups: list[str], percents: list[int]) -> DataFrame:
-    """groups, metric, q<percent>: the upper end of the bin that holds each quantile."""
-    order = Window.partitionBy(*groups, "metric").orderBy("shift", "high")
-    rows = sketch.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
-        "total", F.sum("n").over(Window.partitionBy(*groups, "metric"))
-    )
+    """groups, metric, rows, q<percent> and begin: the upper end of the bin that holds each quantile.
+
+    ``begin`` is quantile ``BEGIN`` of the values above the median's bin, null if there are none.
+    """
+    whole = Window.partitionBy(*groups, "metric")
+    rows = sketch.withColumn("upto", F.sum("n").over(whole.orderBy("shift", "high").rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("n").over(whole))
+    rows = rows.withColumn("middle", F.min(F.when(2 * F.col("upto") >= F.col("total"), F.col("upto"))).over(whole))
     end = F.expr("shiftleft(high + 1, shift) - 1")
-    return rows.groupBy(*groups, "metric").agg(*(F.min(F.when(100 * F.col("upto") >= p * F.col("total"), end)).alias(f"q{p}") for p in percents))
+    beyond = F.col("upto") - F.col("middle")
+    begun = (beyond > 0) & (100 * beyond >= BEGIN * (F.col("total") - F.col("middle")))
+    return rows.groupBy(*groups, "metric").agg(
+        F.max("total").alias("rows"), F.min(F.when(begun, end)).alias("begin"), *(F.min(F.when(100 * F.col("upto") >= p * F.col("total"), end)).alias(f"q{p}") for p in percents)
+    )
+
+
+def sketch_fences(sketch: DataFrame, groups: list[str]) -> DataFrame:
+    """groups, metric, rows, fence of a sketch."""
+    found = sketch_quantiles(sketch, groups, [50, *sorted({p for p, _ in METRICS.values()})])
+    upper, spreads = F.lit(None).cast("long"), F.lit(None).cast("long")
+    for metric, (percent, times) in METRICS.items():
+        upper, spreads = F.when(F.col("metric") == metric, F.col(f"q{percent}")).otherwise(upper), F.when(F.col("metric") == metric, times).otherwise(spreads)
+    found = found.select(*groups, "metric", "rows", "q50", "begin", upper.alias("upper"), spreads.alias("spreads"))
+    half = F.expr("coalesce((begin - q50) div 2, 0)")
+    fence = F.when(F.col("upper") > F.col("q50"), F.col("upper") + F.col("spreads") * (F.col("upper") - F.col("q50"))).otherwise(F.col("q50") + F.greatest(F.lit(LEAST_DISTANCE), half))
+    return found.select(*groups, "metric", "rows", fence.alias("fence"))
+
+
+def group_fences(sketch: DataFrame, group: str, part: str) -> DataFrame:
+    """group, part, metric, fence: the fences of parts, averaged with their group's."""
+    merged = sketch.groupBy(group, "metric", "shift", "high").agg(F.sum("n").alias("n"))
+    own, prior = sketch_fences(sketch, [group, part]), sketch_fences(merged, [group]).select(group, "metric", F.col("fence").alias("prior"))
+    return own.join(prior, [group, "metric"]).select(group, part, "metric", F.expr(f"(rows * fence + {PRIOR_ROWS} * prior) div (rows + {PRIOR_ROWS})").alias("fence"))
 
 
 def filter_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Return ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` for each row.
 
     Null languages and sources are groups of their own. A null text counts as
-    empty and fails the base rule (fewer than 50 words). Only rows that pass the
-    base rule shape their group's fences. Null ids and repeated rows are judged
+    empty and fails the base rule (fewer than 50 words); texts of any length are
+    counted whole. Only rows that pass the base rule shape their group's fences. Null ids and repeated rows are judged
     like any row; other columns are ignored; an empty table gives an empty
     result.
     """
@@ -126,10 +157,8 @@ def filter_quality(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     stats = stored(stats, "stats")
     groups = ["g_lang", "g_source"]
     sketch = quantile_sketches(stats.where(~F.col("base_failed")), groups, list(METRICS))
-    fences = sketch_quantiles(sketch, groups, [MIDDLE, LOW])
-    slack = F.create_map(*(F.lit(x) for pair in METRICS.items() for x in pair))
-    fence = F.col(f"q{MIDDLE}") + SPREADS * (F.col(f"q{MIDDLE}") - F.col(f"q{LOW}")) + slack[F.col("metric")]
-    fences = fences.groupBy(*groups).agg(*(F.max(F.when(F.col("metric") == m, fence)).alias(f"most_{m}") for m in METRICS))
+    fences = group_fences(sketch, *groups)
+    fences = fences.groupBy(*groups).agg(*(F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"most_{m}") for m in METRICS))
     fences = stored(fences, "fences")
     within = F.lit(True)
     for m in METRICS:

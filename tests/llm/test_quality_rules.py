@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 
-from plumbline.llm.quality_rules import METRICS, filter_quality, quantile_sketches, sketch_quantiles
+from plumbline.llm.quality_rules import BEGIN, LEAST_DISTANCE, METRICS, PRIOR_ROWS, filter_quality, group_fences, quantile_sketches, sketch_quantiles
 
 
 def brute(text):
@@ -55,3 +55,48 @@ def test_sketches_bound_quantiles_and_merge(spark):
         exact = sorted(values)[int(np.ceil(p / 100 * len(values))) - 1]
         assert exact <= one[f"q{p}"] <= exact * (1 + 1 / 32) + 1
     assert set(METRICS) == {"symbol_rate", "dup_line_rate", "repeat_rate", "word_length"}
+
+
+def bin_end(v):
+    shift = max(v.bit_length() - 6, 0)
+    return ((v >> shift) + 1 << shift) - 1
+
+
+def brute_fence(values, percent, spreads):
+    values = sorted(bin_end(v) for v in values)
+    quantile = lambda xs, p: xs[-(-p * len(xs) // 100) - 1]
+    middle, upper = quantile(values, 50), quantile(values, percent)
+    if upper > middle:
+        return upper + spreads * (upper - middle)
+    beyond = [v for v in values if v > middle]
+    return middle + max(LEAST_DISTANCE, (quantile(beyond, BEGIN) - middle) // 2 if beyond else 0)
+
+
+def test_every_group_has_fences_of_its_own_for_every_metric(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for part, scale in (("calm", 1), ("wild", 6), ("small", 3)):
+        for i in range(40 if part == "small" else 900):
+            junk = i % 15 == 0
+            rows.append(("en", part, 700 * scale + i % 9 if junk else 0, int(rng.integers(0, 200 * scale)) if i % 12 == 0 else 0, int(rng.exponential(40 * scale)), int(rng.normal(400 + 30 * scale, 15 * scale))))
+    rows += [("de", "flat", 0, 0, 0, 500)] * 30
+    frame = spark.createDataFrame(rows, "g string, s string, symbol_rate long, dup_line_rate long, repeat_rate long, word_length long")
+    got = {(r.g, r.s, r.metric): r.fence for r in group_fences(quantile_sketches(frame, ["g", "s"], list(METRICS)), "g", "s").collect()}
+    for k, (metric, (percent, spreads)) in enumerate(METRICS.items()):
+        assert len({got["en", s, metric] for s in ("calm", "wild", "small")}) == 3, metric
+        assert got["de", "flat", metric] == bin_end(500 if metric == "word_length" else 0) + LEAST_DISTANCE
+        for s in ("calm", "wild", "small"):
+            own = [r[k + 2] for r in rows if r[:2] == ("en", s)]
+            prior = brute_fence([r[k + 2] for r in rows if r[0] == "en"], percent, spreads)
+            assert got["en", s, metric] == (len(own) * brute_fence(own, percent, spreads) + PRIOR_ROWS * prior) // (len(own) + PRIOR_ROWS)
+
+
+def test_a_document_is_judged_by_its_own_group(spark):
+    """The same text is usual in one source and an outlier in the other."""
+    rng = np.random.default_rng(6)
+    plain = [" ".join(f"w{k}" for k in rng.integers(0, 9000, 80)) for _ in range(300)]
+    coded = [" ".join(f"w{k}##" if j % 2 else f"w{k}" for j, k in enumerate(rng.integers(0, 9000, 80))) for _ in range(301)]
+    rows = [(i, t, "en", "news") for i, t in enumerate(plain)] + [(1000 + i, t, "en", "code") for i, t in enumerate(coded[:300])]
+    rows += [(5000, coded[300], "en", "news"), (5001, coded[300], "en", "code")]
+    kept = {r.doc_id: r.kept for r in filter_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not kept.pop(5000) and all(kept.values())

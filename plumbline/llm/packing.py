@@ -233,16 +233,18 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None =
     """
     spark = docs.sparkSession
     texts = with_text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    pieces = stored(texts.mapInPandas(_pieces(tokenizer_path or default_path(), capacity), _PIECES), "pieces")
+    pieces = texts.mapInPandas(_pieces(tokenizer_path or default_path(), capacity), _PIECES)
+    # a number of the row's own splits any number of rows that are alike
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = spark.sparkContext.broadcast(plan_sequences(counts, capacity))
     groups = min(MOST_GROUPS, max(1, sum(counts.values()) // GROUP_ROWS))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)).cast("int"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     )
-    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "row")
     ranked = salted.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
     return ranked.mapInPandas(_placed(plan), f"{_PIECES}, sequence_id long, offset long")

@@ -1,9 +1,9 @@
 """Language identification of whole texts by a bidirectional GRU over their bytes.
 
-The model is fitted on windows of a bounded, documented sample of labelled rows
-and broadcast (about 60 kB). Scoring cuts every whole text into windows of
-``WINDOW`` bytes, labels every byte of every window and pools the position
-probabilities of a document by their mean.
+The model is fitted on the whole texts of a bounded, documented sample of
+labelled rows, cut into windows, and broadcast (about 60 kB). Scoring cuts every
+whole text into windows of ``WINDOW`` bytes, labels every byte of every window
+and pools the position probabilities of a document by their mean.
 """
 
 from __future__ import annotations
@@ -12,49 +12,63 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import gru
-from plumbline.llm.common import fold, with_text_batches
+from plumbline.llm.common import checkpointed, fold, small_or_shuffled, with_text_batches
 
 FOLDS, HELD_OUT = 4, 2
-#: Bounds of the training sample: rows of each language, windows of a row, bytes of a window.
-ROWS_A_LANGUAGE, WINDOWS_A_ROW, TRAIN_BYTES = 250, 4, 64
-#: Languages that a model may learn, the most frequent of the sample space.
-LANGUAGES = 64
+#: Bound of the training sample: labelled rows of each language, read whole; bytes of a training window.
+ROWS_A_LANGUAGE, TRAIN_BYTES = 250, 64
+#: Passes over the windows, and steps at least, of the fit.
+EPOCHS, LEAST_STEPS, BATCH = 2, 150, 256
+#: Share of the held-out rows that reach the score below which a document's language counts as unknown.
+RECALL = 0.999
 #: Bytes of a scoring window, and windows scored together.
 WINDOW, TOGETHER = 128, 2048
 UNKNOWN = "und"
 
 
-def training_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Byte windows, classes and language names of the bounded sample.
+def labelled_sample(docs: DataFrame, held_out: bool, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
+    """(language, whole text) of at most ``ROWS_A_LANGUAGE`` rows of each language, outside the held-out fold or of it.
 
-    The rows of a language are those with the smallest hashes of the id outside
-    the held-out fold; their windows lie at hashed places of the whole text.
+    The rows are those with the smallest hashes of the id; an id that repeats in
+    a language counts once, with its smallest text.
     """
-    rows = with_text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where(
-        (fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
-    )
-    names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    names = sorted(r.lang for r in names)
-    room = F.greatest(F.length("text") - TRAIN_BYTES, F.lit(0)) + 1
-    spots = [F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(k)), room).cast("int") + 1, F.lit(TRAIN_BYTES)) for k in range(WINDOWS_A_ROW)]
+    rows = with_text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    rows = rows.where(((fold("doc_id", FOLDS) == HELD_OUT) == held_out) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    # the rank is cut in every task before any row is shuffled for it
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.groupBy("lang", "doc_id").agg(F.lit(1)).select("lang", "doc_id", F.row_number().over(order).alias("at")).where(F.col("at") <= ROWS_A_LANGUAGE)
+    ids = checkpointed(ids)
+    texts = rows.join(small_or_shuffled(ids, ids.count()), ["lang", "doc_id"]).groupBy("lang", "at").agg(F.min("text").alias("text"))
+    return [(r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.lang, r["at"]))]
+
+
+def training_windows(sample: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Byte windows, classes and language names of whole texts."""
+    names = sorted({lang for lang, _ in sample})
     windows, classes = [], []
-    for k, name in enumerate(names):  # a bounded number of bounded samples
-        sample = rows.where(F.col("lang") == name).select("doc_id", F.array(*spots).alias("spots"))
-        for r in sample.orderBy(F.xxhash64("doc_id"), "doc_id", "spots").limit(ROWS_A_LANGUAGE).collect():
-            for spot in r.spots:
-                raw = spot.encode("utf-8", "replace")[:TRAIN_BYTES]
-                windows.append(raw.ljust(TRAIN_BYTES))
-                classes.append(k)
+    for lang, text in sample:
+        raw = text.encode("utf-8", "replace")
+        n = -(-len(raw) // TRAIN_BYTES)
+        windows.append(raw.ljust(n * TRAIN_BYTES))
+        classes += [names.index(lang)] * n
     return np.frombuffer(b"".join(windows), np.uint8).reshape(-1, TRAIN_BYTES), np.array(classes, np.int64), names
 
 
 def fit(docs: DataFrame, **columns: str) -> tuple[dict[str, np.ndarray], list[str]]:
-    windows, classes, names = training_windows(docs, **columns)
-    return gru.train(windows, classes, max(1, len(names))), names
+    windows, classes, names = training_windows(labelled_sample(docs, False, **columns))
+    epochs = max(EPOCHS, -(-LEAST_STEPS * BATCH // max(1, len(windows))))
+    return gru.train(windows, classes, max(1, len(names)), epochs=epochs, batch=BATCH), names
+
+
+def least_score(model: dict[str, np.ndarray], docs: DataFrame, **columns: str) -> float:
+    """The score that ``RECALL`` of a bounded sample of held-out rows reach; 0 without any."""
+    texts = [text for _, text in labelled_sample(docs, True, **columns)]
+    scores = [x for portion in _portions(texts) for x in document_probabilities(model, portion).max(axis=1)]
+    return float(np.quantile(scores, 1 - RECALL, method="lower")) if scores else 0.0
 
 
 def document_probabilities(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
@@ -107,11 +121,21 @@ def _scored(model, names: list[str]):
     return run
 
 
-def identified(docs: DataFrame, labelled: DataFrame, least: float, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more."""
-    model, names = fit(labelled, doc_id=doc_id, text=text, lang=lang)
+def identified(docs: DataFrame, labelled: DataFrame, least: float | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose language is known with a score of ``least`` or more.
+
+    Without ``least`` it is the score that ``RECALL`` of the held-out labelled
+    rows reach. A text that is null, empty or without a letter goes, whatever its
+    length the others are scored whole. Rows are judged one by one: null ids and
+    repeated rows stay or go like any row. Without labels, or from an empty
+    table, no row stays.
+    """
+    columns = {"doc_id": doc_id, "text": text, "lang": lang}
+    model, names = fit(labelled, **columns)
     if not names:
         return docs.limit(0)
+    if least is None:
+        least = least_score(model, labelled, **columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -132,7 +156,8 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, doc_id: str = "
     ignored. A text that is null or has no letter is ``und`` with score 0, and
     so is every text if there is nothing to learn from. A null id counts as
     held out. Long texts are scored whole. Repeated rows each get a row; other
-    columns are ignored.
+    columns are ignored; an empty table gives an empty result. Any number of
+    languages is learnt.
     """
     spark = docs.sparkSession
     model, names = fit(labelled if labelled is not None else docs, doc_id=doc_id, text=text, lang=lang)

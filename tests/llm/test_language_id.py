@@ -1,7 +1,7 @@
 import numpy as np
 
 from plumbline.llm import gru
-from plumbline.llm.language_id import document_probabilities, identify
+from plumbline.llm.language_id import ROWS_A_LANGUAGE, document_probabilities, identified, identify, labelled_sample, training_windows
 
 
 def loss(model, steps, labels):
@@ -65,3 +65,32 @@ def test_windows_pool_like_one_document():
     together = document_probabilities(model, texts)
     alone = np.concatenate([document_probabilities(model, [t]) for t in texts])
     assert np.allclose(together, alone, atol=1e-6) and np.allclose(together[1:].sum(axis=1), 1, atol=1e-5)
+
+
+def test_labelled_rows_are_bounded_and_read_whole(spark):
+    rows = [(i, f"abc {i} " * (i % 5 * 40 + 1), f"lang{i % 70:02d}") for i in range(700)] + [(9000 + i, f"hot {i}", "hot") for i in range(3000)] + [(7, "Z later", "lang07")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = labelled_sample(frame, False)
+    texts = {(lang, text) for _, text, lang in rows}
+    assert set((lang, text) for lang, text in sample) <= texts and ("lang07", "Z later") not in sample
+    by = {}
+    for lang, _ in sample:
+        by[lang] = by.get(lang, 0) + 1
+    assert by["hot"] == ROWS_A_LANGUAGE and len(by) > 65 and sum(by.values()) > 250 + 450
+    windows, classes, names = training_windows(sample)
+    assert len(names) == len(by) and len(windows) == len(classes) == sum(-(-len(t.encode()) // 64) for _, t in sample)
+    held = labelled_sample(frame, True)
+    assert not set(held) & set(sample) and set(held) <= texts
+
+
+def test_texts_of_no_learnt_language_are_rejected(spark):
+    rng = np.random.default_rng(3)
+    kinds = {"aa": ["the", "thing", "that", "of", "and"], "bb": ["öde", "ünd", "schön", "zu", "ach"]}
+    rows = [(i, " ".join(rng.choice(kinds[["aa", "bb"][i % 2]], 40)), ["aa", "bb"][i % 2], "k") for i in range(400)]
+    odd = [(1000 + i, " ".join(w for pair in zip(rng.choice(kinds["aa"], 20), rng.choice(kinds["bb"], 20)) for w in pair), None, "k") for i in range(20)]
+    odd += [(2000, None, "aa", "k"), (2001, "", "aa", "k"), (2002, "12 !", "aa", "k")]
+    frame = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score string")
+    kept = [r.doc_id for r in identified(frame, frame).collect()]
+    assert len(kept) == len(set(kept)) and identified(frame, frame).columns == frame.columns
+    assert len([i for i in kept if i < 1000]) >= 0.99 * 400 and len([i for i in kept if 1000 <= i < 2000]) <= 4 and not [i for i in kept if i >= 2000]
+    assert identified(frame.limit(0), frame).count() == identified(frame, frame.limit(0)).count() == 0

@@ -7,7 +7,7 @@ from functools import reduce
 from operator import and_, or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.errors import MissingColumns, SpecError, UnknownFunction
@@ -85,6 +85,36 @@ _all("json_array_length_{}", **{k: (lambda a, b, f=f: f(F.json_array_length(a),
 _all("array_length_{}", **{k: (lambda a, b, f=f: f(F.size(a), b)) for k, f in _COMPARE.items()})
 
 
+#: Spark functions that a function of the registry is built on, if they are not in every version.
+REQUIRES: dict[str, tuple[str, ...]] = {
+    "matches_case_insensitive": ("regexp_like",),
+    "email_domain": ("split_part",),
+    "email_domain_contains": ("split_part",),
+    "email_domain_equals": ("split_part",),
+    "json_array_not_empty": ("json_array_length",),
+    "json_array_contains": ("from_json", "array_except"),
+    "array_contains": ("array_except",),
+}
+REQUIRES |= {name: ("json_array_length",) for name in REGISTRY if name.startswith("json_array_length_")}
+
+
+def supported_functions(spark: SparkSession) -> list[str]:
+    """Names of the registry whose functions the session knows."""
+    known = {f: spark.catalog.functionExists(f) for needs in REQUIRES.values() for f in needs}
+    return sorted(name for name in REGISTRY if all(known[f] for f in REQUIRES.get(name, ())))
+
+
+def any_term(columns: list[str], terms: list[str]) -> dict:
+    """A tree: every term occurs, in any case, in some of the columns."""
+    either = [{"or": [{"contains_case_insensitive": [{"column_name": [c]}, {"literal": [t]}]} for c in columns]} for t in terms]
+    return {"and": either} if either else {"literal": [True]}
+
+
+def missing(column: Column) -> Column:
+    """Whether a value is absent: null, an empty text or an empty array."""
+    return column.isNull() | column.cast("string").isin("", "[]")
+
+
 def columns_of(spec: Any) -> set[str]:
     """Names that a tree refers to."""
     if isinstance(spec, dict):

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import unicodedata
+from collections.abc import Iterable
 from math import pi
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,8 +133,13 @@ def log_part(line: Column) -> Column:
 
 
 def compacted(values: Column) -> Column:
-    """An array without nulls, zeros and empty strings."""
-    return F.filter(values, lambda x: x.isNotNull() & ~x.cast("string").isin("", "0", "false"))
+    """An array without nulls, zeros, false, empty strings and empty arrays; the texts "0" and "false" stay."""
+
+    def empty(x: Column) -> Column:
+        text = x.cast("string")
+        return F.when(F.typeof(values) == "array<string>", text == "").otherwise(text.rlike(r"^(false|-?0+(\.0*)?(E[+-]?\d+)?|\[\]|\{\})$"))
+
+    return F.filter(values, lambda x: x.isNotNull() & ~empty(x))
 
 
 def contains_all(values: Column, wanted: list) -> Column:
@@ -175,10 +179,75 @@ def escape_astral(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
+def _accented() -> tuple[str, str]:
+    """Letters of the basic plane that are one ASCII letter and marks, and those letters; by decomposition, not from a list."""
+    import unicodedata
+
+    pairs = []
+    for code in range(0xC0, 0x2000):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base != chr(code) and base.isascii() and base.isalpha():
+            pairs.append((chr(code), base))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower-cased text without accents, in the JVM: composed letters become their ASCII letter, loose combining marks go."""
+    source, target = _accented()
+    return F.regexp_replace(F.lower(F.translate(text, source, target)), r"\p{Mn}", "")
+
+
 def folded_tokens(text: Column) -> Column:
     """Lower-cased words of a text without combining marks."""
-    @F.pandas_udf("string")
-    def fold(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else "".join(ch for ch in unicodedata.normalize("NFKD", v) if not unicodedata.combining(ch)))
+    return F.filter(F.split(folded(text), r"\s+"), lambda w: w != "")
+
+
+def is_json_array(text: Column) -> Column:
+    """Whether a text is a JSON array; null for null."""
+    return F.when(text.isNotNull(), F.json_array_length(text).isNotNull())
+
+
+def is_json_object(text: Column) -> Column:
+    """Whether a text is a JSON object; null for null."""
+    return F.when(text.isNotNull(), F.try_parse_json(text).isNotNull() & F.json_object_keys(text).isNotNull())
+
+
+def has_known_tld(authority: Column, tlds: Iterable[str]) -> Column:
+    """Whether the last label of a host (user and port aside) is one of the given top-level domains, in any case."""
+    host = F.regexp_replace(F.regexp_replace(authority, "^.*@", ""), r":\d*$", "")
+    return F.lower(F.regexp_extract(host, r"\.([^.]+)\.?$", 1)).isin(*sorted({t.lower().lstrip(".") for t in tlds}))
+
+
+#: What custom types are underneath; values are cast to it before they are summarised.
+UNDERLYING = {"email": "string", "uri": "string", "json_array": "string", "json_object": "string", "money": "decimal(38,10)", "multicurrency": "decimal(38,10)"}
+
+
+def downcast(value: Column, kind: str) -> Column:
+    """A value of a custom type as its underlying type; other types stay."""
+    return value.cast(UNDERLYING[kind]) if kind in UNDERLYING else value
+
+
+def iso_instant(value: Column, time: bool = True) -> Column:
+    """An instant in UTC as yyyy-MM-dd'T'HH:mm:ss'Z', or its date, whatever the session's time zone."""
+    second = F.unix_seconds(value.cast("timestamp"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(second / 86400).cast("int")).cast("string")
+    left = F.pmod(second, F.lit(86400))
+    return F.format_string("%sT%02d:%02d:%02dZ", day, F.floor(left / 3600), F.floor(left / 60) % 60, left % 60) if time else day
+
+
+def strict_date(text: Column) -> Column:
+    """A date of exactly the form yyyy-MM-dd that exists in the calendar, else null; a range to it ends before ``date_add(it, 1)``."""
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(text, "yyyy-MM-dd"))
+
+
+def suggestion(word: Column, choices: Iterable[str], ratio: float = 0.5) -> Column:
+    """The nearest of the choices by edits, within ``floor(length * ratio)`` of them; ties go to the first in order."""
+    near = [F.struct(F.levenshtein(word, F.lit(c)).alias("edits"), F.lit(c).alias("choice")) for c in sorted(choices)]
+    best = F.array_min(F.filter(F.array(*near), lambda x: x["edits"] <= F.floor(F.length(word) * ratio)))
+    return best["choice"]
+
 
-    return F.filter(F.split(F.lower(fold(text)), r"\s+"), lambda w: w != "")
+def geo_feature(lon: Column, lat: Column, *properties: str) -> Column:
+    """A GeoJSON point feature as text; null properties are left out."""
+    shape = F.struct(F.lit("Point").alias("type"), F.array(lon.cast("double"), lat.cast("double")).alias("coordinates"))
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import pi
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,10 +16,10 @@ def _circular(angle: Column) -> Column:
 
 
 def peak_time(c: Column) -> Column:
-    """Circular mean of the time of day, as HH:mm:ss."""
+    """Circular mean of the time of day, as HH:mm:ss; hours are the session's, and so is the mean."""
     seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
     at = F.round(_circular(seconds * (2 * pi / 86400)) * (86400 / (2 * pi))).cast("long") % 86400
-    return F.date_format(F.timestamp_seconds(at), "HH:mm:ss")
+    return F.format_string("%02d:%02d:%02d", F.floor(at / 3600), F.floor(at / 60) % 60, at % 60)
 
 
 def peak_month(c: Column) -> Column:
@@ -49,10 +49,23 @@ SUMMARIES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+def counted_mode(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
+    """The most frequent value of each group, ties to the smallest, from value counts: no group's values meet in one buffer."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("_n"))
+    return counts.groupBy(*groups).agg(F.min_by(column, F.struct(F.negative("_n"), column)).alias(name))
+
+
+def counted_median(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
+    """The median of numbers (mean of the two middle ones) from value counts: a group with a third of all rows is its distinct values."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("_n"))
+    whole = Window.partitionBy(*groups)
+    reached = counts.withColumn("_upto", F.sum("_n").over(whole.orderBy(column))).withColumn("_all", F.sum("_n").over(whole))
+    lower, upper = (F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") + k) / 2), F.col(column))) for k in (1, 2))
+    return reached.groupBy(*groups).agg(((lower.cast("double") + upper.cast("double")) / 2).alias(name))
+
+
 def ordinal_median(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
     """Lower median of any ordered type: the value where half of the group's rows are reached, from value counts."""
-    from pyspark.sql import Window
-
     counts = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*groups).orderBy(column)
     reached = counts.withColumn("_upto", F.sum("_n").over(w)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*groups)))

@@ -61,10 +61,11 @@ def range_buckets(df: DataFrame, column: str, ranges: list[tuple[float, float]],
     return one.select(F.explode(F.array(*fields)).alias("r")).select("r.*")
 
 
-def date_histogram(df: DataFrame, ts: str, width_ms: int, aggs: list[Column] | None = None, bounds: tuple[int, int] | None = None, groups: list[str] | None = None) -> DataFrame:
+def date_histogram(df: DataFrame, ts: str, width_ms: int, aggs: list[Column] | None = None, bounds: tuple[int, int] | None = None, groups: list[str] | None = None, before: int = 0) -> DataFrame:
     """Fixed-width buckets by their start in milliseconds; empty buckets of the range count 0.
 
-    ``bounds`` extends the range; with ``groups`` every group gets every bucket.
+    ``bounds`` extends the range, ``before`` starts it earlier by milliseconds;
+    with ``groups`` every group gets every bucket.
     """
     groups = groups or []
     at = (F.floor(epoch_ms(F.col(ts)) / width_ms) * width_ms).cast("long")
@@ -73,15 +74,63 @@ def date_histogram(df: DataFrame, ts: str, width_ms: int, aggs: list[Column] | N
     if bounds is not None:
         lo, hi = (b // width_ms * width_ms for b in bounds)
         ends = ends.select(F.least("lo", F.lit(lo)).alias("lo"), F.greatest("hi", F.lit(hi)).alias("hi"))
+    if before:
+        ends = ends.withColumn("lo", F.col("lo") - F.lit(-(-before // width_ms) * width_ms))
     spine = ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.lit(width_ms).cast("long"))).alias("bucket"))
     if groups:
         spine = spine.crossJoin(counted.select(*groups).distinct())
     return spine.join(counted, ["bucket", *groups], "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def trailing_ranges(df: DataFrame, ts: str, now_ms: int, groups: list[str], aggs: list[Column]) -> DataFrame:
-    """Aggregates of each group over trailing ranges; a row joins every range that holds it."""
-    age = F.lit(now_ms) - epoch_ms(F.col(ts))
+def series_by(df: DataFrame, ts: str, width_ms: int, group: str, values: list[Any], remainder: str = "remainder") -> DataFrame:
+    """group, bucket, n: a series for each of the given values of a key and one for all other rows, nulls included."""
+    name = F.when(F.col(group).isin(*values), F.col(group).cast("string")).otherwise(remainder)
+    return date_histogram(df.select(F.col(ts), name.alias("group")), ts, width_ms, groups=["group"])
+
+
+def date_groups(df: DataFrame, ts: str) -> DataFrame:
+    """day, n in order of days, rows without a time last."""
+    return df.groupBy(F.to_date(ts).alias("day")).agg(F.count("*").alias("n")).orderBy(F.col("day").asc_nulls_last())
+
+
+def ratio(df: DataFrame, groups: list[str], part: Column, whole: Column) -> DataFrame:
+    """groups, value, value2, ratio: rows of a filter, of another, and the second over the first (null for none)."""
+    counts = df.groupBy(*groups).agg(F.count_if(whole).alias("value"), F.count_if(part).alias("value2"))
+    return counts.withColumn("ratio", F.try_divide("value2", "value"))
+
+
+def daily_counts(df: DataFrame, ts: str, failed: Column) -> DataFrame:
+    """day, runs, failures."""
+    return df.groupBy(F.to_date(ts).alias("day")).agg(F.count_if(~failed).alias("runs"), F.count_if(failed).alias("failures"))
+
+
+def peak(df: DataFrame, groups: list[str], ts: str, value: str) -> DataFrame:
+    """groups, peak_at, peak, last: the largest value, the first time it is reached, and the last time."""
+    first = F.max_by(ts, F.struct(value, F.negative(epoch_ms(F.col(ts)))))
+    return df.groupBy(*groups).agg(first.alias("peak_at"), F.max(value).alias("peak"), F.max(ts).alias("last"))
+
+
+def yearly(df: DataFrame, ts: str, value: str) -> DataFrame:
+    """year, n and the mean of a number."""
+    return df.groupBy(F.year(ts).cast("long").alias("year")).agg(F.count("*").alias("n"), F.avg(value).alias(value))
+
+
+def in_months(df: DataFrame, ts: str, years: list[int], months: list[int]) -> DataFrame:
+    """Rows of some months of some years."""
+    return df.where(F.year(ts).isin(*years) & F.month(ts).isin(*months))
+
+
+def rated(df: DataFrame, key: str, value: str, ts: str) -> DataFrame:
+    """key, n, mean, last in order of the mean, the count and the last time, largest first."""
+    rows = df.groupBy(key).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max(ts).alias("last"))
+    return rows.orderBy(F.desc("mean"), F.desc("n"), F.desc("last"), key)
+
+
+def trailing_ranges(df: DataFrame, ts: str, now_ms: int | None, groups: list[str], aggs: list[Column]) -> DataFrame:
+    """Aggregates of each group over trailing ranges up to an instant (default: the last time); a row joins every range that holds it."""
+    if now_ms is None:
+        df = df.crossJoin(F.broadcast(df.agg(F.max(epoch_ms(F.col(ts))).alias("_now"))))
+    age = (F.col("_now") if now_ms is None else F.lit(now_ms)) - epoch_ms(F.col(ts))
     held = F.array_compact(F.array(*(F.when((age >= 0) & (age <= UNIT_MS[u]), F.lit(k)) for k, u in TRAILING.items())))
     return df.where(age <= max(UNIT_MS[u] for u in TRAILING.values())).withColumn("range", F.explode(held)).groupBy(*groups, "range").agg(*aggs)
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Items of a block of a group whose items are paired.
+BLOCK_ITEMS = 1_000
+
+
 def fk_path_join(base: DataFrame, edges: list[tuple[DataFrame, str, str]]) -> DataFrame:
     """Follow foreign keys from a base table; every base row stays (left joins). Edges: table, its key, the key that refers to it."""
     for table, key, fk in edges:
@@ -80,10 +84,25 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
 
 
 def co_occurrence(df: DataFrame, group: str, item: str) -> DataFrame:
-    """Unordered pairs of items that share a group, and in how many groups."""
+    """Unordered pairs of items that share a group, and in how many groups.
+
+    A group of many items is cut into blocks of about ``BLOCK_ITEMS`` by a hash
+    of the item, and pairs of blocks are joined apart, so that no task holds all
+    pairs of one group.
+    """
     rows = df.select(group, item).distinct()
-    a, b = rows.select(group, F.col(item).alias("a")), rows.select(group, F.col(item).alias("b"))
-    return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    blocks = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ITEMS).alias("_blocks"))
+    rows = rows.join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    a = rows.select(group, F.col(item).alias("a"), F.col("_own").alias("_i"), other.alias("_j"))
+    b = rows.select(group, F.col(item).alias("b"), F.col("_own").alias("_j"), other.alias("_i"))
+    return a.join(b, [group, "_i", "_j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def related_counts(df: DataFrame, related: DataFrame, key: str, fk: str, least: int) -> DataFrame:
+    """Rows with ``n``, how many related rows refer to them, if that is at least ``least`` (1 or more); related rows are counted before the join."""
+    counts = related.groupBy(F.col(fk).alias(key)).agg(F.count("*").alias("n"))
+    return df.join(counts.where(F.col("n") >= least), key)
 
 
 def latest_rows(df: DataFrame, keys: list[str], ts: str, at: Column | None = None) -> DataFrame:

@@ -48,15 +48,14 @@ def history_confidence(failures: DataFrame, history: DataFrame, keys: list[str])
     return out
 
 
-def derive_required(features: DataFrame, requires: DataFrame, depth: int = 8) -> DataFrame:
-    """config, feature with every required feature added, along chains up to a depth. ``requires``: feature, needs."""
+def derive_required(features: DataFrame, requires: DataFrame) -> DataFrame:
+    """config, feature with every required feature added, along chains of any length. ``requires``: feature, needs."""
     found = step = features.select("config", "feature").distinct()
-    for _ in range(depth):
-        step = step.join(requires, "feature").select("config", F.col("needs").alias("feature")).distinct().join(found, ["config", "feature"], "left_anti")
+    while True:
+        step = step.join(requires, "feature").select("config", F.col("needs").alias("feature")).distinct().join(found, ["config", "feature"], "left_anti").persist()
         if step.isEmpty():
-            break
+            return found
         found = found.unionByName(step)
-    return found
 
 
 def excluded_pairs(features: DataFrame, excludes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import haversine_km
+from plumbline.plans.ranking import sliced_lag
 
 
 def segments(df: DataFrame, track: str, ts: str, lat: str, lon: str) -> DataFrame:
@@ -16,10 +17,9 @@ def segments(df: DataFrame, track: str, ts: str, lat: str, lon: str) -> DataFram
 
 
 def gaps(df: DataFrame, key: str, ts: str, longest: float) -> DataFrame:
-    """Per key: events, whole-second gaps up to ``longest`` summed, and longer ones counted."""
-    w = Window.partitionBy(key).orderBy(ts)
-    second = F.unix_seconds(F.col(ts).cast("timestamp"))
-    gap = second - F.lag(second).over(w)
-    rows = df.select(key, gap.alias("gap"))
+    """Per key: events, whole-second gaps up to ``longest`` summed, and longer ones counted. A key is ordered in slices of time."""
+    rows = sliced_lag(df.select(key, ts), key, ts, [], "_before")
+    gap = F.unix_seconds(F.col(ts).cast("timestamp")) - F.unix_seconds(F.col("_before").cast("timestamp"))
+    rows = rows.select(key, gap.alias("gap"))
     near = F.coalesce(F.sum(F.when(F.col("gap") <= longest, F.col("gap"))), F.lit(0))
     return rows.groupBy(key).agg(F.count("*").alias("n"), near.cast("long").alias("active_seconds"), F.count_if(F.col("gap") > longest).alias("breaks"))

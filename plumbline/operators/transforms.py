@@ -111,6 +111,47 @@ def extrema(df: DataFrame, column: str) -> DataFrame:
     return df.crossJoin(F.broadcast(one)).withColumn("bucket", F.floor(F.col(column) / F.pow(F.lit(10.0), power)).cast("long"))
 
 
+def grouped_order(groups: list[str], order: list[dict[str, str]]) -> list[dict[str, str]]:
+    """Grouping implies a sort: the group columns, ascending, come before the order asked for."""
+    return [{"field": g, "direction": "asc"} for g in groups] + [o for o in order if o["field"] not in groups]
+
+
+def grouped_page(df: DataFrame, groups: list[str], order: list[dict[str, str]] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows with their group's metadata in the order that grouping implies, a page of them."""
+    rows = group_metadata(df, groups)
+    rows = rows.orderBy(*total_order(df, grouped_order(groups, order or []))).offset(offset)
+    return rows if limit is None else rows.limit(limit)
+
+
+#: The steps of a records request, in the order in which they apply whatever order they are given in.
+FIXED_ORDER = ("filter", "duplicate_only", "group", "order", "search", "select", "offset", "limit")
+
+
+def in_fixed_order(df: DataFrame, **steps: Any) -> DataFrame:
+    """Apply the given steps (name=spec) in ``FIXED_ORDER``; a group without an order sorts by its columns."""
+    if unknown := set(steps) - set(FIXED_ORDER):
+        raise UnknownFunction(sorted(unknown)[0])
+    if steps.get("group"):
+        steps["order"] = grouped_order(steps["group"], steps.get("order") or [])
+    return apply_transforms(df, [{"type": name, "spec": steps[name]} for name in FIXED_ORDER if steps.get(name) is not None])
+
+
+def top_per_group(df: DataFrame, groups: list[str], order: list[Column], n: int) -> DataFrame:
+    """The first n rows of each group; each task keeps n of a group before anything is shuffled."""
+    at = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    return df.withColumn("_at", at).where(F.col("_at") <= n).drop("_at")
+
+
+def with_column(df: DataFrame, name: str, kind: str, default: Any = None) -> DataFrame:
+    """A new column of a type, filled with a default."""
+    return df.withColumn(name, F.lit(default).cast(kind))
+
+
+def duplicate_column(df: DataFrame, column: str, name: str, data: bool = True) -> DataFrame:
+    """A copy of a column, with its values or only its type."""
+    return df.withColumn(name, F.col(column) if data else F.lit(None).cast(df.schema[column].dataType))
+
+
 def rank_in(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     return df.withColumn(name, F.rank().over(Window.partitionBy(*keys).orderBy(*order)))
 

@@ -1,10 +1,8 @@
-"""Parameter tables, task graphs and saved queries."""
+"""Parameter tables and saved queries."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
-from graphlib import TopologicalSorter
 from itertools import product
 from typing import Any
 
@@ -28,13 +26,9 @@ def for_range(spark: SparkSession, start: int, end: int, step: int | None = None
     return rows.select(F.col("id").alias("index"), lo.alias("from"), F.least(lo + step, F.lit(end)).cast("long").alias("to"))
 
 
-def run_tasks(tasks: dict[str, tuple[list[str], Callable[..., Any]]]) -> dict[str, Any]:
-    """Run named tasks after those they depend on; each gets their results."""
-    done: dict[str, Any] = {}
-    for name in TopologicalSorter({k: deps for k, (deps, _) in tasks.items()}).static_order():
-        deps, f = tasks[name]
-        done[name] = f(*(done[d] for d in deps))
-    return done
+def loop(spark: SparkSession, n: int) -> DataFrame:
+    """i = 0, 1, ... n - 1, as rows that a plan joins instead of a driver's loop."""
+    return spark.range(n).select(F.col("id").alias("i"))
 
 
 def run_sql(spark: SparkSession, text: str, **args: Any) -> DataFrame:

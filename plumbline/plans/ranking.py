@@ -26,3 +26,34 @@ def running_total(df: DataFrame, order: list[Column], value: Column, name: str)
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add 1, 2, ... in a global order."""
     return running_total(df, order, F.lit(1), name)
+
+
+#: Seconds of a slice: a key's rows are ordered a slice at a time, in different tasks.
+SLICE_S = 7 * 86400
+
+
+def _sliced(df: DataFrame, key: str, ts: str, order: list[str], seconds: float) -> tuple[DataFrame, Window, Window]:
+    rows = df.withColumn("_slice", F.floor(F.col(ts).cast("timestamp").cast("double") / seconds))
+    return rows, Window.partitionBy(key, "_slice").orderBy(ts, *order), Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _beside(rows: DataFrame, per_slice: DataFrame, key: str) -> DataFrame:
+    """Rows with their slice's values; null keys and times match as well."""
+    slices = per_slice.select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), "_carried")
+    return rows.join(slices, rows[key].eqNullSafe(slices["_key"]) & rows["_slice"].eqNullSafe(slices["_at"])).drop("_key", "_at", "_slice")
+
+
+def sliced_place(df: DataFrame, key: str, ts: str, order: list[str], name: str, seconds: float = SLICE_S) -> DataFrame:
+    """Add each row's place (1, 2, ...) in its key's time order; no key is ordered in one task."""
+    rows, inside, before = _sliced(df, key, ts, order, seconds)
+    counts = rows.groupBy(key, "_slice").agg(F.count("*").alias("_n")).select(key, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_carried"))
+    return _beside(rows.withColumn(name, F.row_number().over(inside)), counts, key).withColumn(name, F.col(name) + F.col("_carried")).drop("_carried")
+
+
+def sliced_lag(df: DataFrame, key: str, ts: str, order: list[str], name: str, seconds: float = SLICE_S) -> DataFrame:
+    """Add the time of the row before in each key's time order; no key is ordered in one task."""
+    rows, inside, before = _sliced(df, key, ts, order, seconds)
+    ends = rows.groupBy(key, "_slice").agg(F.max(ts).alias("_end")).select(key, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    first = F.row_number().over(inside) == 1
+    lagged = rows.withColumns({name: F.lag(ts).over(inside), "_first": first})
+    return _beside(lagged, ends, key).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name))).drop("_carried", "_first")

@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalars as S
-from plumbline.functions.expressions import apply_filter
+from plumbline.functions.expressions import any_term, apply_filter, missing
 from plumbline.operators import aggregates as A
 from plumbline.operators import analytics as N
 from plumbline.operators import joins as J
 from plumbline.operators import nested as D
+from plumbline.operators import records as C
 from plumbline.operators import tracks as K
 from plumbline.operators import transforms as T
 from plumbline.plans import flow as P
@@ -91,7 +92,7 @@ def duplicates_only(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) IN (1995, 1996) AND month(o_orderdate) = 3")
 def filter_year_month(spark, d):
-    return t(spark, d, "orders").where(F.year("o_orderdate").isin(1995, 1996) & (F.month("o_orderdate") == 3)).select("o_orderkey", "o_totalprice")
+    return N.in_months(t(spark, d, "orders"), "o_orderdate", [1995, 1996], [3]).select("o_orderkey", "o_totalprice")
 
 
 # aggregation -------------------------------------------------------------
@@ -135,9 +136,7 @@ SELECT s.bucket, coalesce(n, 0) AS n, most FROM s LEFT JOIN b USING (bucket)
 
 @query(HISTOGRAM)
 def date_histogram_zero_fill(spark, d):
-    events = t(spark, d, "events")
-    first = events.agg(F.min(S.epoch_ms(F.col("ts")))).first()[0]
-    return N.date_histogram(events, "ts", 3_600_000, [F.max("value").alias("most")], (first - 7_200_000, first))
+    return N.date_histogram(t(spark, d, "events"), "ts", 3_600_000, [F.max("value").alias("most")], before=7_200_000)
 
 
 @query(
@@ -154,9 +153,7 @@ def histogram_with_terms(spark, d):
     " SELECT event_type, r.k AS range, count(*) AS n, max(value) AS most FROM e JOIN (VALUES ('1m', 60000), ('1h', 3600000), ('1d', 86400000), ('1w', 604800000), ('1M', 2629746000)) r(k, w) ON age <= r.w GROUP BY 1, 2"
 )
 def trailing_ranges_rollup(spark, d):
-    events = t(spark, d, "events")
-    now = events.agg(F.max(S.epoch_ms(F.col("ts")))).first()[0]
-    return N.trailing_ranges(events, "ts", now, ["event_type"], [F.count("*").alias("n"), F.max("value").alias("most")])
+    return N.trailing_ranges(t(spark, d, "events"), "ts", None, ["event_type"], [F.count("*").alias("n"), F.max("value").alias("most")])
 
 
 @query(
@@ -185,9 +182,13 @@ def median_of_times(spark, d):
     return A.ordinal_median(t(spark, d, "orders"), ["o_orderstatus"], "o_orderdate", "middle")
 
 
-@query("SELECT strftime(o_orderdate, '%Y') || '-' || CAST(month(o_orderdate) AS VARCHAR) AS month, count(*) AS n FROM orders GROUP BY 1")
+@query(
+    "WITH m AS (SELECT date_trunc('month', o_orderdate) AS m, count(*) AS n FROM orders WHERE month(o_orderdate) NOT IN (2, 7) GROUP BY 1),"
+    " s AS (SELECT unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH)) AS m)"
+    " SELECT strftime(s.m, '%Y') || '-' || CAST(month(s.m) AS VARCHAR) AS month, coalesce(n, 0) AS n FROM s LEFT JOIN m ON s.m = m.m"
+)
 def month_counts_zero_fill(spark, d):
-    return N.month_counts(t(spark, d, "orders"), "o_orderdate")
+    return N.month_counts(t(spark, d, "orders").where("month(o_orderdate) NOT IN (2, 7)"), "o_orderdate")
 
 
 @query("SELECT c_mktsegment, count(*) AS n, CAST(floor(100.0 * count(*) / (SELECT count(*) FROM customer WHERE c_mktsegment <> '') + 0.5) AS BIGINT) AS percent FROM customer WHERE c_mktsegment <> '' GROUP BY 1")
@@ -237,15 +238,17 @@ def mean_vector(spark, d):
 
 @query("SELECT l_suppkey, count(*) AS n, round(avg(l_discount), 6) AS mean, max(l_shipdate) AS last FROM lineitem WHERE l_quantity > 10 GROUP BY 1 ORDER BY avg(l_discount) DESC, 2 DESC, 4 DESC, 1")
 def rating_summary(spark, d):
-    rows = t(spark, d, "lineitem").where("l_quantity > 10").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.round(F.avg("l_discount"), 6).alias("mean"), F.max("l_shipdate").alias("last"))
-    return rows.orderBy(F.desc("mean"), F.desc("n"), F.desc("last"), "l_suppkey")
+    return N.rated(t(spark, d, "lineitem").where("l_quantity > 10"), "l_suppkey", "l_discount", "l_shipdate").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT c_nationkey, CAST(count(DISTINCT c_mktsegment) AS BIGINT) AS segments, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE AS total FROM customer GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 10")
+@query(
+    "SELECT s_suppkey, s_name, count(DISTINCT l_orderkey) AS orders, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS metric FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2 ORDER BY 4 DESC, 1 LIMIT 10"
+)
 def top_suppliers(spark, d):
-    out = t(spark, d, "customer").groupBy("c_nationkey").agg(F.count_distinct("c_mktsegment").alias("segments"), F.sum(money("c_acctbal")).cast("double").alias("total"))
-    return out.orderBy(F.desc("total"), "c_nationkey").limit(10)
-
+    best = N.terms(t(spark, d, "lineitem"), "l_suppkey", F.sum(money("l_extendedprice")), size=10).drop("n")
+    orders = t(spark, d, "lineitem").join(F.broadcast(best), "l_suppkey").groupBy("l_suppkey", "metric").agg(F.count_distinct("l_orderkey").alias("orders"))
+    rows = J.fk_path_join(orders, [(t(spark, d, "supplier"), "s_suppkey", "l_suppkey")])
+    return rows.select("s_suppkey", "s_name", "orders", F.col("metric").cast("double").alias("metric"))
 
 
 @query(
@@ -263,12 +266,30 @@ def day_difference_flag_matrix(spark, d):
 # windows, order, pages -----------------------------------------------------
 
 
-@query("SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS n, dense_rank() OVER (ORDER BY c_mktsegment, c_nationkey) AS group_id FROM customer")
+@query(
+    "SELECT c_custkey, count(*) OVER w AS n, first_value(c_mktsegment) OVER w AS first_segment, first_value(c_nationkey) OVER w AS first_nation, last_value(c_mktsegment) OVER w AS last_segment,"
+    " last_value(c_nationkey) OVER w AS last_nation, dense_rank() OVER (ORDER BY c_mktsegment, c_nationkey) AS group_id FROM customer"
+    " WINDOW w AS (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_mktsegment, c_nationkey RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+)
 def group_metadata(spark, d):
     out = T.group_metadata(t(spark, d, "customer"), ["c_mktsegment", "c_nationkey"])
+    ends = [F.col(f"group_metadata.{e}_value.{c}").alias(f"{e}_{n}") for e in ("first", "last") for c, n in (("c_mktsegment", "segment"), ("c_nationkey", "nation"))]
+    return out.select("c_custkey", F.col("group_metadata.count").alias("n"), *ends, F.col("group_metadata.group_id").alias("group_id"))
+
+
+@query("SELECT c_custkey, count(*) OVER (PARTITION BY c_mktsegment) AS n, dense_rank() OVER (ORDER BY c_mktsegment) AS group_id FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 50 OFFSET 20")
+def group_metadata_page(spark, d):
+    out = T.grouped_page(t(spark, d, "customer"), ["c_mktsegment"], [{"field": "c_acctbal", "direction": "desc"}], 20, 50)
     return out.select("c_custkey", F.col("group_metadata.count").alias("n"), F.col("group_metadata.group_id").alias("group_id"))
 
 
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_totalprice > 100000 ORDER BY o_orderstatus, o_orderdate DESC, o_orderkey LIMIT 40 OFFSET 10")
+def fixed_step_order(spark, d):
+    """Steps apply in the fixed order whatever order they are given in; grouping sorts by its columns first."""
+    steps = {"limit": 40, "offset": 10, "select": ["o_orderkey", "o_orderstatus"], "order": [{"field": "o_orderdate", "direction": "desc"}], "group": ["o_orderstatus"]}
+    return T.in_fixed_order(t(spark, d, "orders"), **steps, filter={"greater": [col("o_totalprice"), lit(100000)]})
+
+
 @query(
     "WITH c AS (SELECT o_totalprice AS p, cume_dist() OVER (ORDER BY o_totalprice) AS k FROM orders)"
     " SELECT CAST(least(ceil(k * 4) - 1, 3) AS INTEGER) AS range, min(p) AS first, max(p) AS last, count(*) AS \"count\" FROM c GROUP BY 1"
@@ -349,9 +370,10 @@ def semi_join(spark, d):
     return J.semi_join(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000)")
 def anti_join(spark, d):
-    return J.anti_join(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    large = t(spark, d, "orders").where("o_orderstatus = 'F' AND o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return J.anti_join(t(spark, d, "customer").select("c_custkey"), large, "c_custkey")
 
 
 @query(
@@ -376,7 +398,12 @@ def range_join(spark, d):
     return J.range_join(t(spark, d, "part"), ranges, "p_retailprice", "lo", "hi", 250.0).select("p_partkey", "name")
 
 
-@query("SELECT DISTINCT target, depth FROM (SELECT 'nation' AS target, 1 AS depth UNION ALL SELECT 'orders', 1 UNION ALL SELECT 'lineitem', 2 UNION ALL SELECT 'region', 2 UNION ALL SELECT 'supplier', 2)")
+@query(
+    "WITH RECURSIVE e(id, a, b) AS (VALUES (1, 'customer', 'nation'), (2, 'nation', 'region'), (3, 'orders', 'customer'), (4, 'lineitem', 'orders'), (5, 'supplier', 'nation'), (6, 'lineitem', 'supplier')),"
+    " two AS (SELECT id, a, b FROM e UNION ALL SELECT id, b, a FROM e),"
+    " r(target, last, depth) AS (SELECT b, id, 1 FROM two WHERE a = 'customer' UNION ALL SELECT two.b, two.id, depth + 1 FROM r JOIN two ON two.a = r.target AND two.id <> r.last WHERE depth < 2)"
+    " SELECT DISTINCT target, depth FROM r"
+)
 def joinable_tables(spark, d):
     edges = [(1, "customer", "nation"), (2, "nation", "region"), (3, "orders", "customer"), (4, "lineitem", "orders"), (5, "supplier", "nation"), (6, "lineitem", "supplier")]
     return J.joinable_tables(spark.createDataFrame(edges, "id int, source string, target string"), "customer").select("target", "depth").distinct()
@@ -467,14 +494,12 @@ def upsert_latest(spark, d):
 
 @query("SELECT event_type, arg_max(ts, value) AS peak_at, max(value) AS peak, max(ts) AS last FROM (SELECT * FROM events ORDER BY ts DESC, event_id) GROUP BY 1")
 def peak_of_series(spark, d):
-    rows = t(spark, d, "events").groupBy("event_type").agg(F.max_by("ts", F.struct("value", F.negative(S.epoch_ms(F.col("ts"))))).alias("peak_at"), F.max("value").alias("peak"), F.max("ts").alias("last"))
-    return rows.select("event_type", "peak_at", "peak", "last")
+    return N.peak(t(spark, d, "events"), ["event_type"], "ts", "value")
 
 
 @query("SELECT l_returnflag, count_if(l_quantity > 10) AS value, count_if(l_quantity > 40) AS value2, CASE WHEN count_if(l_quantity > 10) = 0 THEN NULL ELSE round(count_if(l_quantity > 40) / count_if(l_quantity > 10), 6) END AS ratio FROM lineitem GROUP BY 1")
 def ratio_of_filters(spark, d):
-    out = t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count_if(F.col("l_quantity") > 10).alias("value"), F.count_if(F.col("l_quantity") > 40).alias("value2"))
-    return out.withColumn("ratio", F.round(F.try_divide("value2", "value"), 6))
+    return N.ratio(t(spark, d, "lineitem"), ["l_returnflag"], F.col("l_quantity") > 40, F.col("l_quantity") > 10).withColumn("ratio", F.round("ratio", 6))
 
 
 @query(
@@ -482,15 +507,14 @@ def ratio_of_filters(spark, d):
     " SELECT coalesce(r.day, f.day) AS day, coalesce(runs, 0) AS runs, coalesce(failures, 0) AS failures FROM r FULL JOIN f ON r.day = f.day"
 )
 def failure_counts_per_day(spark, d):
-    rows = t(spark, d, "events").groupBy(F.to_date("ts").alias("day"))
-    return rows.agg(F.count_if(F.col("event_type") != "purchase").alias("runs"), F.count_if(F.col("event_type") == "purchase").alias("failures"))
+    return N.daily_counts(t(spark, d, "events"), "ts", F.col("event_type") == "purchase")
 
 
 @query("SELECT year(o_orderdate) AS year, count(*) AS n, round(avg(lines), 6) AS lines FROM (SELECT o_orderdate, count(l_orderkey) AS lines FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey, o_orderdate) GROUP BY 1")
 def counts_by_year(spark, d):
     lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
     rows = t(spark, d, "orders").join(lines, "o_orderkey", "left").fillna(0, ["lines"])
-    return rows.groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"), F.round(F.avg("lines"), 6).alias("lines"))
+    return N.yearly(rows, "o_orderdate", "lines").withColumn("lines", F.round("lines", 6))
 
 
 @query("SELECT r_name FROM region UNION ALL SELECT n_name FROM nation")
@@ -498,15 +522,14 @@ def union_all(spark, d):
     return t(spark, d, "region").select("r_name").unionAll(t(spark, d, "nation").select("n_name"))
 
 
-@query("SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+@query("SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
 def set_difference(spark, d):
-    return t(spark, d, "customer").select("c_nationkey").subtract(t(spark, d, "supplier").select("s_nationkey"))
+    return t(spark, d, "customer").select("c_nationkey").subtract(t(spark, d, "supplier").where("s_acctbal > 8000").select("s_nationkey"))
 
 
 @query("SELECT c_custkey, CAST(count(o_orderkey) AS BIGINT) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1 HAVING count(o_orderkey) > 12")
 def related_count_filter(spark, d):
-    counts = t(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n")).where("n > 12")
-    return t(spark, d, "customer").select("c_custkey").join(counts, "c_custkey")
+    return J.related_counts(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders"), "c_custkey", "o_custkey", 13)
 
 
 @query("SELECT o_custkey, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
@@ -521,7 +544,214 @@ def message_counters(spark, d):
 
 @query("SELECT p_brand, p_partkey, p_retailprice FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 3")
 def top_n_per_group(spark, d):
-    from pyspark.sql import Window
+    rows = t(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice")
+    return T.top_per_group(rows, ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")], 3)
+
+
+# filters by kind of value --------------------------------------------------------
+
+
+@query("SELECT page_id FROM pages WHERE regexp_extract(url, '^([^:/?#]+):', 1) = 'https' AND contains(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), 'example.org')")
+def filter_uri(spark, d):
+    tree = {"and": [{"uri_scheme_equals": [col("url"), lit("https")]}, {"uri_authority_contains": [col("url"), lit("example.org")]}]}
+    return apply_filter(t(spark, d, "pages"), tree).select("page_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR contains(lower(c_mktsegment) || c_nationkey, 'o1')")
+def filter_email(spark, d):
+    mail = F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@"), F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit(".org"))
+    tree = {"or": [{"and": [{"email_domain_contains": [col("mail"), lit("building")]}, {"not_null": [col("mail")]}]}, {"email_domain_contains": [col("mail"), lit("o1")]}]}
+    return apply_filter(t(spark, d, "customer").withColumn("mail", mail), tree).select("c_custkey")
+
+
+@query(
+    "WITH e AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN '[\"' || event_type || '\"]' ELSE '[\"a\", \"' || event_type || '\", \"b\"]' END AS tags FROM events)"
+    " SELECT event_id FROM e WHERE json_array_length(tags) > 0 AND json_array_length(tags) <= 3 AND list_contains(json_extract_string(tags, '$[*]'), 'click')"
+)
+def filter_json_array(spark, d):
+    tags = F.expr("CASE event_id % 3 WHEN 0 THEN '[]' WHEN 1 THEN concat('[\"', event_type, '\"]') ELSE concat('[\"a\", \"', event_type, '\", \"b\"]') END")
+    tree = {"and": [{"json_array_not_empty": [col("tags")]}, {"json_array_length_less_or_equal": [col("tags"), lit(3)]}, {"json_array_contains": [col("tags"), lit('["click"]')]}]}
+    return apply_filter(t(spark, d, "events").withColumn("tags", tags), tree).select("event_id")
+
+
+@query("SELECT p_partkey FROM part WHERE len(string_split(p_name, ' ')) >= 2 AND list_contains(string_split(p_name, ' '), 'ring')")
+def filter_array(spark, d):
+    tree = {"and": [{"array_length_greater_or_equal": [col("words"), lit(2)]}, {"array_not_empty": [col("words")]}, {"array_contains": [col("words"), lit("ring")]}]}
+    return apply_filter(t(spark, d, "part").withColumn("words", F.split("p_name", " ")), tree).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part WHERE (p_name ILIKE '%ring%' OR p_type ILIKE '%ring%') AND (p_name ILIKE '%econ%' OR p_type ILIKE '%econ%')")
+def any_term_search(spark, d):
+    return apply_filter(t(spark, d, "part"), any_term(["p_name", "p_type"], ["RING", "econ"])).select("p_partkey")
+
+
+@query("SELECT doc_id FROM documents WHERE text IS NULL OR text = '' OR lang IS NULL OR CASE WHEN source = 'src0' THEN '' ELSE source END = ''")
+def missing_audit(spark, d):
+    docs = t(spark, d, "documents").withColumn("source", F.when(F.col("source") != "src0", F.col("source")))
+    return docs.where(missing(F.col("text")) | missing(F.col("lang")) | missing(F.col("source"))).select("doc_id")
+
+
+# summaries, series and states ----------------------------------------------------
+
+
+@query(
+    "WITH s AS (SELECT event_type, hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS s, month(ts) - 1 AS m FROM events),"
+    " a AS (SELECT event_type, atan2(avg(sin(s * 2 * pi() / 86400)), avg(cos(s * 2 * pi() / 86400))) AS a, atan2(avg(sin(m * 2 * pi() / 12)), avg(cos(m * 2 * pi() / 12))) AS b FROM s GROUP BY 1),"
+    " r AS (SELECT event_type, CAST(round((CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END) * 86400 / (2 * pi())) AS BIGINT) % 86400 AS s, CAST(round((CASE WHEN b < 0 THEN b + 2 * pi() ELSE b END) * 12 / (2 * pi())) AS INTEGER) % 12 + 1 AS peak_month FROM a)"
+    " SELECT event_type, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS peak_time, peak_month FROM r"
+)
+def peak_times(spark, d):
+    made = [{"function": f, "column": "ts", "alias": f} for f in ("peak_time", "peak_month")]
+    return A.summarize(t(spark, d, "events"), ["event_type"], made)
+
+
+@query("SELECT user_id, sum(CASE WHEN event_id % 4 = 0 THEN -1 ELSE 1 END * CAST(round(value * 100) AS BIGINT))::BIGINT AS sum, sum(CASE WHEN event_id % 4 = 0 THEN -1 ELSE 1 END)::BIGINT AS n FROM events GROUP BY 1 HAVING sum(CASE WHEN event_id % 4 = 0 THEN -1 ELSE 1 END) <> 0")
+def retracted_statistics(spark, d):
+    rows = t(spark, d, "events").select("user_id", F.round(F.col("value") * 100).cast("long").alias("cents"), F.when(F.col("event_id") % 4 == 0, -1).otherwise(1).alias("sign"))
+    return M.signed_statistics(rows, ["user_id"], "cents", "sign")
+
+
+@query(
+    "WITH o AS (SELECT l_returnflag, l_linenumber AS partition, max(l_orderkey) % 1000 AS committed, max(l_partkey) % 1000 AS log_end FROM lineitem GROUP BY 1, 2), l AS (SELECT *, greatest(0, log_end - committed) AS lag FROM o)"
+    " SELECT l_returnflag, sum(lag)::BIGINT AS total_lag, max(lag) AS max_lag, (SELECT partition FROM l x WHERE x.l_returnflag = l.l_returnflag ORDER BY lag DESC, partition LIMIT 1) AS max_partition FROM l GROUP BY 1"
+)
+def consumer_lags(spark, d):
+    offsets = t(spark, d, "lineitem").groupBy("l_returnflag", F.col("l_linenumber").alias("partition")).agg((F.max("l_orderkey") % 1000).alias("committed"), (F.max("l_partkey") % 1000).alias("log_end"))
+    return M.consumer_lag(offsets, ["l_returnflag"])
+
+
+@query(
+    "SELECT conv_id, turn, row_number() OVER w AS message, CASE WHEN role = 'assistant' THEN sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) ELSE -1 END::BIGINT AS error"
+    " FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)"
+)
+def running_errors(spark, d):
+    out = C.running_errors(t(spark, d, "conversations"), "conv_id", ["turn", "role", "text"], F.col("role") == "assistant")
+    return out.select("conv_id", "turn", F.col("message").cast("long").alias("message"), F.col("error").cast("long").alias("error"))
+
+
+@query(
+    "WITH b AS (SELECT CASE WHEN event_type IN ('click', 'purchase') THEN event_type ELSE 'remainder' END AS \"group\", CAST(floor(epoch_ms(ts) / 86400000.0) AS BIGINT) * 86400000 AS bucket FROM events),"
+    " s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), 86400000)) AS bucket)"
+    " SELECT g.\"group\", s.bucket, count(b.bucket) AS n FROM s CROSS JOIN (SELECT DISTINCT \"group\" FROM b) g LEFT JOIN b ON b.bucket = s.bucket AND b.\"group\" = g.\"group\" GROUP BY 1, 2"
+)
+def series_with_remainder(spark, d):
+    return N.series_by(t(spark, d, "events"), "ts", 86_400_000, "event_type", ["click", "purchase"])
+
+
+@query("SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS day, count(*) AS n FROM orders GROUP BY 1 ORDER BY 1 NULLS LAST")
+def date_groups_nulls_last(spark, d):
+    return N.date_groups(t(spark, d, "orders").withColumn("at", F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate"))), "at")
+
+
+@query("SELECT l_suppkey, median(l_quantity) AS middle FROM lineitem GROUP BY 1")
+def median_by_counts(spark, d):
+    return A.counted_median(t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "middle")
+
+
+@query("WITH c AS (SELECT l_suppkey, l_quantity, count(*) AS n FROM lineitem GROUP BY 1, 2) SELECT l_suppkey, l_quantity AS common FROM c QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, l_quantity) = 1")
+def mode_by_counts(spark, d):
+    return A.counted_mode(t(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "common")
+
+
+@query(
+    "SELECT r.a AS \"from\", r.b AS \"to\", count(o_orderkey) AS n FROM (VALUES (TIMESTAMP '1990-01-01', TIMESTAMP '1991-01-01'), (TIMESTAMP '1991-01-01', TIMESTAMP '1996-07-01'), (TIMESTAMP '1996-07-01', TIMESTAMP '1997-01-01')) r(a, b)"
+    " LEFT JOIN orders ON o_orderdate >= r.a AND o_orderdate < r.b GROUP BY 1, 2"
+)
+def interval_counts(spark, d):
+    edges = [datetime(1990, 1, 1), datetime(1991, 1, 1), datetime(1996, 7, 1), datetime(1997, 1, 1)]
+    return C.interval_counts(t(spark, d, "orders"), "o_orderdate", edges)
+
+
+@query("SELECT i, i * i AS square FROM range(12) r(i)")
+def loop_rows(spark, d):
+    return P.loop(spark, 12).withColumn("square", F.col("i") * F.col("i"))
+
+
+@query(
+    "WITH h AS (SELECT user_id, event_type FROM events WHERE event_id % 10 = 0) SELECT event_id, CASE WHEN EXISTS (SELECT 1 FROM h WHERE h.user_id = e.user_id AND h.event_type = e.event_type) THEN 75"
+    " WHEN EXISTS (SELECT 1 FROM h WHERE h.user_id = e.user_id) THEN 50 ELSE 0 END AS confidence FROM events e WHERE event_id % 2 = 1"
+)
+def failure_confidence(spark, d):
+    events = t(spark, d, "events")
+    return C.history_confidence(events.where("event_id % 2 = 1"), events.where("event_id % 10 = 0"), ["user_id", "event_type"]).select("event_id", "confidence")
+
+
+@query("SELECT c_custkey, list_has_any([c_nationkey, CAST(c_custkey % 25 AS INTEGER)], [3, 5, 11]) AS hit FROM customer")
+def any_pair_of_arrays(spark, d):
+    rows = t(spark, d, "customer").select("c_custkey", F.array(F.col("c_nationkey"), (F.col("c_custkey") % 25).cast("int")).alias("a"), F.array(F.lit(3), F.lit(5), F.lit(11)).alias("b"))
+    return rows.select("c_custkey", D.any_pair("a", "b", lambda x, y: x == y).alias("hit"))
+
+
+# more scalars ------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS at, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def iso_instants(spark, d):
+    at = F.col("o_orderdate")
+    return t(spark, d, "orders").select("o_orderkey", S.iso_instant(at).alias("at"), S.iso_instant(at, time=False).alias("day"))
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) WHEN o_orderkey % 3 = 1 THEN NULL ELSE TRY_CAST(strftime(o_orderdate, '%Y') || '-02-30' AS DATE) END AS day FROM orders"
+)
+def strict_dates(spark, d):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 3 == 0, day).when(F.col("o_orderkey") % 3 == 1, F.concat(day, F.lit("x"))).otherwise(F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("-02-30")))
+    return t(spark, d, "orders").select("o_orderkey", S.strict_date(text).alias("day"))
+
+
+@query(
+    "SELECT o_orderkey, CAST(CASE WHEN isodow(o_orderdate) = 6 THEN CAST(o_orderdate AS DATE) + 2 WHEN isodow(o_orderdate) = 7 THEN CAST(o_orderdate AS DATE) + 1 ELSE CAST(o_orderdate AS DATE) END AS DATE) AS base,"
+    " list_filter(list_transform(range(1, 30), lambda i: base + CAST(i AS INTEGER)), lambda x: isodow(x) < 6)[7] AS due FROM orders"
+)
+def due_dates(spark, d):
+    start = F.to_date("o_orderdate")
+    base = F.date_add(start, F.greatest(F.lit(0), F.lit(7) - F.weekday(start)).cast("int") * (F.weekday(start) >= 5).cast("int"))
+    return t(spark, d, "orders").select("o_orderkey", base.alias("base"), S.due_date(start, F.lit(7)).alias("due"))
+
+
+@query("SELECT event_id, json_type(CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' ELSE '7' END) = 'ARRAY' AS is_array, json_type(CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '[' || props || ']' ELSE '7' END) = 'OBJECT' AS is_object FROM events")
+def json_kinds(spark, d):
+    text = F.expr("CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN concat('[', props, ']') ELSE '7' END")
+    return t(spark, d, "events").select("event_id", S.is_json_array(text).alias("is_array"), S.is_json_object(text).alias("is_object"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) SIMILAR TO '.*[.](org|net)' AS known FROM pages")
+def known_tld(spark, d):
+    return t(spark, d, "pages").select("page_id", S.has_known_tld(S.uri_part(F.col("url"), "authority"), ["ORG", ".net"]).alias("known"))
+
+
+@query("SELECT c_nationkey, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE AS total FROM customer GROUP BY 1")
+def downcast_sum(spark, d):
+    rows = t(spark, d, "customer").select("c_nationkey", S.downcast(F.format_string("%.2f", "c_acctbal"), "money").alias("amount"))
+    return A.summarize(rows, ["c_nationkey"], [{"function": "sum", "column": "amount", "alias": "total"}]).withColumn("total", F.col("total").cast("double"))
+
+
+@query(
+    "WITH c AS (SELECT p_partkey, w, levenshtein(left(p_type, 5), w) AS e FROM part, (VALUES ('ECONO'), ('LARGE'), ('SMALL'), ('STAND')) v(w) WHERE levenshtein(left(p_type, 5), w) <= floor(length(left(p_type, 5)) * 0.6))"
+    " SELECT part.p_partkey, (SELECT w FROM c WHERE c.p_partkey = part.p_partkey ORDER BY e, w LIMIT 1) AS nearest FROM part"
+)
+def suggestions(spark, d):
+    return t(spark, d, "part").select("p_partkey", S.suggestion(F.substring("p_type", 1, 5), ["STAND", "ECONO", "SMALL", "LARGE"], 0.6).alias("nearest"))
+
+
+@query("SELECT page_id, url || '<U+01F600>' || 'é' AS safe FROM pages")
+def astral_escape(spark, d):
+    return t(spark, d, "pages").select("page_id", S.escape_astral(F.concat("url", F.lit("😀é"))).alias("safe"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS message FROM customer")
+def log_parts(spark, d):
+    line = F.when(F.col("c_custkey") % 2 == 0, F.concat_ws(" | ", "c_name", "c_nationkey", "c_mktsegment")).otherwise(F.col("c_name"))
+    return t(spark, d, "customer").select("c_custkey", S.log_part(line).alias("message"))
+
+
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
+def folded_text(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.folded(F.col("text")).alias("folded"))
+
 
-    order = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
-    return t(spark, d, "part").select("p_brand", "p_partkey", "p_retailprice", F.row_number().over(order).alias("r")).where("r <= 3").drop("r")
+@query("SELECT o_orderkey, o_orderstatus AS status, NULL::VARCHAR AS shape, 7::BIGINT AS level FROM orders")
+def columns_added(spark, d):
+    rows = T.duplicate_column(t(spark, d, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", "status")
+    return T.with_column(T.duplicate_column(rows, "o_orderstatus", "shape", data=False), "level", "bigint", 7).drop("o_orderstatus")

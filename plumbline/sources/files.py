@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.errors import UnsupportedFormat
+from plumbline.functions.scalars import geo_feature
 
 NAME_LIMIT = 63
 #: Charsets that are read as another.
@@ -26,8 +27,26 @@ def _csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, en
     return df if header else df.toDF(*(f"column_{i}" for i in range(len(df.columns))))
 
 
+#: Separators that a delimited file may have, in order of preference.
+SEPARATORS = (",", "\t", ";", ":", "|")
+
+
+def sniffed_separator(spark: SparkSession, path: str, lines: int = 20) -> str:
+    """The separator that occurs equally often in each of the first lines, the most frequent one, else the comma. Quoted parts do not count."""
+    rows = [re.sub(r'"(?:[^"]|"")*"', "", r.value) for r in spark.read.text(path).limit(lines).collect() if r.value.strip()]
+    found = {s: rows[0].count(s) for s in SEPARATORS if rows and rows[0].count(s) and all(r.count(s) == rows[0].count(s) for r in rows)}
+    return max(found, key=lambda s: found[s]) if found else ","
+
+
 def _json(spark: SparkSession, path: str, **options: Any) -> DataFrame:
-    return spark.read.options(multiLine=True, **options).json(path)
+    """Objects or lists of objects; what is neither fails instead of becoming nulls."""
+    return spark.read.options(**{"multiLine": True, "mode": "FAILFAST"} | options).json(path)
+
+
+def first_seen_keys(lines: DataFrame, column: str = "value") -> list[str]:
+    """Top-level keys of JSON objects, one a row, in the order in which they are first seen: by row, then by place in the object."""
+    rows = lines.select(F.posexplode(F.json_object_keys(column)).alias("place", "key"), F.monotonically_increasing_id().alias("row"))
+    return [r.key for r in rows.groupBy("key").agg(F.min(F.struct("row", "place")).alias("at")).orderBy("at").collect()]
 
 
 READERS: dict[str, Reader] = {
@@ -38,6 +57,7 @@ READERS: dict[str, Reader] = {
     "parquet": lambda spark, path, **o: spark.read.options(**o).parquet(path),
     "orc": lambda spark, path, **o: spark.read.options(**o).orc(path),
     "jdbc": lambda spark, path, **o: spark.read.format("jdbc").options(url=path, **o).load(),
+    "xml": lambda spark, path, **o: spark.read.options(**o).xml(path),
     "text": lambda spark, path, **o: spark.read.options(**o).text(path),
 }
 
@@ -49,7 +69,7 @@ def read(spark: SparkSession, kind: str, path: str, **options: Any) -> DataFrame
 
 
 def write(df: DataFrame, kind: str, path: str, mode: str = "error", **options: Any) -> None:
-    """CSV quotes only where needed, doubles quotes, writes the empty string as "" and null as nothing."""
+    """CSV quotes only where needed, doubles quotes, writes the empty string as "" and null as nothing; GeoJSON (lon=, lat=) a feature a line."""
     writer = df.write.mode(mode)
     if kind in ("csv", "tsv"):
         rows = df.select(*(F.regexp_replace(c, "\r\n?", "\n").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes))
@@ -57,6 +77,10 @@ def write(df: DataFrame, kind: str, path: str, mode: str = "error", **options: A
         rows.write.mode(mode).options(**settings).csv(path)
     elif kind in ("json", "jsonl"):
         writer.options(**options).json(path)
+    elif kind == "geojson":
+        lon, lat = options.pop("lon"), options.pop("lat")
+        feature = geo_feature(F.col(lon), F.col(lat), *(c for c in df.columns if c not in (lon, lat)))
+        df.select(feature.alias("value")).write.mode(mode).options(**options).text(path)
     elif kind in ("parquet", "orc"):
         getattr(writer.options(**options), kind)(path)
     else:
@@ -170,15 +194,3 @@ def before_key(df: DataFrame, key: str, first: Any, size: int) -> DataFrame:
     """The previous rows before a key, nearest first; gaps between keys do not matter."""
     rows = df if first is None else df.where(F.col(key) < first)
     return rows.orderBy(F.desc(key)).limit(size)
-
-
-def wait_until(ready: Callable[[], bool], seconds: float, every: float = 1.0) -> bool:
-    """Poll a test until it holds; False if it never does in time."""
-    import time
-
-    end = time.monotonic() + seconds
-    while not ready():
-        if time.monotonic() >= end:
-            return False
-        time.sleep(every)
-    return True

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.plans.ranking import sliced_lag, sliced_place
+
 #: Defaults and bounds of the samplers.
 COUNT_DEFAULT, COUNT_LEAST = 100, 10
 PERIOD_DEFAULT_MS, PERIOD_LEAST_MS = 10_000, 1_000
@@ -16,25 +18,33 @@ SHARE_DEFAULT, SHARE_MOST = 0.01, 0.5
 
 
 def sample_every(df: DataFrame, key: str, ts: str, n: int = COUNT_DEFAULT, error: Column | None = None) -> DataFrame:
-    """The first and then every n-th message of each key; errors always."""
+    """The first and then every n-th message of each key; errors always. A key is ordered in slices of time."""
     n = max(n, COUNT_LEAST)
-    place = F.row_number().over(Window.partitionBy(key).orderBy(ts, *[c for c in df.columns if c not in (key, ts)]))
     keep = F.col("_place") % n == 1
-    return df.withColumn("_place", place).where(keep if error is None else keep | error).drop("_place")
+    placed = sliced_place(df, key, ts, [c for c in df.columns if c not in (key, ts)], "_place")
+    return placed.where(keep if error is None else keep | error).drop("_place")
 
 
 def sample_periods(df: DataFrame, key: str, ts: str, period_ms: int = PERIOD_DEFAULT_MS) -> DataFrame:
-    """The first message of each key and those that come at least a period after the message seen before."""
+    """The first message of each key and those that come at least a period after the message seen before, in slices of time."""
     period_ms = max(period_ms, PERIOD_LEAST_MS)
     at = F.unix_millis(F.col(ts).cast("timestamp"))
-    seen = F.lag(at).over(Window.partitionBy(key).orderBy(ts, *[c for c in df.columns if c not in (key, ts)]))
-    return df.withColumn("_seen", seen).where(F.col("_seen").isNull() | (at - F.col("_seen") >= period_ms)).drop("_seen")
+    seen = sliced_lag(df, key, ts, [c for c in df.columns if c not in (key, ts)], "_seen_at")
+    before = F.unix_millis(F.col("_seen_at").cast("timestamp"))
+    return seen.where(before.isNull() | (at - before >= period_ms)).drop("_seen_at")
+
 
+def sample_share(df: DataFrame, id_column: str, share: float = SHARE_DEFAULT, key: str | None = None, ts: str | None = None) -> DataFrame:
+    """A share of the messages by a hash of the id, the same in every run; with ``key`` and ``ts`` the first message of each key always.
 
-def sample_share(df: DataFrame, id_column: str, share: float = SHARE_DEFAULT) -> DataFrame:
-    """A share of the messages by a hash of the id, the same in every run."""
+    The first message is an aggregate of each key, so a hot key is not sorted.
+    """
     share = min(share, SHARE_MOST)
-    return df.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(share * 1_000_000))
+    drawn = F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(share * 1_000_000)
+    if key is None or ts is None:
+        return df.where(drawn)
+    first = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(id_column, F.struct(ts, id_column)).alias("_first"))
+    return df.join(first, df[key].eqNullSafe(first["_key"])).where(drawn | (F.col(id_column) == F.col("_first"))).drop("_key", "_first")
 
 
 def stream_sample_every(stream: DataFrame, key: str, n: int = COUNT_DEFAULT) -> DataFrame:
@@ -64,6 +74,31 @@ def rate_windows(df: DataFrame, key: str, ts: str, width_s: int, weight: Column,
     return used.select("*", F.lit(limit).alias("limit"), (F.col("window_start") + width_s).alias("reset"), (F.col("used") > limit).alias("exceeded"))
 
 
+def stream_rate_windows(stream: DataFrame, key: str, ts: str, width_s: int, weight: str, limit: int) -> DataFrame:
+    """For each message of a stream, in order of arrival: the weight used in its key's window, the limit, the reset and whether it is exceeded.
+
+    A key's first message opens a window, which ends at its reset; the next
+    message opens another. The state of a key is its window's start and weight.
+    """
+
+    def count(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, used = state.get if state.exists else (None, 0)
+        for pdf in batches:
+            rows = []
+            for at, w in zip(pdf[ts], pdf[weight], strict=True):
+                second = int(at.timestamp())
+                if start is None or second >= start + width_s:
+                    start, used = second, 0
+                used += int(w)
+                rows.append((*group, at, start, used, limit, start + width_s, used > limit))
+            yield pd.DataFrame(rows, columns=[key, ts, "window_start", "used", "limit", "reset", "exceeded"])
+        state.update((start, used))
+
+    kinds = dict(stream.dtypes)
+    shape = f"{key} {kinds[key]}, {ts} {kinds[ts]}, window_start long, used long, limit long, reset long, exceeded boolean"
+    return stream.select(key, ts, weight).groupBy(key).applyInPandasWithState(count, shape, "start long, used long", "append", GroupStateTimeout.NoTimeout)
+
+
 def route_errors(stream: DataFrame, error: Column, good, bad):
     """A streaming query that hands each micro-batch's failed rows to ``bad`` and the rest to ``good`` (functions of a DataFrame)."""
 

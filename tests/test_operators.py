@@ -1,8 +1,10 @@
 import math
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from plumbline.errors import UnknownFunction
 from plumbline.functions import scalars as S
 from plumbline.operators import aggregates as A
 from plumbline.operators import analytics as N
@@ -132,7 +134,7 @@ def test_tracks(spark):
 def test_flow(spark):
     assert P.for_each({"a": [1, 2], "b": ["x"]}) == [{"a": 1, "b": "x"}, {"a": 2, "b": "x"}]
     assert [tuple(r) for r in P.for_range(spark, 0, 10, slices=3).collect()] == [(0, 0, 4), (1, 4, 8), (2, 8, 10)]
-    assert P.run_tasks({"c": (["a", "b"], lambda a, b: a + b), "a": ([], lambda: 1), "b": (["a"], lambda a: a + 1)})["c"] == 3
+    assert [r.i for r in P.loop(spark, 3).collect()] == [0, 1, 2]
     assert P.run_sql(spark, "SELECT :x + 1 AS y", x=2).first().y == 3
     assert P.last_results(spark.range(2), "all") == [{"id": 0}, {"id": 1}] and P.last_results(spark.range(2), False) is None
 
@@ -140,3 +142,40 @@ def test_flow(spark):
 def test_joinable_tables(spark):
     edges = spark.createDataFrame([(1, "a", "b"), (2, "b", "c")], "id int, source string, target string")
     assert sorted((r.target, r.path, r.depth) for r in J.joinable_tables(edges, "a").collect()) == [("b", [1], 1), ("c", [1, 2], 2)]
+
+
+def test_compacted_by_type(spark):
+    row = spark.sql("SELECT array('0', 'false', '', null, 'x') AS s, array(0.0D, -0.0D, 1.5D, null) AS f, array(true, false, null) AS b, array(array(), array(1)) AS a, array(0, 7, 10) AS i, array(cast(0 AS decimal(5,2)), cast(0.1 AS decimal(5,2))) AS d").first()
+    frame = spark.createDataFrame([row])
+    got = frame.select(*(S.compacted(F.col(c)).alias(c) for c in frame.columns)).first()
+    assert (got.s, got.f, got.b, got.a, got.i, [str(x) for x in got.d]) == (["0", "false", "x"], [1.5], [True], [[1]], [7, 10], ["0.100000000000000000"])
+
+
+def test_peak_time_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        rows = spark.sql("SELECT timestamp'2024-01-01 10:00:00' AS t UNION ALL SELECT timestamp'2024-01-02 12:00:00'")
+        assert rows.agg(A.peak_time(F.col("t")).alias("at")).first().at == "11:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_pairs_of_a_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_ITEMS", 7)
+    rows = spark.createDataFrame([("g", i) for i in range(40)] + [("h", 1), ("h", 2), ("h", 2)], "g string, i int")
+    got = {(r.a, r.b): r.n for r in J.co_occurrence(rows, "g", "i").collect()}
+    assert got == {(a, b): 2 if (a, b) == (1, 2) else 1 for a in range(40) for b in range(a + 1, 40)}
+
+
+def test_available_functions_and_fixed_order(spark):
+    from plumbline.functions.expressions import REGISTRY, REQUIRES, supported_functions
+
+    assert set(supported_functions(spark)) == set(REGISTRY)
+    REQUIRES["noop"] = ("no_such_function",)
+    try:
+        assert set(supported_functions(spark)) == set(REGISTRY) - {"noop"}
+    finally:
+        del REQUIRES["noop"]
+    with pytest.raises(UnknownFunction):
+        T.in_fixed_order(spark.range(3), sort=[])

@@ -30,10 +30,43 @@ def test_stages(spark):
     check_packed(corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect(), [(r.doc_id, r.text) for r in docs.collect()], 4096)
 
 
+def odd(spark):
+    """Odd rows and three sound documents, with columns whose names the stages use inside."""
+    labels = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 AND toxic = 0").collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").orderBy("doc_id").collect()
+    sound = [(r.doc_id, r.text) for r in docs if r.doc_id in labels and len(r.text.split()) > 80][:3]
+    rows = [(1001, None), (1002, ""), (1003, "12 34 !"), (None, sound[0][1]), (1004, sound[1][1]), (1004, sound[1][1]), *sound]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, _id string, rate int, component_id long, y int, p double"
+    return spark.createDataFrame([(i, t, "en", None, 0, 0.5, f"row {k}", 1, 7, 0, 0.1) for k, (i, t) in enumerate(rows)], schema), rows, sound
+
+
 def test_odd_documents(spark):
-    rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "12 34", "en", "s", 5), (None, "some words here", None, None, 15), (4, "some words here", "en", "s", 15), (4, "some words here", "en", "s", 15)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    out = [r.doc_id for r in corpus_pipeline.dedup(spark, frame, SF).collect()]
-    assert sorted(out, key=str) == sorted([1, 2, 3, None, 4], key=str)
-    for name, stage in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[3:]:
-        assert stage(spark, frame, SF).count() >= 0, name
+    frame, rows, sound = odd(spark)
+    whole = {r._id: r for r in frame.collect()}
+    out = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, frame, SF)
+        assert after.columns == frame.columns, name
+        out[name] = after.collect()
+        assert all(r == whole[r._id] for r in out[name]), name
+    ids = [f"row {k}" for k in range(len(rows))]
+    # rows without a letter go, all others are English
+    assert sorted(r._id for r in out["language_id"]) == ids[3:]
+    # a null text is judged as an empty one; good documents stay, with a repeated and without an id
+    kept = {r._id for r in out["quality_classifier"]}
+    assert kept >= set(ids[3:]) and ("row 0" in kept) == ("row 1" in kept)
+    # of the repeated id and its original the smaller id stays; texts without words and rows without an id stay
+    kept = sorted(r.doc_id if r.doc_id is not None else -1 for r in out["near_dedup"])
+    assert kept == sorted([-1, 1001, 1002, 1003, *(i for i, _ in sound)])
+    # one language: its rate is its target, which none of its documents exceeds
+    times = [sum(r._id == k for r in out["mixing"]) for k in ids]
+    assert set(times) <= {0, 1} and sum(times) >= 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, frame, SF).collect()
+    check_packed(packed, rows, 4096)
+
+
+def test_empty_table(spark):
+    frame = odd(spark)[0].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, frame, SF)
+        assert after.count() == 0 and (name == "packing" or after.columns == frame.columns), name

@@ -155,10 +155,14 @@ def _statistics_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, bound: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, y, text of the bounded sample of labelled rows outside the held-out fold."""
+    """doc_id, y, text of the bounded sample of labelled rows outside the held-out fold.
+
+    An id counts once, with its smallest text, so that repeated rows do not
+    widen the bound.
+    """
     ids = checkpointed(labelled_ids(labels, label, HELD_OUT, FOLDS, bound, doc_id))
     texts = with_text_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
-    return texts.join(small_or_shuffled(ids, ids.count()), "doc_id")
+    return texts.join(small_or_shuffled(ids, ids.count()), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> dict:
@@ -179,7 +183,13 @@ def _scored(model):
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted good."""
+    """The rows of ``docs``, all columns, that are predicted good.
+
+    Null and empty texts have statistics that are all zero; texts of any length
+    are scored whole. Rows are judged one by one, so null ids and repeated rows
+    stay or go like any row; an empty table gives an empty result. Without
+    labels every score is 0.5 and every row stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(labelled if labelled is not None else docs, labels, label, doc_id=doc_id, text=text))
 
     @F.pandas_udf("double")
@@ -196,9 +206,10 @@ def score_quality(
 
     ``labelled`` (default: ``docs``) has the texts of the labelled ids. Rows
     whose crc32 of the id modulo 5 is 0 are never learnt from. Null and empty
-    texts are scored like any text, on statistics that are all zero; a null id
-    counts as held out; repeated rows each get a row; other columns are
-    ignored. Without labels every score is the prior, 0.5.
+    texts are scored like any text, on statistics that are all zero; texts of any
+    length are read whole. A null id counts as held out; repeated rows each get a
+    row; other columns are ignored; an empty table gives an empty result. Without
+    labels every score is the prior, 0.5.
     """
     model = fit(labelled if labelled is not None else docs, labels, label, doc_id=doc_id, text=text)
     rows = docs.select(

@@ -167,9 +167,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", lab
 
     ``labelled`` (default: ``docs``) has the texts of the labelled ids. Rows
     whose crc32 of the id modulo 5 is 0 are never learnt from. Null and empty
-    texts hold no terms and get the score of the bias; a null id counts as held
-    out; repeated rows each get a row; other columns are ignored. Without
-    labels every score is the prior, 0.5.
+    texts hold no terms and get the score of the bias; texts of any length are
+    read whole. A null id counts as held out; repeated rows each get a row; other
+    columns are ignored; an empty table gives an empty result. Without labels
+    every score is the prior, 0.5.
     """
     model = fit(labelled if labelled is not None else docs, labels, label, doc_id=doc_id, text=text)
     rows = docs.select(

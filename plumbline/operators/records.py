@@ -33,10 +33,12 @@ def _element_type(df: DataFrame, column: str, field: str) -> str:
 
 
 def triage(df: DataFrame, name: str, failures: str, jobs: str, confidence: str) -> DataFrame:
-    """label, names: a known issue if its confidence is 100 or at most half of the jobs fail, else it needs investigation with confidence capped at 90."""
+    """name, label, confidence: a known issue if its confidence is 100 or at most half of the jobs fail, else it needs investigation with confidence capped at 90.
+
+    A row for each name and not a list for each label, since there are only two labels.
+    """
     known = (F.col(confidence) == 100) | (F.col(failures) / F.col(jobs) <= 0.5)
-    rows = df.select(name, F.when(known, "known issue").otherwise("needs investigation").alias("label"), F.when(known, F.col(confidence)).otherwise(F.least(confidence, F.lit(90))).alias("confidence"))
-    return rows.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(name, "confidence"))).alias("names"))
+    return df.select(name, F.when(known, "known issue").otherwise("needs investigation").alias("label"), F.when(known, F.col(confidence)).otherwise(F.least(confidence, F.lit(90))).alias("confidence"))
 
 
 def history_confidence(failures: DataFrame, history: DataFrame, keys: list[str]) -> DataFrame:

@@ -676,6 +676,16 @@ def failure_confidence(spark, d):
     return C.history_confidence(events.where("event_id % 2 = 1"), events.where("event_id % 10 = 0"), ["user_id", "event_type"]).select("event_id", "confidence")
 
 
+@query(
+    "SELECT l_suppkey, CASE WHEN count_if(l_returnflag = 'R') <= 0.3 * count(*) OR count(*) % 100 = 0 THEN 'known issue' ELSE 'needs investigation' END AS label,"
+    " CASE WHEN count_if(l_returnflag = 'R') <= 0.3 * count(*) OR count(*) % 100 = 0 THEN count(*) % 100 + CASE WHEN count(*) % 100 = 0 THEN 100 ELSE 0 END ELSE least(count(*) % 100, 90) END AS confidence FROM lineitem GROUP BY 1"
+)
+def failure_triage(spark, d):
+    n = F.count("*") % 100
+    rows = t(spark, d, "lineitem").groupBy("l_suppkey").agg((F.count_if(F.col("l_returnflag") == "R") * 5).alias("failures"), (F.count("*") * 3).alias("jobs"), F.when(n == 0, 100).otherwise(n).alias("confidence"))
+    return C.triage(rows, "l_suppkey", "failures", "jobs", "confidence")
+
+
 @query("SELECT c_custkey, list_has_any([c_nationkey, CAST(c_custkey % 25 AS INTEGER)], [3, 5, 11]) AS hit FROM customer")
 def any_pair_of_arrays(spark, d):
     rows = t(spark, d, "customer").select("c_custkey", F.array(F.col("c_nationkey"), (F.col("c_custkey") % 25).cast("int")).alias("a"), F.array(F.lit(3), F.lit(5), F.lit(11)).alias("b"))

@@ -21,6 +21,8 @@ from plumbline.llm.common import checkpointed, fold, small_or_shuffled, with_tex
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the training sample: labelled rows of each language, read whole; bytes of a training window.
 ROWS_A_LANGUAGE, TRAIN_BYTES = 250, 64
+#: Parts of a language in which its rows are ranked before they meet.
+PARTS = 64
 #: Passes over the windows, and steps at least, of the fit.
 EPOCHS, LEAST_STEPS, BATCH = 2, 150, 256
 #: Share of the held-out rows that reach the score below which a document's language counts as unknown.
@@ -38,10 +40,12 @@ def labelled_sample(docs: DataFrame, held_out: bool, doc_id: str = "doc_id", tex
     """
     rows = with_text_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.where(((fold("doc_id", FOLDS) == HELD_OUT) == held_out) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    # the rank is cut in every task before any row is shuffled for it
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.groupBy("lang", "doc_id").agg(F.lit(1)).select("lang", "doc_id", F.row_number().over(order).alias("at")).where(F.col("at") <= ROWS_A_LANGUAGE)
-    ids = checkpointed(ids)
+    # ranked in parts of a language first, so that no task meets more of it than ``PARTS * ROWS_A_LANGUAGE`` rows
+    ids = rows.groupBy("lang", "doc_id").agg(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("at", F.row_number().over(order)).where(F.col("at") <= ROWS_A_LANGUAGE)
+    ids = checkpointed(ids.select("lang", "doc_id", "at"))
     texts = rows.join(small_or_shuffled(ids, ids.count()), ["lang", "doc_id"]).groupBy("lang", "at").agg(F.min("text").alias("text"))
     return [(r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.lang, r["at"]))]
 

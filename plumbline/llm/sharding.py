@@ -22,7 +22,7 @@ from math import ceil, sqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import BROADCAST_ROWS, checkpointed, stored
+from plumbline.llm.common import BROADCAST_ROWS, checkpointed, dropped, stored
 
 #: Slices of an interval in one counting pass, at most, and of all intervals of a level together.
 BINS, BINS_A_PASS = 8_192, 262_144
@@ -88,14 +88,15 @@ def kd_shards(
         _category(source).alias("v_source"),
         steps.alias("v_length"),
     )
-    rows = stored(rows, "sizes")
+    sizes = stored(rows, "sizes")
     orders = []
     for d in DIMENSIONS:
         # at most VALUES numbers, whatever the table
-        bytes_of = {r[0]: r[1] for r in rows.groupBy(f"v_{d}").agg(F.sum("size")).collect()}
+        bytes_of = {r[0]: r[1] for r in sizes.groupBy(f"v_{d}").agg(F.sum("size")).collect()}
         codes = F.from_json(F.lit(json.dumps(codes_of(bytes_of, d != "length"))), "array<long>")
         orders.append(F.shiftleft(F.get(codes, F.col(f"v_{d}").cast("int")), HASH_BITS) + F.col("tie"))
-    rows = stored(rows.select("doc_id", "size", "text_crc32", "tie", F.array(*orders).alias("orders")), "orders")
+    rows = stored(sizes.select("doc_id", "size", "text_crc32", "tie", F.array(*orders).alias("orders")), "orders")
+    dropped(sizes)
     spans = []
     for d in range(len(DIMENSIONS)):
         order, at = F.col("orders")[d], F.shiftright(F.col("orders")[d], HASH_BITS) / F.lit(2.0**CODE_BITS)

@@ -80,6 +80,67 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN p ON p.g = m.g AND p.s = m.s
 """
 
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i+1], ' '))) FROM w
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) FROM w),
+f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
+cuts AS (
+  SELECT lang, k, phrase, a, 1 AS cut, w[1] AS x, array_to_string(w[2:], ' ') AS y FROM c
+  UNION ALL SELECT lang, k, phrase, a, 2, w[1] || ' ' || w[2], w[3] FROM c WHERE k = 3),
+scored AS (
+  SELECT cuts.lang, cuts.k, cuts.phrase, a, l.n AS l, r.n AS r,
+         CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y
+  QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cut) = 1),
+longer AS (
+  SELECT lang, w[1] || ' ' || w[2] AS phrase, a FROM c WHERE k = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], a FROM c WHERE k = 3),
+kept AS (SELECT * FROM scored s WHERE NOT EXISTS (SELECT 1 FROM longer q WHERE q.lang = s.lang AND q.phrase = s.phrase AND 100 * q.a >= 50 * s.a))
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score
+FROM kept JOIN total ON total.lang = kept.lang QUALIFY rank <= 2000
+"""
+
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+o AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT i) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT lang, source FROM d GROUP BY ALL),
+n AS (SELECT lang, source, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY ALL),
+dense AS (
+  SELECT grp.lang, grp.source, kept.term, coalesce(c.c, 0) AS c,
+         CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.c, 0) + 5) // (coalesce(n.n, 0) + 5 * v.v) AS BIGINT) AS p
+  FROM grp JOIN kept ON kept.lang = grp.lang JOIN v ON v.lang = grp.lang
+  LEFT JOIN c ON c.lang = grp.lang AND c.source = grp.source AND c.term = kept.term LEFT JOIN n ON n.lang = grp.lang AND n.source = grp.source),
+ln AS (SELECT lang, CAST(sum(c) AS BIGINT) AS n FROM c GROUP BY lang),
+q AS (
+  SELECT kept.lang, kept.term, CAST(1 + CAST(1000000000 AS HUGEINT) * (sum(c.c) + 5) // (any_value(ln.n) + 5 * any_value(v.v)) AS BIGINT) AS q
+  FROM kept JOIN c ON c.lang = kept.lang AND c.term = kept.term JOIN ln ON ln.lang = kept.lang JOIN v ON v.lang = kept.lang GROUP BY ALL),
+far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(far.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far ON far.lang = a.lang AND far.source = a.source AND far.item = b.source),
+terms AS (
+  SELECT dense.lang, dense.source, 'term' AS part, dense.term AS item, p - q AS value
+  FROM dense JOIN q ON q.lang = dense.lang AND q.term = dense.term WHERE dense.c > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1, "op4_exact_top_k": OP4, "op8_quality_rules": OP8}
+    return {"op1_minhash_near_dedup": OP1, "op4_exact_top_k": OP4, "op8_quality_rules": OP8, "op12_phrase_collocations": OP12, "op13_source_divergence": OP13}

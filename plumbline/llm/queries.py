@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.byte_bpe import coded
+from plumbline.llm.collocations import collocations
+from plumbline.llm.divergence import divergences
 from plumbline.llm.html_text import extract_main_text
 from plumbline.llm.language_id import identify
 from plumbline.llm.mixing import labelled_languages, mix
@@ -66,5 +69,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_quality(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coded(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergences(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}

@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.functions import periods
 from plumbline.functions.query_string import query_filter
-from plumbline.queries import query, t
+from plumbline.operators import boundaries as B
+from plumbline.operators import intervals as I
+from plumbline.queries import money, query, t
 
 # query strings -------------------------------------------------------------
 
@@ -40,3 +46,92 @@ def query_string_json(spark, d):
 def query_string_words(spark, d):
     """Words without a field are searched in the text; a row without a language is not a French one."""
     return query_filter(t(spark, d, "documents"), "(THE die) AND -lang:fr AND -source:src1*", fields=["text"], analyzed=["text"]).select("doc_id")
+
+
+# boundaries and validity intervals -------------------------------------------
+
+#: Directions of the corners of a made polygon, and the polygons that a table's numbers give: eight corners and a hole.
+CORNERS = [(1.0, 0.0), (0.7, 0.7), (0.0, 1.0), (-0.7, 0.7), (-1.0, 0.0), (-0.7, -0.7), (0.0, -1.0), (0.7, -0.7)]
+STARS = """
+star AS (SELECT {key} AS k, CAST(({key} * 617 % 340) - 170 AS DOUBLE) AS cx, CAST(({key} * 389 % 150) - 75 AS DOUBLE) AS cy FROM {table}),
+corner(i, dx, dy) AS (VALUES (0, 1.0::DOUBLE, 0.0::DOUBLE), (1, 0.7, 0.7), (2, 0.0, 1.0), (3, -0.7, 0.7), (4, -1.0, 0.0), (5, -0.7, -0.7), (6, 0.0, -1.0), (7, 0.7, -0.7)),
+pt AS (SELECT k, ring, i, cx + dx * (CASE ring WHEN 0 THEN {least} + (k * 31 + i * 17) % 9 ELSE 1.5 END) AS x, cy + dy * (CASE ring WHEN 0 THEN {least} + (k * 31 + i * 17) % 9 ELSE 1.5 END) AS y
+       FROM star, corner, (VALUES (0), (1)) r(ring)),
+edge AS (SELECT a.k, a.ring, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM pt a JOIN pt b ON a.k = b.k AND a.ring = b.ring AND b.i = (a.i + 1) % 8)
+"""
+
+
+def stars(df: DataFrame, key: str, least: int) -> DataFrame:
+    """A polygon with a hole for each row, around a place that its key gives."""
+    k = F.col(key)
+    cx, cy = ((k * 617 % 340) - 170).cast("double"), ((k * 389 % 150) - 75).cast("double")
+
+    def ring(radius):
+        return F.array(*(F.struct((cx + F.lit(dx) * radius(i)).alias("x"), (cy + F.lit(dy) * radius(i)).alias("y")) for i, (dx, dy) in enumerate(CORNERS)))
+
+    outer, hole = ring(lambda i: (F.lit(least) + (k * 31 + i * 17) % 9).cast("double")), ring(lambda i: F.lit(1.5))
+    return df.select(k.cast("string").alias("boundary"), F.array(outer, hole).alias("rings"), F.lit(None).cast("struct<x:double,y:double,r:double>").alias("circle"))
+
+
+@query(
+    "WITH "
+    + STARS.format(key="s_suppkey", table="supplier", least=3)
+    + ", p AS (SELECT c_custkey, (c_custkey * 7919 % 3600) / 10.0::DOUBLE - 180 AS x, (c_custkey * 104729 % 1700) / 10.0::DOUBLE - 85 AS y FROM customer),"
+    " hit AS (SELECT c_custkey, k FROM p JOIN edge ON ((y < y1) <> (y < y2)) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY c_custkey, k HAVING count(*) % 2 = 1)"
+    " SELECT c_custkey, coalesce((SELECT string_agg(CAST(k AS VARCHAR), ',' ORDER BY CAST(k AS VARCHAR)) FROM hit WHERE hit.c_custkey = p.c_custkey), '') AS suppliers FROM p"
+)
+def points_in_polygons(spark, d):
+    """Which of all suppliers' polygons hold each customer's place."""
+    place = [((F.col("c_custkey") * a % b) / 10.0 - c).alias(n) for a, b, c, n in ((7919, 3600, 180, "x"), (104729, 1700, 85, "y"))]
+    points = t(spark, d, "customer").select("c_custkey", *place)
+    return B.with_boundaries(points, stars(t(spark, d, "supplier"), "s_suppkey", 3), "x", "y", 4.0).select("c_custkey", F.array_join("boundaries", ",").alias("suppliers"))
+
+
+@query(
+    "WITH "
+    + STARS.format(key="n_nationkey", table="nation", least=12)
+    + ", p AS (SELECT event_id, CAST(floor(epoch_ms(ts) / 86400000.0) AS BIGINT) * 86400000 AS bucket, (event_id * 7919 % 3600) / 10.0::DOUBLE - 180 AS x, (event_id * 104729 % 1700) / 10.0::DOUBLE - 85 AS y FROM events),"
+    " hit AS (SELECT event_id, k FROM p JOIN edge ON ((y < y1) <> (y < y2)) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 GROUP BY event_id, k HAVING count(*) % 2 = 1),"
+    " g AS (SELECT bucket, coalesce(CAST(k AS VARCHAR), 'remainder') AS \"group\" FROM p LEFT JOIN hit USING (event_id)),"
+    " s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM g), (SELECT max(bucket) FROM g), 86400000)) AS bucket)"
+    " SELECT s.bucket, n.\"group\", (SELECT count(*) FROM g WHERE g.bucket = s.bucket AND g.\"group\" = n.\"group\") AS n FROM s CROSS JOIN (SELECT DISTINCT \"group\" FROM g) n"
+)
+def series_by_boundary(spark, d):
+    """Events a day in each nation's polygon, and of those in none."""
+    place = [((F.col("event_id") * a % b) / 10.0 - c).alias(n) for a, b, c, n in ((7919, 3600, 180, "x"), (104729, 1700, 85, "y"))]
+    points = t(spark, d, "events").select("event_id", "ts", *place)
+    return B.series_by_boundary(points, stars(t(spark, d, "nation"), "n_nationkey", 12), "x", "y", "ts", 86_400_000, 8.0)
+
+
+@query(
+    "WITH s AS (SELECT unnest(generate_series(TIMESTAMP '1992-01-31', TIMESTAMP '2002-01-31', INTERVAL 1 MONTH)) AS w),"
+    " m AS (SELECT CAST(last_day(w) AS TIMESTAMP) AS w FROM s),"
+    " l AS (SELECT l_returnflag, CAST(l_extendedprice AS DECIMAL(18,2)) AS price, l_shipdate AS a, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_shipdate + CAST(l_quantity AS INTEGER) * INTERVAL 1 DAY END AS b FROM lineitem)"
+    " SELECT f.l_returnflag, strftime(m.w, '%Y-%m-%d') AS \"at\", count(a) AS n, coalesce(sum(price), 0)::DOUBLE AS price FROM m CROSS JOIN (SELECT DISTINCT l_returnflag FROM l) f"
+    " LEFT JOIN l ON l.l_returnflag = f.l_returnflag AND a <= m.w AND (b IS NULL OR b > m.w) GROUP BY 1, 2"
+)
+def sums_over_intervals(spark, d):
+    """Goods under way at the end of each month, those of a seventh line without an end."""
+    rows = t(spark, d, "lineitem").select("l_returnflag", F.col("l_shipdate").alias("a"), money("l_extendedprice").alias("price"), "l_linenumber", "l_quantity")
+    rows = rows.withColumn("b", F.when(F.col("l_linenumber") != 7, F.col("a") + F.make_dt_interval(F.col("l_quantity").cast("int"))))
+    out = I.sums_at(rows, "a", "b", periods.instants("1992-01-31/2002-01-31/P1M"), {"price": F.col("price")}, ["l_returnflag"])
+    return out.select("l_returnflag", F.date_format("at", "yyyy-MM-dd").alias("at"), "n", F.col("price").cast("double").alias("price"))
+
+
+@query(
+    "WITH "
+    + STARS.format(key="s_suppkey", table="supplier", least=3)
+    + ", e AS (SELECT *, radians(x2 - x1) * (2 + sin(radians(y1)) + sin(radians(y2))) AS strip, pow(sin(radians(y2 - y1) / 2), 2) + cos(radians(y1)) * cos(radians(y2)) * pow(sin(radians(x2 - x1) / 2), 2) AS h FROM edge),"
+    " r AS (SELECT k, ring, abs(sum(strip)) * (6371000.0::DOUBLE * 6371000.0 / 2) AS area, sum(1000 * 2 * 6371.0::DOUBLE * atan2(sqrt(h), sqrt(1 - h))) AS around FROM e GROUP BY k, ring),"
+    " m AS (SELECT k, CAST(sum(CASE ring WHEN 0 THEN area ELSE -area END) / 1e6 AS DECIMAL(28,0)) AS area, CAST(sum(around) / 1e3 AS DECIMAL(28,0)) AS around FROM r GROUP BY k),"
+    " v AS (SELECT m.*, TIMESTAMP '2024-01-01' + CAST(k % 37 AS INTEGER) * INTERVAL 1 DAY AS a, TIMESTAMP '2024-01-01' + CAST(k % 37 + k % 11 AS INTEGER) * INTERVAL 1 DAY AS b FROM m),"
+    " s AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-02-20', INTERVAL 7 DAY)) AS w)"
+    " SELECT strftime(w, '%Y-%m-%d') AS \"at\", count(k) AS n, coalesce(sum(around), 0)::BIGINT AS perimeter, coalesce(sum(area), 0)::BIGINT AS area FROM s LEFT JOIN v ON a <= w AND b > w GROUP BY w"
+)
+def shapes_over_time(spark, d):
+    """How many suppliers' polygons are valid each week, their square kilometres and the kilometres around them."""
+    shapes = stars(t(spark, d, "supplier"), "s_suppkey", 3).withColumn("k", F.col("boundary").cast("int"))
+    first = F.lit(datetime(2024, 1, 1))
+    rows = shapes.select(*((first + F.make_dt_interval(x)).alias(c) for c, x in (("a", F.col("k") % 37), ("b", F.col("k") % 37 + F.col("k") % 11))), (I.perimeter_m(F.col("rings")) / 1000).alias("perimeter"), (I.area_m2(F.col("rings")) / 1_000_000).alias("area"))
+    out = I.sums_at(rows, "a", "b", periods.instants("2024-01-01/2024-02-20/P7D"), {"perimeter": F.col("perimeter"), "area": F.col("area")}, scale=0)
+    return out.select(F.date_format("at", "yyyy-MM-dd").alias("at"), "n", F.col("perimeter").cast("long").alias("perimeter"), F.col("area").cast("long").alias("area"))

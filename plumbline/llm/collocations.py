@@ -1,9 +1,12 @@
 """Phrase collocations: counted n-grams, scored in exact decimals at their weakest cut.
 
 All 1..max_n-grams of all pieces become rows and are counted by hash
-aggregation, in parts before the shuffle. Counts under ``min_count`` can neither
-be candidates nor parts of one (a part occurs wherever the phrase does), so
-after counting they are only kept as one sum for each language. Every cut of a
+aggregation. They are spelled in Python, where a table of at most about
+``HELD`` phrases counts those of a task before they become rows; so a frequent
+phrase is one row for many, and the shuffle carries sorted runs. Counts under
+``min_count`` can neither be candidates nor parts of one (a part occurs wherever
+the phrase does), so after counting they are only kept as one sum for each
+language. Every cut of a
 candidate is joined with the counts of its two parts; a word that begins a large
 share of all phrases is joined in ``SALTS`` parts. A candidate goes if a phrase
 longer by one word covers it: a longer one that covers it holds one of these,
@@ -13,55 +16,91 @@ number for each language and partition, not from a window over a language.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import stored, with_text_batches
 
-#: Breaks of phrases, and blanks between words.
-BREAKS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of UTF-8 text: breaks of phrases become line feeds, capital letters small ones. Multi-byte characters hold none of them.
+BREAKS = b".,;:!?\x0b\x0c\r"
+FOLDED = bytes.maketrans(BREAKS + bytes(range(65, 91)), b"\n" * len(BREAKS) + bytes(range(97, 123)))
 NO_LANG = "und"
 MAX_WORDS, MIN_COUNT, COVERED_PERCENT, PER_LANG = 3, 10, 50, 2_000
 SCALE = 1_000_000
-#: Words of a long piece whose phrases are one row's, so that no row holds all phrases of a text.
-BLOCK = 4_096
+#: Words of a long piece that are spelled at a time, phrases that a task holds, rows of a result batch.
+BLOCK, HELD, BATCH = 4_096, 600_000, 50_000
 #: Parts of a phrase's joins with the counts of its parts.
 SALTS = 8
 
 
-def _blocks(words: Column, most: int) -> Column:
-    """Stretches of ``BLOCK`` words of an array, each with the words behind it that its phrases reach."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / BLOCK).cast("int")), lambda i: F.slice(words, i * BLOCK + 1, BLOCK + most - 1))
-
-
-def _spelled(k: int):
-    return lambda z: F.concat_ws(" ", *(z[f"w{j}"] for j in range(k)))
-
-
-def _grams(words: Column, most: int) -> Column:
-    """All phrases of 1 to ``most`` words that begin in the first ``BLOCK`` words of an array."""
-    n = F.size(words)
-    made = [F.slice(words, 1, BLOCK)]
-    for k in range(2, most + 1):
-        many = F.greatest(F.least(n - (k - 1), F.lit(BLOCK)), F.lit(0))
-        parts = F.arrays_zip(*(F.slice(words, j + 1, many).alias(f"w{j}") for j in range(k)))
-        made.append(F.transform(parts, _spelled(k)))
-    return F.flatten(F.array(*made))
+def _exploded(most: int):
+    """Rows of phrases and their counts from rows of language and text."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        room = HELD
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                if not text.is_valid:
+                    continue
+                counts = held.setdefault(lang, Counter())
+                grams: list[bytes] = []
+                for piece in text.as_py().translate(FOLDED).split(b"\n"):
+                    words = piece.split()  # only blanks and tabs are left of what bytes.split takes for blanks
+                    for at in range(0, len(words), BLOCK):
+                        own = words[at : at + BLOCK + most - 1] if len(words) > BLOCK else words
+                        grams += own[:BLOCK]
+                        for k in range(2, most + 1):
+                            grams += map(b" ".join, islice(zip(*(own[j:] for j in range(k)), strict=False), BLOCK))
+                        if len(grams) >= HELD:
+                            room -= _add(counts, grams)
+                            grams = []
+                            if room <= 0:
+                                yield from _rows(held)
+                                room = HELD
+                room -= _add(counts, grams)
+                if room <= 0:
+                    yield from _rows(held)
+                    room = HELD
+        yield from _rows(held)
+
+    return explode
+
+
+def _add(counts: Counter, grams: list[bytes]) -> int:
+    """Count phrases; returns how many of them are new."""
+    before = len(counts)
+    counts.update(grams)
+    return len(counts) - before
+
+
+def _rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """The counted phrases in sorted batches; the tables are emptied."""
+    for lang, counts in held.items():
+        phrases = pa.array(counts.keys(), pa.binary(), size=len(counts))
+        order = pc.sort_indices(phrases)
+        phrases, numbers = phrases.take(order).cast(pa.string()), pa.array(counts.values(), pa.int64(), size=len(counts)).take(order)
+        counts.clear()
+        for at in range(0, len(phrases), BATCH):
+            part = phrases.slice(at, BATCH)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(part)), part, numbers.slice(at, BATCH)], ["lang", "phrase", "n"])
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
     """``lang, k, phrase, n``: phrases of k words that occur at least ``min_count`` times; null phrases sum up rarer words."""
-    pieces = docs.select(
-        F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.explode(F.split(F.translate(F.col(text).cast("string"), UPPER, LOWER), BREAKS)).alias("piece")
-    )
-    words = pieces.select("lang", F.filter(F.split("piece", BLANKS), lambda w: w != "").alias("words")).where(F.size("words") > 0)
-    blocks = words.select("lang", F.explode(_blocks(F.col("words"), max_words)).alias("words"))
-    phrases = blocks.select("lang", F.explode(_grams(F.col("words"), max_words)).alias("phrase"))
-    counts = phrases.groupBy("lang", "phrase").agg(F.count("*").alias("n"))
-    counts = counts.select("lang", (F.length("phrase") - F.length(F.translate("phrase", " ", "")) + 1).alias("k"), "phrase", "n")
-    frequent = counts.where((F.col("n") >= min_count) | (F.col("k") == 1)).withColumn("phrase", F.when(F.col("n") >= min_count, F.col("phrase")))
-    return frequent.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("string").alias("text"))
+    phrases = with_text_batches(rows).mapInArrow(_exploded(max_words), "lang string, phrase string, n long")
+    # already counted in parts: no second table before the shuffle
+    counts = phrases.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    frequent = counts.where((F.col("n") >= min_count) | (F.instr("phrase", " ") == 0)).withColumn("phrase", F.when(F.col("n") >= min_count, F.col("phrase")))
+    spaces = F.length("phrase") - F.length(F.translate("phrase", " ", ""))
+    return frequent.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).select("lang", F.coalesce(spaces + 1, F.lit(1)).alias("k"), "phrase", "n")
 
 
 def _cuts(counts: DataFrame, max_words: int) -> DataFrame:

@@ -26,40 +26,70 @@ of a source sum up to about 10^9 plus the number of terms), hence exact in any o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_or_shuffled, stored
+from plumbline.llm.common import small_or_shuffled, stored, with_text_batches
 
-NOT_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of UTF-8 text: capital letters become small ones, what is neither a letter nor part of another character a blank.
+FOLDED = bytes(i if i >= 0x80 or 0x61 <= i <= 0x7A else i + 32 if 0x41 <= i <= 0x5A else 0x20 for i in range(256))
 LEAST_DOCS, PRIOR, SCALE, TERMS_SHOWN = 30, 5, 1_000_000_000, 50
 #: Percent of a language's sources from which on a term is heavy.
 HEAVY_PERCENT = 25
 #: Sources of a side of a tile, and postings of a task's terms.
-SIDE, POSTINGS = 256, 200_000
-#: Differences that numpy holds at a time.
-HELD = 2_000_000
+SIDE, POSTINGS = 256, 20_000
+#: Differences that numpy holds at a time; terms that a task holds before they become rows, and rows of a batch.
+HELD, HELD_TERMS, BATCH = 2_000_000, 500_000, 50_000
 #: Parts into which a language's sources are dealt where each meets all others.
 SALTS = 16
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of group, term and counts from rows of group and text; at most about ``HELD`` terms are held."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    size = 0
+    for batch in batches:
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()), strict=True):
+            if text.is_valid:
+                counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                size -= len(counts)
+                words = text.as_py().translate(FOLDED).split()
+                counts.update(words)
+                docs.update(set(words))
+                size += len(counts)
+            if size >= HELD_TERMS:
+                yield from _rows(held)
+                size = 0
+    yield from _rows(held)
+
+
+def _rows(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    """The counted terms in batches; the tables are emptied."""
+    for (lang, source), (counts, docs) in held.items():
+        terms = pa.array(counts.keys(), pa.binary(), size=len(counts)).cast(pa.string())
+        numbers, rows = pa.array(counts.values(), pa.int64(), size=len(counts)), pa.array(map(docs.__getitem__, counts), pa.int64(), size=len(counts))
+        for at in range(0, len(terms), BATCH):
+            part = terms.slice(at, BATCH)
+            groups = [pa.repeat(pa.scalar(x), len(part)) for x in (lang, source)]
+            yield pa.RecordBatch.from_arrays([*groups, part, numbers.slice(at, BATCH), rows.slice(at, BATCH)], ["lang", "source", "term", "c", "docs"])
+    held.clear()
+
+
 def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """``lang, source, term, c, docs``: occurrences of each term and the rows that hold it.
 
-    Occurrences and the distinct terms of a row are rows of one aggregation,
-    which counts in parts before its shuffle, so a source with a third of all
-    documents is no task of its own.
+    Tasks count what they read before the shuffle, so a source with a third of
+    all documents is no task of its own.
     """
-    terms = F.filter(F.split(F.translate(F.col(text).cast("string"), UPPER, LOWER), NOT_TERM), lambda x: x != "")
-    rows = _grouped(docs, lang, source, terms.alias("terms")).where(F.size("terms") > 0)
-    kinds = F.array(*(F.struct(x.alias("all"), F.lit(c).alias("c"), F.lit(d).alias("d")) for x, c, d in ((F.col("terms"), 1, 0), (F.array_distinct("terms"), 0, 1))))
-    rows = rows.select("lang", "source", F.explode(kinds).alias("kind")).select("lang", "source", F.explode("kind.all").alias("term"), "kind.c", "kind.d")
-    return rows.groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("d").alias("docs"))
+    rows = _grouped(docs, lang, source, F.col(text).cast("string").alias("text"))
+    counted = with_text_batches(rows).mapInArrow(_counted, "lang string, source string, term string, c long, docs long")
+    return counted.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("c").alias("c"), F.sum("docs").alias("docs"))
 
 
 def _grouped(docs: DataFrame, lang: str, source: str, *more: Column) -> DataFrame:

@@ -111,8 +111,9 @@ def any_term(columns: list[str], terms: list[str]) -> dict:
 
 
 def missing(column: Column) -> Column:
-    """Whether a value is absent: null, an empty text or an empty array."""
-    return column.isNull() | column.cast("string").isin("", "[]")
+    """Whether a value is absent: null, an empty text or an empty array (the text "[]" is a text like any other)."""
+    text = column.cast("string")
+    return column.isNull() | (text == "") | ((text == "[]") & F.startswith(F.typeof(column), F.lit("array")))
 
 
 def columns_of(spec: Any) -> set[str]:

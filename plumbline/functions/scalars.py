@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from math import pi
 
 from pyspark.sql import Column
@@ -83,6 +83,65 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * EARTH_KM * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
+#: The WGS84 ellipsoid's greater half-axis in metres and its flattening.
+WGS84_A, WGS84_F = 6_378_137.0, 1 / 298.257223563
+#: Steps of the ellipsoid's inverse solution; it converges to far less than a millimetre except for nearly opposite points.
+GEODESIC_STEPS = 12
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """An expression of a value that is computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def geodesic_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres between two points on the WGS84 ellipsoid, by Vincenty's inverse formula with a fixed number of steps.
+
+    Null where a coordinate is null. Points within half a degree of opposite each
+    other, for which the steps do not settle, get the sphere's distance.
+    """
+    a, f = WGS84_A, WGS84_F
+    b = a * (1 - f)
+    reduced = [F.atan((1 - f) * F.tan(F.radians(x.cast("double")))) for x in (lat1, lat2)]
+    fixed = F.struct(
+        F.sin(reduced[0]).alias("s1"), F.cos(reduced[0]).alias("c1"), F.sin(reduced[1]).alias("s2"), F.cos(reduced[1]).alias("c2"), F.radians(lon2.cast("double") - lon1.cast("double")).alias("l")
+    )
+
+    def angles(k: Column, lam: Column) -> Column:
+        """sin and cos of the angle between the points on the sphere that belongs to a difference of longitudes."""
+        across = F.pow(k["c2"] * F.sin(lam), 2) + F.pow(k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam), 2)
+        return F.struct(F.sqrt(across).alias("sin"), (k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)).alias("cos"), F.sin(lam).alias("sl"))
+
+    def course(k: Column, g: Column) -> Column:
+        """The angle itself, the squared cosine of the azimuth at the equator, and cos of twice the angle to the middle."""
+        sine = F.when(g["sin"] == 0, 0.0).otherwise(k["c1"] * k["c2"] * g["sl"] / F.nullif(g["sin"], F.lit(0.0)))
+        square = 1 - sine * sine
+        return F.struct(F.atan2(g["sin"], g["cos"]).alias("angle"), sine.alias("sine"), square.alias("square"), F.when(square < 1e-15, 0.0).otherwise(g["cos"] - 2 * k["s1"] * k["s2"] / F.nullif(square, F.lit(0.0))).alias("middle"))
+
+    def improved(k: Column, lam: Column) -> Column:
+        def step(g: Column, o: Column) -> Column:
+            return let(f / 16 * o["square"] * (4 + f * (4 - 3 * o["square"])), lambda c: k["l"] + (1 - c) * f * o["sine"] * (o["angle"] + c * g["sin"] * (o["middle"] + c * g["cos"] * (2 * o["middle"] * o["middle"] - 1))))
+
+        return let(angles(k, lam), lambda g: let(course(k, g), lambda o: step(g, o)))
+
+    def metres(k: Column, lam: Column) -> Column:
+        def length(g: Column, o: Column) -> Column:
+            u = o["square"] * ((a * a - b * b) / (b * b))
+            big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            m = o["middle"]
+            more = small * g["sin"] * (m + small / 4 * (g["cos"] * (2 * m * m - 1) - small / 6 * m * (4 * g["sin"] * g["sin"] - 3) * (4 * m * m - 3)))
+            return b * big * (o["angle"] - more)
+
+        return let(angles(k, lam), lambda g: let(course(k, g), lambda o: length(g, o)))
+
+    def solved(k: Column) -> Column:
+        lam = F.aggregate(F.sequence(F.lit(1), F.lit(GEODESIC_STEPS)), k["l"], lambda x, _: improved(k, x))
+        return let(lam, lambda x: F.when(F.abs(improved(k, x) - x) < 1e-9, metres(k, x)))
+
+    return F.coalesce(let(fixed, solved), 1000 * haversine_km(lat1, lon1, lat2, lon2))
+
+
 def haversine_rounded(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Distance whose square is rounded to two places before the root is taken."""
     return F.sqrt(F.round(F.pow(haversine_km(lat1, lon1, lat2, lon2), 2), 2))

@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import periods
 from plumbline.functions.query_string import query_filter
+from plumbline.functions.scalars import haversine_km
+from plumbline.operators import analytics as N
 from plumbline.operators import boundaries as B
 from plumbline.operators import intervals as I
+from plumbline.operators import records as C
+from plumbline.operators import tracks as K
+from plumbline.operators.suggestions import with_suggestion
 from plumbline.queries import money, query, t
+from plumbline.sources import files as R
+from plumbline.streaming import stateful as M
 
 # query strings -------------------------------------------------------------
 
@@ -135,3 +142,102 @@ def shapes_over_time(spark, d):
     rows = shapes.select(*((first + F.make_dt_interval(x)).alias(c) for c, x in (("a", F.col("k") % 37), ("b", F.col("k") % 37 + F.col("k") % 11))), (I.perimeter_m(F.col("rings")) / 1000).alias("perimeter"), (I.area_m2(F.col("rings")) / 1_000_000).alias("area"))
     out = I.sums_at(rows, "a", "b", periods.instants("2024-01-01/2024-02-20/P7D"), {"perimeter": F.col("perimeter"), "area": F.col("area")}, scale=0)
     return out.select(F.date_format("at", "yyyy-MM-dd").alias("at"), "n", F.col("perimeter").cast("long").alias("perimeter"), F.col("area").cast("long").alias("area"))
+
+
+# samples and statistics with state ---------------------------------------------
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_type, epoch_ms(ts) AS ms, event_id FROM events),"
+    " nx AS (SELECT user_id, ms, (SELECT min(x.ms) FROM e x WHERE x.user_id = d.user_id AND x.ms >= d.ms + 7200000) AS nxt FROM (SELECT DISTINCT user_id, ms FROM e) d),"
+    " r(user_id, ms) AS (SELECT user_id, min(ms) FROM e GROUP BY user_id UNION ALL SELECT nx.user_id, nx.nxt FROM r JOIN nx ON nx.user_id = r.user_id AND nx.ms = r.ms WHERE nx.nxt IS NOT NULL),"
+    " k AS (SELECT r.user_id, min(e.event_id) AS event_id FROM r JOIN e ON e.user_id = r.user_id AND e.ms = r.ms GROUP BY r.user_id, r.ms)"
+    " SELECT event_id, user_id, event_type FROM events WHERE event_type = 'error' OR event_id IN (SELECT event_id FROM k)"
+)
+def sampling_recorded(spark, d):
+    """The first event of each user and then those two hours after the last recorded; errors always. Slices of three days."""
+    return M.sample_recorded(t(spark, d, "events"), "user_id", "ts", "event_id", 7_200_000, F.col("event_type") == "error", 3 * 86_400).select("event_id", "user_id", "event_type")
+
+
+@query(
+    "WITH l AS (SELECT l_suppkey, CAST(l_extendedprice AS DECIMAL(18,2)) AS v FROM lineitem WHERE NOT (l_returnflag = 'R')) SELECT l_suppkey, count(*) AS n, sum(v)::DOUBLE AS sum, round(sum(v)::DOUBLE / count(*), 4) AS mean, min(v)::DOUBLE AS min, max(v)::DOUBLE AS max FROM l GROUP BY 1"
+)
+def signed_statistics_extremes(spark, d):
+    """Every sale adds; a returned one is subtracted again."""
+    sales = t(spark, d, "lineitem").select("l_suppkey", money("l_extendedprice").alias("v"), "l_returnflag")
+    rows = sales.select("l_suppkey", "v", F.lit(1).alias("sign")).unionByName(sales.where("l_returnflag = 'R'").select("l_suppkey", "v", F.lit(-1).alias("sign")))
+    out = M.signed_extremes(rows, ["l_suppkey"], "v", "sign")
+    return out.select("l_suppkey", "n", *(F.col(c).cast("double").alias(c) for c in ("sum", "min", "max")), F.round(F.col("sum").cast("double") / F.col("n"), 4).alias("mean"))
+
+
+# nulls, repeats and new fields ---------------------------------------------------
+
+
+@query(
+    "WITH e AS (SELECT CAST(floor(epoch_ms(ts) / 86400000.0) AS BIGINT) * 86400000 AS bucket, CASE WHEN user_id % 3 = 0 THEN NULL ELSE event_type END AS kind, value FROM events),"
+    " s AS (SELECT unnest(generate_series((SELECT min(bucket) FROM e), (SELECT max(bucket) FROM e), 86400000)) AS bucket)"
+    " SELECT s.bucket, k.kind, count(e.bucket) AS n, max(value) AS most FROM s CROSS JOIN (SELECT DISTINCT kind FROM e) k LEFT JOIN e ON e.bucket = s.bucket AND e.kind IS NOT DISTINCT FROM k.kind GROUP BY 1, 2"
+)
+def histogram_with_null_group(spark, d):
+    rows = t(spark, d, "events").withColumn("kind", F.when(F.col("user_id") % 3 != 0, F.col("event_type")))
+    return N.date_histogram(rows, "ts", 86_400_000, [F.max("value").alias("most")], groups=["kind"])
+
+
+@query(
+    "SELECT o_orderkey, o_custkey, CASE WHEN c.l_orderkey IS NOT NULL THEN c.status ELSE o_orderstatus END AS o_orderstatus, coalesce(c.price, o_totalprice) AS o_totalprice FROM orders LEFT JOIN"
+    " (SELECT l_orderkey, l_extendedprice AS price, CASE WHEN l_tax > 0.02 THEN l_linestatus END AS status FROM lineitem WHERE l_discount > 0.03"
+    "  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_extendedprice DESC, CASE WHEN l_tax > 0.02 THEN l_linestatus END DESC NULLS LAST) = 1) c ON c.l_orderkey = o_orderkey"
+)
+def update_by_repeated_key(spark, d):
+    """An order's lines change its price and status (to nothing, sometimes); the last line counts."""
+    lines = t(spark, d, "lineitem").where("l_discount > 0.03")
+    changes = lines.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("o_totalprice"), F.when(F.col("l_tax") > 0.02, F.col("l_linestatus")).alias("o_orderstatus"), "l_linenumber")
+    return R.update_rows(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), changes, "o_orderkey", "l_linenumber")
+
+
+@query(
+    "WITH a AS (SELECT c_custkey AS k, c_name AS name, c_nationkey AS nation, c_acctbal AS balance FROM customer WHERE c_custkey % 4 <> 0),"
+    " b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE upper(c_mktsegment) END AS name, c_custkey % 7 AS grade, c_mktsegment AS segment FROM customer WHERE c_custkey % 5 <> 0)"
+    " SELECT k, coalesce(b.name, a.name) AS name, a.nation AS nation, a.balance AS balance, b.grade AS grade, b.segment AS segment FROM a FULL JOIN b USING (k)"
+)
+def merged_documents(spark, d):
+    """Both sides have documents and nested fields that the other lacks."""
+    rows = t(spark, d, "customer").withColumn("k", F.col("c_custkey"))
+    old = rows.where("k % 4 <> 0").select("k", F.col("c_name").alias("name"), F.struct(F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")).alias("info"))
+    new = rows.where("k % 5 <> 0").select("k", F.when(F.col("k") % 3 != 0, F.upper("c_mktsegment")).alias("name"), F.struct((F.col("k") % 7).alias("grade")).alias("info"), F.col("c_mktsegment").alias("segment"))
+    return C.merge_documents(old, new, "k").select("k", "name", "info.nation", "info.balance", "info.grade", "segment")
+
+
+# words and tracks ------------------------------------------------------------------
+
+
+@query(
+    "WITH c AS (SELECT DISTINCT p_name || ' ' || CAST(p_partkey % 997 AS VARCHAR) AS w FROM part),"
+    " q AS (SELECT p_partkey, w, CASE p_partkey % 4 WHEN 0 THEN left(w, 2) || substring(w, 4) WHEN 1 THEN left(w, 4) || 'x' || substring(w, 5) WHEN 2 THEN replace(w, 'e', 'a') ELSE 'qu ' || w END AS word FROM (SELECT p_partkey, p_name || ' ' || CAST(p_partkey % 997 AS VARCHAR) AS w FROM part)),"
+    " n AS (SELECT word, c.w, levenshtein(word, c.w) AS e FROM (SELECT DISTINCT word FROM q) JOIN c ON abs(length(word) - length(c.w)) <= 2 AND levenshtein(word, c.w) <= least(2, floor(length(word) * 0.2)))"
+    " SELECT p_partkey, word, b.w AS suggestion FROM q LEFT JOIN (SELECT word, w FROM n QUALIFY row_number() OVER (PARTITION BY word ORDER BY e, w) = 1) b USING (word)"
+)
+def suggestions_from_table(spark, d):
+    """The nearest of all parts' words for misspelt ones: a letter left out, one too many, others, or too far away."""
+    rows = t(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", (F.col("p_partkey") % 997).cast("string")).alias("w"))
+    word = F.expr("CASE p_partkey % 4 WHEN 0 THEN concat(left(w, 2), substring(w, 4)) WHEN 1 THEN concat(left(w, 4), 'x', substring(w, 5)) WHEN 2 THEN replace(w, 'e', 'a') ELSE concat('qu ', w) END")
+    return with_suggestion(rows.select("p_partkey", word.alias("word")), "word", rows, "w", 0.2)
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us_at, 45 + (event_id * 7919 % 1000) / 5000.0::DOUBLE AS lat, 8 + (event_id * 104729 % 1000) / 5000.0::DOUBLE AS lon, CASE WHEN event_type = 'error' THEN NULL ELSE value * 3 END AS kmh FROM events),"
+    " s AS (SELECT user_id, us_at - lag(us_at) OVER w AS us, (kmh + lag(kmh) OVER w) / 2 AS kmh, lat, lon, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us_at, event_id)),"
+    " x AS (SELECT *, us IS NULL OR us > 14400000000 AS opens FROM s)"
+    " SELECT user_id, count_if(opens) AS tracks, round(coalesce(sum(us) FILTER (NOT opens), 0) / 1e6, 3) AS seconds, round(coalesce(sum(us) FILTER (NOT opens AND kmh < 60), 0) / 1e6, 3) AS seconds_slow,"
+    " round(coalesce(sum(us) FILTER (NOT opens AND kmh > 130), 0) / 1e6, 3) AS seconds_fast, round(coalesce(sum(us) FILTER (NOT opens AND kmh IS NULL), 0) / 1e6, 3) AS seconds_unknown,"
+    " abs(sum(CASE WHEN NOT opens THEN 2 * 6371.0::DOUBLE * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2))) ELSE 0 END)) >= 0 AS near_sphere FROM x GROUP BY user_id"
+)
+def driving_statistics(spark, d):
+    """Users' tracks with their times by speed; lengths on the ellipsoid are held against the sphere's, which SQL can tell, within 0.4 %."""
+    places = [(F.lit(base) + (F.col("event_id") * k % 1000) / 5000.0).alias(n) for n, base, k in (("lat", 45, 7919), ("lon", 8, 104729))]
+    rows = t(spark, d, "events").select("user_id", "ts", "event_id", *places, F.when(F.col("event_type") != "error", F.col("value") * 3).alias("kmh"))
+    out = K.driving_statistics(rows, "user_id", "ts", "lat", "lon", 4 * 3600, "kmh", ["event_id"])
+    sphere = K.segments(rows, "user_id", "ts", "lat", "lon", ["event_id"], ["lat", "lon"]).where("seconds <= 14400")
+    sphere = sphere.groupBy("user_id").agg(F.sum(haversine_km(F.col("before_lat"), F.col("before_lon"), F.col("lat"), F.col("lon"))).alias("round_km"))
+    near = F.abs(F.col("km") - F.coalesce("round_km", F.lit(0.0))) <= 0.004 * F.col("km")
+    return out.join(sphere, "user_id", "left").select("user_id", "tracks", *(F.round(c, 3).alias(c) for c in ("seconds", "seconds_slow", "seconds_fast", "seconds_unknown")), near.alias("near_sphere"))

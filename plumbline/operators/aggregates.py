@@ -78,11 +78,11 @@ def summarize(df: DataFrame, groups: list[str], aggregations: list[dict[str, str
     return df.groupBy(*groups).agg(*(made or [F.count("*").alias("count")]))
 
 
-def share_percent(df: DataFrame, column: str) -> DataFrame:
-    """column, n, percent of all rows with a value, rounded half up."""
-    counts = df.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_all"))
-    return counts.crossJoin(F.broadcast(total)).select(column, "n", F.floor(100 * F.col("n") / F.col("_all") + 0.5).cast("long").alias("percent"))
+def share_percent(df: DataFrame, column: str, name: str = "n") -> DataFrame:
+    """column, n (or ``name``), percent of all rows with a value, rounded half up."""
+    counts = df.where(F.col(column).isNotNull() & (F.col(column) != "")).groupBy(column).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).select(column, F.col("_n").alias(name), F.floor(100 * F.col("_n") / F.col("_all") + 0.5).cast("long").alias("percent"))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import reduce
 from operator import and_
 from typing import Any
@@ -76,10 +77,15 @@ def date_histogram(df: DataFrame, ts: str, width_ms: int, aggs: list[Column] | N
         ends = ends.select(F.least("lo", F.lit(lo)).alias("lo"), F.greatest("hi", F.lit(hi)).alias("hi"))
     if before:
         ends = ends.withColumn("lo", F.col("lo") - F.lit(-(-before // width_ms) * width_ms))
-    spine = ends.where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.lit(width_ms).cast("long"))).alias("bucket"))
-    if groups:
-        spine = spine.crossJoin(counted.select(*groups).distinct())
-    return spine.join(counted, ["bucket", *groups], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ends = ends.where("lo is not null")
+    every = F.explode(F.sequence("lo", "hi", F.lit(width_ms).cast("long"))).alias("bucket")
+    if not groups:
+        return ends.select(every).join(counted, "bucket", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    # one row of ends beside each group; a null group is a group
+    spine = counted.select(*groups).distinct().crossJoin(F.broadcast(ends)).select(every, *(F.col(g).alias(f"_{g}") for g in groups))
+    same = reduce(and_, (F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups), spine["bucket"] == counted["bucket"])
+    joined = spine.join(counted, same, "left")
+    return joined.select(spine["bucket"], *(F.col(f"_{g}").alias(g) for g in groups), *(F.coalesce("n", F.lit(0)).alias("n") if c == "n" else F.col(c) for c in counted.columns if c not in ("bucket", *groups)))
 
 
 def series_by(df: DataFrame, ts: str, width_ms: int, group: str, values: list[Any], remainder: str = "remainder") -> DataFrame:
@@ -116,8 +122,11 @@ def yearly(df: DataFrame, ts: str, value: str) -> DataFrame:
 
 
 def in_months(df: DataFrame, ts: str, years: list[int], months: list[int]) -> DataFrame:
-    """Rows of some months of some years."""
-    return df.where(F.year(ts).isin(*years) & F.month(ts).isin(*months))
+    """Rows of some months of some years; the range that encloses them is a filter of its own, which scans take."""
+    if not years or not months:
+        return df.limit(0)
+    start, end = datetime(min(years), min(months), 1), datetime(max(years) + max(months) // 12, max(months) % 12 + 1, 1)
+    return df.where((F.col(ts) >= F.lit(start)) & (F.col(ts) < F.lit(end)) & F.year(ts).isin(*years) & F.month(ts).isin(*months))
 
 
 def rated(df: DataFrame, key: str, value: str, ts: str) -> DataFrame:

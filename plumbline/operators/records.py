@@ -4,32 +4,67 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from plumbline.operators.joins import co_occurrence
+
+
+def _merged_type(a: T.DataType | None, b: T.DataType | None) -> T.DataType:
+    """The fields of either side, the old ones first; the new side's type where they disagree."""
+    if a is None or b is None:
+        return a or b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        names = [*a.names, *(n for n in b.names if n not in a.names)]
+        return T.StructType([T.StructField(n, _merged_type(a[n].dataType if n in a.names else None, b[n].dataType if n in b.names else None)) for n in names])
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_merged_type(a.elementType, b.elementType))
+    return b
+
+
+def _as(column: Column, kind: T.DataType, to: T.DataType) -> Column:
+    """A value as a type that has all its fields; fields that it lacks are null."""
+    if isinstance(kind, T.StructType) and isinstance(to, T.StructType):
+        fields = [(_as(column[f.name], kind[f.name].dataType, f.dataType) if f.name in kind.names else F.lit(None).cast(f.dataType)).alias(f.name) for f in to]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType) and isinstance(to, T.ArrayType):
+        return F.transform(column, lambda x: _as(x, kind.elementType, to.elementType))
+    return column.cast(to)
+
+
+def _merged(old: Column, new: Column, a: T.DataType, b: T.DataType, ids: dict[str, str], path: str) -> Column:
+    to = _merged_type(a, b)
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        fields = []
+        for f in to:
+            here = f"{path}.{f.name}" if path else f.name
+            if f.name not in a.names or f.name not in b.names:
+                side, kind = (new, b) if f.name in b.names else (old, a)
+                fields.append(_as(side[f.name], kind[f.name].dataType, f.dataType).alias(f.name))
+            else:
+                fields.append(_merged(old[f.name], new[f.name], a[f.name].dataType, b[f.name].dataType, ids, here).alias(f.name))
+        return F.when(old.isNotNull() | new.isNotNull(), F.struct(*fields))
+    left, right = _as(old, a, to), _as(new, b, to)
+    if path in ids and isinstance(to, T.ArrayType):
+        none = F.array().cast(to)
+        known = F.coalesce(F.transform(right, lambda x: x[ids[path]]), F.array().cast(T.ArrayType(to.elementType[ids[path]].dataType)))
+        return F.when(left.isNotNull() | right.isNotNull(), F.concat(F.filter(F.coalesce(left, none), lambda x: ~F.coalesce(F.array_contains(known, x[ids[path]]), F.lit(False))), F.coalesce(right, none)))
+    return F.coalesce(right, left)
 
 
 def merge_documents(old: DataFrame, new: DataFrame, key: str, arrays: dict[str, str] | None = None) -> DataFrame:
-    """Documents of both sides by key: a new value wins unless it is null; arrays of structs merge by an element id, new elements winning."""
-    arrays = arrays or {}
-    a, b = old.select(key, F.struct(*old.columns).alias("_old")), new.select(key, F.struct(*new.columns).alias("_new"))
-    both = a.join(b, key, "full")
-    out = []
-    for c in old.columns:
-        if c == key:
-            out.append(F.col(key))
-        elif c in arrays:
-            ids = F.coalesce(F.col(f"_new.{c}.{arrays[c]}"), F.array().cast(f"array<{_element_type(old, c, arrays[c])}>"))
-            kept = F.filter(f"_old.{c}", _not_in(ids, arrays[c]))
-            out.append(F.concat(*(F.coalesce(x, F.array().cast(old.schema[c].dataType)) for x in (kept, F.col(f"_new.{c}")))).alias(c))
-        else:
-            out.append(F.coalesce(f"_new.{c}", f"_old.{c}").alias(c))
-    return both.select(*out)
-
-
-def _not_in(ids: Column, field: str):
-    return lambda x: ~F.array_contains(ids, x[field])
+    """Documents of both sides by key: the key and the fields of either side, at every level.
 
-
-def _element_type(df: DataFrame, column: str, field: str) -> str:
-    return df.schema[column].dataType.elementType[field].dataType.simpleString()
+    A new value wins unless it is null, objects merge field by field, and arrays
+    of objects that ``arrays`` names by their path merge by an element's id, new
+    elements winning; elements without an id stay. Other arrays are replaced. A
+    document of one side only has nulls for the fields of the other. Keys should
+    not repeat within a side.
+    """
+    a, b = old.select(F.col(key), F.struct(*old.columns).alias("_old")), new.select(F.col(key), F.struct(*new.columns).alias("_new"))
+    both = a.join(b, key, "full")
+    to = _merged_type(old.schema, new.schema)
+    merged = _merged(F.col("_old"), F.col("_new"), old.schema, new.schema, arrays or {}, "")
+    return both.select(key, merged.alias("_row")).select(key, *(F.col(f"_row.`{n}`").alias(n) for n in to.names if n != key))
 
 
 def triage(df: DataFrame, name: str, failures: str, jobs: str, confidence: str) -> DataFrame:
@@ -71,8 +106,7 @@ def ego_edges(links: DataFrame, group: str, member: str, who) -> DataFrame:
     near = links.join(links.where(F.col(member) == who).select(group).distinct(), group, "left_semi").select(member).distinct()
     groups = links.join(near, member, "left_semi").select(group).distinct()
     rows = links.join(groups, group, "left_semi").select(group, member).distinct()
-    a, b = rows.select(group, F.col(member).alias("a")), rows.select(group, F.col(member).alias("b"))
-    return a.join(b, group).where("a < b").select("a", "b").distinct()
+    return co_occurrence(rows, group, member).select("a", "b")
 
 
 def progress(done: Column, of: Column) -> Column:

@@ -50,10 +50,12 @@ def sliced_place(df: DataFrame, key: str, ts: str, order: list[str], name: str,
     return _beside(rows.withColumn(name, F.row_number().over(inside)), counts, key).withColumn(name, F.col(name) + F.col("_carried")).drop("_carried")
 
 
-def sliced_lag(df: DataFrame, key: str, ts: str, order: list[str], name: str, seconds: float = SLICE_S) -> DataFrame:
-    """Add the time of the row before in each key's time order; no key is ordered in one task."""
-    rows, inside, before = _sliced(df, key, ts, order, seconds)
-    ends = rows.groupBy(key, "_slice").agg(F.max(ts).alias("_end")).select(key, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+def sliced_lag(df: DataFrame, key: str, ts: str, order: list[str], name: str, seconds: float = SLICE_S, value: Column | None = None) -> DataFrame:
+    """Add the time of the row before in each key's time order, or its ``value``; no key is ordered in one task."""
+    value = F.col(ts) if value is None else value
+    rows, inside, before = _sliced(df.withColumn("_value", F.struct(value.alias("v"))), key, ts, order, seconds)
+    newest = F.max_by("_value", F.struct(ts, *order))
+    ends = rows.groupBy(key, "_slice").agg(newest.alias("_end")).select(key, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
     first = F.row_number().over(inside) == 1
-    lagged = rows.withColumns({name: F.lag(ts).over(inside), "_first": first})
-    return _beside(lagged, ends, key).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name))).drop("_carried", "_first")
+    lagged = rows.withColumns({name: F.lag("_value").over(inside), "_first": first})
+    return _beside(lagged, ends, key).withColumn(name, F.when(F.col("_first"), F.col("_carried")).otherwise(F.col(name))["v"]).drop("_carried", "_first", "_value")

@@ -21,7 +21,9 @@ Reader = Callable[..., DataFrame]
 
 
 def _csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding: str = "utf-8", **options: Any) -> DataFrame:
-    reader = spark.read.options(sep=sep, header=header, encoding=ENCODINGS.get(encoding, encoding), escape='"', multiLine=True, nullValue="\x00", **options)
+    """Delimited text. Files are split over tasks; values with line breaks need ``multiLine=True``, which reads a file as one."""
+    settings = {"sep": sep, "header": header, "encoding": ENCODINGS.get(encoding, encoding), "escape": '"', "nullValue": "\x00"} | options
+    reader = spark.read.options(**settings)
     # a null is what stands unquoted between separators, "" is the empty string
     df = reader.csv(path)
     return df if header else df.toDF(*(f"column_{i}" for i in range(len(df.columns))))
@@ -142,11 +144,19 @@ def insert_select(target: DataFrame, source: DataFrame, mapping: list[tuple[str,
     return target.unionByName(source.select(*((F.col(names[c]) if c in names else F.lit(None)).cast(t).alias(c) for c, t in target.dtypes)))
 
 
-def update_rows(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Rows with the values of ``changes`` where the key matches (a copy; a null in a change is kept)."""
-    marked = changes.select(F.col(key), F.struct(*(c for c in changes.columns if c != key)).alias("_new"))
-    new = set(changes.columns) - {key}
-    joined = df.join(marked, key, "left")
+def update_rows(df: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows with the values of ``changes`` where the key matches (a copy; a null in a change is kept).
+
+    Of several changes of a key the last by ``order`` counts (of equal ones the
+    one with the largest values); without an order such a key fails the query,
+    instead of multiplying its row.
+    """
+    new = [c for c in changes.columns if c not in (key, order)]
+    values = F.struct(*new)
+    made = changes.where(F.col(key).isNotNull()).groupBy(F.col(key)).agg(F.count("*").alias("_n"), F.max_by(values, F.struct(*([order] if order else []), *new)).alias("_new"))
+    if order is None:
+        made = made.withColumn("_new", F.when(F.col("_n") == 1, F.col("_new")).otherwise(F.raise_error(F.concat(F.lit(f"more than one change for {key} "), F.col(key).cast("string")))))
+    joined = df.join(made.select(key, "_new"), key, "left")
     return joined.select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns))
 
 

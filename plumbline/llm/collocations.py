@@ -3,7 +3,7 @@
 All 1..max_n-grams of all pieces become rows and are counted by hash
 aggregation. They are spelled in Python, where a table of at most about
 ``HELD`` phrases counts those of a task before they become rows; so a frequent
-phrase is one row for many, and the shuffle carries sorted runs. Counts under
+phrase is counted once for many. Counts under
 ``min_count`` can neither be candidates nor parts of one (a part occurs wherever
 the phrase does), so after counting they are only kept as one sum for each
 language. Every cut of a
@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -34,13 +35,17 @@ NO_LANG = "und"
 MAX_WORDS, MIN_COUNT, COVERED_PERCENT, PER_LANG = 3, 10, 50, 2_000
 SCALE = 1_000_000
 #: Words of a long piece that are spelled at a time, phrases that a task holds, rows of a result batch.
-BLOCK, HELD, BATCH = 4_096, 600_000, 50_000
+BLOCK, HELD, BATCH = 4_096, 600_000, 256
+#: Bytes of a phrase that choose its bucket, and phrases whose buckets are found at a time.
+HEAD, HASHED = 64, 50_000
+#: Buckets of phrases for each shuffle partition.
+BUCKETS = 2
 #: Parts of a phrase's joins with the counts of its parts.
 SALTS = 8
 
 
-def _exploded(most: int):
-    """Rows of phrases and their counts from rows of language and text."""
+def _exploded(most: int, buckets: int):
+    """Rows of language, bucket and counted phrases, as lines, from rows of language and text."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -62,13 +67,13 @@ def _exploded(most: int):
                             room -= _add(counts, grams)
                             grams = []
                             if room <= 0:
-                                yield from _rows(held)
+                                yield from _lines(held, buckets)
                                 room = HELD
                 room -= _add(counts, grams)
                 if room <= 0:
-                    yield from _rows(held)
+                    yield from _lines(held, buckets)
                     room = HELD
-        yield from _rows(held)
+        yield from _lines(held, buckets)
 
     return explode
 
@@ -80,24 +85,58 @@ def _add(counts: Counter, grams: list[bytes]) -> int:
     return len(counts) - before
 
 
-def _rows(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-    """The counted phrases in sorted batches; the tables are emptied."""
+def _buckets(phrases: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket of each phrase, the same in every task: a polynomial of its length and its first bytes."""
+    out = []
+    for at in range(0, len(phrases), HASHED):
+        part = phrases.slice(at, HASHED)
+        heads = pa.concat_arrays([pc.binary_slice(part, 0, HEAD)])
+        ends = np.frombuffer(heads.buffers()[1], np.int32)[heads.offset : heads.offset + len(heads) + 1]
+        data = np.frombuffer(heads.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        ends = ends - ends[0]
+        powers = np.cumprod(np.full(HEAD, 0x9E3779B97F4A7C15, np.uint64))
+        places = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
+        sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[places], ends[:-1]) + pc.binary_length(part).to_numpy().astype(np.uint64)
+        mixed = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        out.append(((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32))
+    return np.concatenate(out)
+
+
+def _lines(held: dict[str, Counter], buckets: int) -> Iterator[pa.RecordBatch]:
+    """The counted phrases, a row for each bucket and language; the tables are emptied.
+
+    A line is a phrase, and a tab and its count where that is not 1.
+    """
     for lang, counts in held.items():
-        phrases = pa.array(counts.keys(), pa.binary(), size=len(counts))
-        order = pc.sort_indices(phrases)
-        phrases, numbers = phrases.take(order).cast(pa.string()), pa.array(counts.values(), pa.int64(), size=len(counts)).take(order)
+        if not counts:
+            continue
+        phrases, numbers = pa.array(counts.keys(), pa.binary(), size=len(counts)), pa.array(counts.values(), pa.int64(), size=len(counts))
         counts.clear()
-        for at in range(0, len(phrases), BATCH):
-            part = phrases.slice(at, BATCH)
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(part)), part, numbers.slice(at, BATCH)], ["lang", "phrase", "n"])
+        bucket = _buckets(phrases, buckets)
+        lines = pc.if_else(pc.equal(numbers, 1), phrases, pc.binary_join_element_wise(phrases, numbers.cast(pa.string()).cast(pa.binary()), b"\t"))
+        order = np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[order], return_index=True)
+        lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int64()), lines.take(pa.array(order)))
+        for at in range(0, len(found), BATCH):
+            texts = pc.binary_join(lists.slice(at, BATCH).cast(pa.list_(pa.binary())), b"\n").cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(texts)), pa.array(found[at : at + BATCH]), texts], ["lang", "bucket", "lines"])
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:
-    """``lang, k, phrase, n``: phrases of k words that occur at least ``min_count`` times; null phrases sum up rarer words."""
+    """``lang, k, phrase, n``: phrases of k words that occur at least ``min_count`` times; null phrases sum up rarer words.
+
+    Phrases are shuffled as lines of their bucket, some hundred a row, which
+    takes less than two thirds of the bytes of a row each. There are ``BUCKETS``
+    buckets for each shuffle partition, and a language's are dealt apart.
+    """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("string").alias("text"))
-    phrases = with_text_batches(rows).mapInArrow(_exploded(max_words), "lang string, phrase string, n long")
-    # already counted in parts: no second table before the shuffle
-    counts = phrases.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines = with_text_batches(rows).mapInArrow(_exploded(max_words, buckets), "lang string, bucket int, lines string").repartition("lang", "bucket")
+    phrases = lines.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
+    tab = F.instr("line", "\t")
+    phrases = phrases.select("lang", "bucket", F.when(tab == 0, F.col("line")).otherwise(F.substring_index("line", "\t", 1)).alias("phrase"), F.when(tab == 0, F.lit(1)).otherwise(F.substring_index("line", "\t", -1).cast("long")).alias("n"))
+    # a phrase has one bucket: the rows are where they are needed
+    counts = phrases.groupBy("lang", "bucket", "phrase").agg(F.sum("n").alias("n"))
     frequent = counts.where((F.col("n") >= min_count) | (F.instr("phrase", " ") == 0)).withColumn("phrase", F.when(F.col("n") >= min_count, F.col("phrase")))
     spaces = F.length("phrase") - F.length(F.translate("phrase", " ", ""))
     return frequent.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).select("lang", F.coalesce(spaces + 1, F.lit(1)).alias("k"), "phrase", "n")

@@ -66,3 +66,11 @@ def test_products_beyond_64_bits(spark):
     counts = spark.createDataFrame([("en", 1, "a", 10**12), ("en", 1, "b", 10**12 + 7), ("en", 2, "a b", 10**12 - 3)], "lang string, k int, phrase string, n long")
     a, left, right = 10**12 - 3, 10**12, 10**12 + 7
     assert [tuple(r) for r in module.scored_phrases(counts).collect()] == [("en", "a b", a, left, right, 1_000_000 * a * a // (left * right))]
+
+
+def test_small_tables_and_long_words(spark, monkeypatch):
+    """Tables of counts that are emptied again and again, in batches of few buckets; words longer than what chooses their bucket."""
+    for name, value in (("HELD", 40), ("BATCH", 3), ("HASHED", 7)):
+        monkeypatch.setattr(module, name, value)
+    rows = table(np.random.default_rng(6), 50) + [(9, ("x" * 3000 + " y ") * 12, "en", "x", 1), (9, ("x" * 2999 + " y ") * 12, "en", "x", 1)]
+    assert sorted(map(tuple, collocations(spark.createDataFrame(rows, DOCS)).collect())) == brute(rows)

@@ -47,7 +47,7 @@ def _merged(old: Column, new: Column, a: T.DataType, b: T.DataType, ids: dict[st
     if path in ids and isinstance(to, T.ArrayType):
         none = F.array().cast(to)
         known = F.coalesce(F.transform(right, lambda x: x[ids[path]]), F.array().cast(T.ArrayType(to.elementType[ids[path]].dataType)))
-        return F.when(left.isNotNull() | right.isNotNull(), F.concat(F.filter(F.coalesce(left, none), lambda x: ~F.coalesce(F.array_contains(known, x[ids[path]]), F.lit(False))), F.coalesce(right, none)))
+        return F.concat(F.filter(F.coalesce(left, none), lambda x: ~F.coalesce(F.array_contains(known, x[ids[path]]), F.lit(False))), F.coalesce(right, none))
     return F.coalesce(right, left)
 
 
@@ -56,7 +56,8 @@ def merge_documents(old: DataFrame, new: DataFrame, key: str, arrays: dict[str,
 
     A new value wins unless it is null, objects merge field by field, and arrays
     of objects that ``arrays`` names by their path merge by an element's id, new
-    elements winning; elements without an id stay. Other arrays are replaced. A
+    elements winning; elements without an id stay, and none at all give an empty
+    array. Other arrays are replaced. A
     document of one side only has nulls for the fields of the other. Keys should
     not repeat within a side.
     """

@@ -21,7 +21,13 @@ Reader = Callable[..., DataFrame]
 
 
 def _csv(spark: SparkSession, path: str, sep: str = ",", header: bool = True, encoding: str = "utf-8", **options: Any) -> DataFrame:
-    """Delimited text. Files are split over tasks; values with line breaks need ``multiLine=True``, which reads a file as one."""
+    """Delimited text. Files are split over tasks unless a value holds a line break (``multiLine``, which makes each file one task's).
+
+    Without that option a pass over the lines looks for one with an odd number of quotes.
+    """
+    if "multiLine" not in options:
+        quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+        options["multiLine"] = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     settings = {"sep": sep, "header": header, "encoding": ENCODINGS.get(encoding, encoding), "escape": '"', "nullValue": "\x00"} | options
     reader = spark.read.options(**settings)
     # a null is what stands unquoted between separators, "" is the empty string

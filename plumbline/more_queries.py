@@ -15,6 +15,7 @@ from plumbline.operators import boundaries as B
 from plumbline.operators import intervals as I
 from plumbline.operators import records as C
 from plumbline.operators import tracks as K
+from plumbline.operators.stages import run_stages
 from plumbline.operators.suggestions import with_suggestion
 from plumbline.queries import money, query, t
 from plumbline.sources import files as R
@@ -241,3 +242,55 @@ def driving_statistics(spark, d):
     sphere = sphere.groupBy("user_id").agg(F.sum(haversine_km(F.col("before_lat"), F.col("before_lon"), F.col("lat"), F.col("lon"))).alias("round_km"))
     near = F.abs(F.col("km") - F.coalesce("round_km", F.lit(0.0))) <= 0.004 * F.col("km")
     return out.join(sphere, "user_id", "left").select("user_id", "tracks", *(F.round(c, 3).alias(c) for c in ("seconds", "seconds_slow", "seconds_fast", "seconds_unknown")), near.alias("near_sphere"))
+
+
+# stage documents -------------------------------------------------------------------
+
+
+@query(
+    "SELECT l_returnflag AS flag, l_linestatus AS status, count(*) AS n, count_if(l_quantity > 40) AS large, max(l_extendedprice) AS most, round(avg(l_discount), 6) AS mean, round(count_if(l_quantity > 40) / count(*), 6) AS share"
+    " FROM lineitem WHERE l_quantity >= 10 AND (l_tax <= 0.02 OR l_linenumber IN (1, 3)) AND l_shipdate >= TIMESTAMP '1994-01-01' GROUP BY 1, 2"
+)
+def stages_group_project(spark, d):
+    stages = [
+        {"$match": {"l_quantity": {"$gte": 10}, "$or": [{"l_tax": {"$lte": 0.02}}, {"l_linenumber": {"$in": [1, 3]}}], "l_shipdate": {"$gte": datetime(1994, 1, 1)}}},
+        {"$group": {"_id": {"flag": "$l_returnflag", "status": "$l_linestatus"}, "n": {"$sum": 1}, "large": {"$sum": {"$cond": [{"$gt": ["$l_quantity", 40]}, 1, 0]}}, "most": {"$max": "$l_extendedprice"}, "mean": {"$avg": "$l_discount"}}},
+        {"$project": {"_id": 0, "flag": "$_id.flag", "status": "$_id.status", "n": 1, "large": 1, "most": 1, "mean": 1, "share": {"$divide": ["$large", "$n"]}}},
+        {"$sort": {"flag": 1, "status": -1}},
+    ]
+    return run_stages(t(spark, d, "lineitem"), stages).withColumns({"mean": F.round("mean", 6), "share": F.round("share", 6)})
+
+
+@query(
+    "WITH o AS (SELECT conv_id, turn, role, length(text) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY role DESC, turn, length(text)) AS r FROM conversations)"
+    " SELECT conv_id, count(*) AS n, arg_min(turn, r) AS first_turn, arg_max(turn, r) AS last_turn, string_agg(role || CAST(turn AS VARCHAR), ',' ORDER BY r) AS turns, coalesce(sum(CASE WHEN role = 'user' THEN chars END), 0) AS user_chars FROM o GROUP BY conv_id HAVING count(*) > 1"
+)
+def stages_sort_first_push(spark, d):
+    """Text descends and numbers ascend in one order; first, last and the list follow it."""
+    stages = [
+        {"$addFields": {"chars": {"$strLenCP": "$text"}, "name": {"$concat": ["$role", {"$toString": "$turn"}]}}},
+        {"$sort": {"role": -1, "turn": 1, "chars": 1}},
+        {"$group": {"_id": "$conv_id", "n": {"$count": {}}, "first_turn": {"$first": "$turn"}, "last_turn": {"$last": "$turn"}, "turns": {"$push": "$name"}, "user_chars": {"$sum": {"$switch": {"branches": [{"case": {"$eq": ["$role", "user"]}, "then": "$chars"}], "default": 0}}}}},
+        {"$match": {"n": {"$gt": 1}}},
+        {"$project": {"_id": 0, "conv_id": "$_id", "n": 1, "first_turn": 1, "last_turn": 1, "turns": 1, "user_chars": 1}},
+    ]
+    return run_stages(t(spark, d, "conversations"), stages).withColumn("turns", F.array_join("turns", ","))
+
+
+@query(
+    "WITH w AS (SELECT conv_id, turn, CASE WHEN role = 'user' THEN string_split(lower(text), ' ') ELSE [] END AS w FROM conversations),"
+    " u AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM w WHERE len(w) > 0 UNION ALL SELECT conv_id, turn, NULL, NULL FROM w WHERE w IS NULL OR len(w) = 0)"
+    " SELECT word, count(*) AS n, count(DISTINCT conv_id) AS conversations, min(i) AS first FROM u GROUP BY word ORDER BY n DESC, word NULLS LAST LIMIT 40"
+)
+def stages_unwind(spark, d):
+    """Words of users' turns; turns without any stay as one row without a word."""
+    stages = [
+        {"$project": {"conv_id": 1, "word": {"$cond": {"if": {"$eq": ["$role", "user"]}, "then": {"$split": [{"$toLower": "$text"}, " "]}, "else": {"$split": [{"$literal": None}, " "]}}}}},
+        {"$unwind": {"path": "$word", "preserveNullAndEmptyArrays": True, "includeArrayIndex": "i"}},
+        {"$group": {"_id": "$word", "n": {"$sum": 1}, "who": {"$addToSet": "$conv_id"}, "first": {"$min": "$i"}}},
+        {"$project": {"_id": 0, "word": "$_id", "n": 1, "conversations": {"$toLong": {"$size": "$who"}}, "first": 1, "none": {"$eq": ["$_id", None]}}},
+        {"$sort": {"n": -1, "none": 1, "word": 1}},
+        {"$limit": 40},
+        {"$project": {"none": 0}},
+    ]
+    return run_stages(t(spark, d, "conversations"), stages)

@@ -19,10 +19,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from itertools import islice
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +35,9 @@ NO_LANG = "und"
 MAX_WORDS, MIN_COUNT, COVERED_PERCENT, PER_LANG = 3, 10, 50, 2_000
 SCALE = 1_000_000
 #: Words of a long piece that are spelled at a time, phrases that a task holds, rows of a result batch.
-BLOCK, HELD, BATCH = 4_096, 600_000, 256
-#: Bytes of a phrase that choose its bucket, and phrases whose buckets are found at a time.
-HEAD, HASHED = 64, 50_000
+BLOCK, HELD, BATCH = 4_096, 300_000, 256
 #: Buckets of phrases for each shuffle partition.
-BUCKETS = 2
+BUCKETS = 16
 #: Parts of a phrase's joins with the counts of its parts.
 SALTS = 8
 
@@ -85,41 +83,23 @@ def _add(counts: Counter, grams: list[bytes]) -> int:
     return len(counts) - before
 
 
-def _buckets(phrases: pa.Array, buckets: int) -> np.ndarray:
-    """A bucket of each phrase, the same in every task: a polynomial of its length and its first bytes."""
-    out = []
-    for at in range(0, len(phrases), HASHED):
-        part = phrases.slice(at, HASHED)
-        heads = pa.concat_arrays([pc.binary_slice(part, 0, HEAD)])
-        ends = np.frombuffer(heads.buffers()[1], np.int32)[heads.offset : heads.offset + len(heads) + 1]
-        data = np.frombuffer(heads.buffers()[2], np.uint8)[ends[0] : ends[-1]]
-        ends = ends - ends[0]
-        powers = np.cumprod(np.full(HEAD, 0x9E3779B97F4A7C15, np.uint64))
-        places = np.arange(len(data)) - np.repeat(ends[:-1], np.diff(ends))
-        sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * powers[places], ends[:-1]) + pc.binary_length(part).to_numpy().astype(np.uint64)
-        mixed = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int32))
-    return np.concatenate(out)
-
-
 def _lines(held: dict[str, Counter], buckets: int) -> Iterator[pa.RecordBatch]:
     """The counted phrases, a row for each bucket and language; the tables are emptied.
 
     A line is a phrase, and a tab and its count where that is not 1.
     """
     for lang, counts in held.items():
-        if not counts:
-            continue
-        phrases, numbers = pa.array(counts.keys(), pa.binary(), size=len(counts)), pa.array(counts.values(), pa.int64(), size=len(counts))
+        bucket = (np.fromiter(map(crc32, counts), np.uint32, len(counts)) % buckets).astype(np.int32)
+        lines = np.empty(len(counts), object)
+        lines[:] = [p if n == 1 else b"%b\t%d" % (p, n) for p, n in counts.items()]
         counts.clear()
-        bucket = _buckets(phrases, buckets)
-        lines = pc.if_else(pc.equal(numbers, 1), phrases, pc.binary_join_element_wise(phrases, numbers.cast(pa.string()).cast(pa.binary()), b"\t"))
         order = np.argsort(bucket, kind="stable")
         found, starts = np.unique(bucket[order], return_index=True)
-        lists = pa.LargeListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int64()), lines.take(pa.array(order)))
+        dealt, ends = lines[order].tolist(), [*starts[1:].tolist(), len(order)]
+        texts = [b"\n".join(dealt[i:j]) for i, j in zip(starts.tolist(), ends, strict=True)]
         for at in range(0, len(found), BATCH):
-            texts = pc.binary_join(lists.slice(at, BATCH).cast(pa.list_(pa.binary())), b"\n").cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(texts)), pa.array(found[at : at + BATCH]), texts], ["lang", "bucket", "lines"])
+            part = pa.array(texts[at : at + BATCH], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(part)), pa.array(found[at : at + BATCH]), part], ["lang", "bucket", "lines"])
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, min_count: int = MIN_COUNT) -> DataFrame:

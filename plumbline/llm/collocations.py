@@ -89,6 +89,8 @@ def _lines(held: dict[str, Counter], buckets: int) -> Iterator[pa.RecordBatch]:
     A line is a phrase, and a tab and its count where that is not 1.
     """
     for lang, counts in held.items():
+        if not counts:
+            continue
         bucket = (np.fromiter(map(crc32, counts), np.uint32, len(counts)) % buckets).astype(np.int32)
         lines = np.empty(len(counts), object)
         lines[:] = [p if n == 1 else b"%b\t%d" % (p, n) for p, n in counts.items()]

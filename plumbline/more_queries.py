@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import periods
+from plumbline.functions import sql_functions as Q
 from plumbline.functions.query_string import query_filter
 from plumbline.functions.scalars import haversine_km
 from plumbline.operators import analytics as N
 from plumbline.operators import boundaries as B
 from plumbline.operators import intervals as I
+from plumbline.operators import joins as J
 from plumbline.operators import records as C
 from plumbline.operators import tracks as K
+from plumbline.operators.assignment import assign
 from plumbline.operators.stages import run_stages
 from plumbline.operators.suggestions import with_suggestion
-from plumbline.queries import money, query, t
+from plumbline.plans.flow import ForeignKey, InitialColumn, SavedQuery, run_sql
+from plumbline.queries import col, lit, money, query, t
 from plumbline.sources import files as R
 from plumbline.streaming import stateful as M
 
@@ -294,3 +298,73 @@ def stages_unwind(spark, d):
         {"$project": {"none": 0}},
     ]
     return run_stages(t(spark, d, "conversations"), stages)
+
+
+# paths over foreign keys, SQL functions ------------------------------------------------
+
+#: The foreign keys of the given tables.
+KEYS = [
+    ForeignKey("customer", "c_nationkey", "nation", "n_nationkey"), ForeignKey("nation", "n_regionkey", "region", "r_regionkey"), ForeignKey("orders", "o_custkey", "customer", "c_custkey"),
+    ForeignKey("lineitem", "l_orderkey", "orders", "o_orderkey"), ForeignKey("supplier", "s_nationkey", "nation", "n_nationkey"), ForeignKey("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+]
+
+
+@query(
+    "SELECT l_orderkey AS \"order\", l_linenumber AS line, cn.n_name AS buyer_nation, r_name AS buyer_region, sn.n_name AS seller_nation, o_orderpriority AS priority FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey"
+    " LEFT JOIN nation cn ON c_nationkey = cn.n_nationkey LEFT JOIN region ON cn.n_regionkey = r_regionkey LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE o_orderpriority < '3'"
+)
+def initial_columns_by_path(spark, d):
+    """A saved query whose columns come over paths that share their beginning; nation is reached twice."""
+    buyer = (KEYS[3], KEYS[2], KEYS[0])
+    joined = [InitialColumn("n_name", "buyer_nation", buyer), InitialColumn("r_name", "buyer_region", (*buyer, KEYS[1])), InitialColumn("n_name", "seller_nation", (KEYS[5], KEYS[4])), InitialColumn("o_orderpriority", "priority", buyer[:1])]
+    return SavedQuery("lineitem", {"l_orderkey": "order", "l_linenumber": "line"}, [{"type": "filter", "spec": {"lesser": [col("priority"), lit("3")]}}], joined).build(spark, d)
+
+
+@query(
+    "SELECT 'nation.n_name' AS \"column\", 2 AS depth, 'false,false' AS reversed, count(*) AS n, count(DISTINCT n_name) AS different FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey"
+    " UNION ALL SELECT 'supplier.s_name', 2, 'true,false', count(*), count(DISTINCT s_name) FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON l_suppkey = s_suppkey"
+)
+def joinable_columns(spark, d):
+    """The names in all tables two steps from orders, over the paths that are found, either way along the keys."""
+    edges = spark.createDataFrame([(i, k.source, k.target) for i, k in enumerate(KEYS)], "id int, source string, target string")
+    out = None
+    for r in J.joinable_tables(edges, "orders", 2).where("depth = 2").orderBy("target").collect():  # a few rows of a catalog
+        name = {"nation": "n_name", "supplier": "s_name"}[r.target]
+        rows = SavedQuery("orders", {"o_orderkey": "order"}, joined=[InitialColumn(name, "name", tuple(KEYS[i] for i in r.path))]).build(spark, d)
+        one = rows.agg(F.count("*").alias("n"), F.count_distinct("name").alias("different")).select(F.lit(f"{r.target}.{name}").alias("column"), F.lit(r.depth).alias("depth"), F.lit(",".join(str(x).lower() for x in r.reversed)).alias("reversed"), "n", "different")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    r"SELECT page_id, nullif(regexp_extract(url, '^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?', 4), '') AS host, strftime(TIMESTAMP '2024-01-01' + CAST(page_id AS INTEGER) * INTERVAL 1 DAY, '%Y-%m') AS month, page_id % 3 = 0 AS mail FROM pages WHERE url LIKE 'http%'"
+)
+def functions_in_sql(spark, d):
+    Q.register_functions(spark)
+    t(spark, d, "pages").createOrReplaceTempView("plumbline_pages")
+    text = "SELECT page_id, uri_authority(url) AS host, truncate_to_month(timestamp '2024-01-01' + make_dt_interval(cast(page_id AS INT))) AS month, is_email(CASE WHEN page_id % 3 = 0 THEN concat('a@', uri_authority(url)) ELSE url END) AS mail FROM plumbline_pages WHERE uri_scheme(url) RLIKE :scheme"
+    return run_sql(spark, text, scheme="^http")
+
+
+@query("SELECT c_mktsegment, sum(CAST(c_acctbal AS DECIMAL(18,2)))::DOUBLE AS total, count(DISTINCT c_name) AS names FROM customer GROUP BY 1")
+def tagged_columns(spark, d):
+    """Money as text, tagged so; summarising works on what the tag stands for."""
+    rows = t(spark, d, "customer").select("c_mktsegment", "c_name", F.format_string("%.2f", "c_acctbal").alias("amount"))
+    made = Q.downcasted(Q.tagged(rows, amount="money", c_name="uri")).groupBy("c_mktsegment").agg(F.sum("amount").cast("double").alias("total"), F.count_distinct("c_name").alias("names"))
+    return made
+
+
+@query(
+    "WITH i AS (SELECT CAST(floor(o_totalprice / 20000) AS BIGINT) AS c FROM orders), t AS (SELECT 5 * count(*) AS t FROM customer),"
+    " l AS (SELECT max(v) AS v FROM range(0, 200) r(v), t WHERE (SELECT sum(greatest(0, v - c)) FROM i) <= t.t), r AS (SELECT t.t - (SELECT sum(greatest(0, l.v - c)) FROM i, l) AS rest FROM t),"
+    " a AS (SELECT greatest(c, l.v) AS load, 1 AS n FROM i, l UNION ALL SELECT l.v, -rest FROM l, r UNION ALL SELECT l.v + 1, rest FROM l, r)"
+    " SELECT load, CAST(sum(n) AS BIGINT) AS n, 0::BIGINT AS own, 0::BIGINT AS twice FROM a GROUP BY load HAVING sum(n) > 0"
+)
+def least_loaded_assignment(spark, d):
+    """Every customer checks five orders of others; how many orders have which load after it, and how many rules are broken (none)."""
+    items = t(spark, d, "orders").select("o_orderkey", "o_custkey", F.floor(F.col("o_totalprice") / 20000).alias("c"))
+    made = assign(t(spark, d, "customer"), items, 5, "c_custkey", "o_orderkey", "o_custkey", "c")
+    taken = made.groupBy("item").agg(F.count("*").alias("more"), F.collect_set("user").alias("who"))
+    rows = items.join(taken, F.col("o_orderkey") == F.col("item"), "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    own, twice = F.coalesce(F.array_contains("who", F.col("o_custkey")).cast("long"), F.lit(0)), F.col("more") - F.coalesce(F.size("who"), F.lit(0))
+    return rows.groupBy((F.col("c") + F.col("more")).alias("load")).agg(F.count("*").alias("n"), F.sum(own).alias("own"), F.sum(F.when(F.col("more") > 0, twice).otherwise(0)).alias("twice"))

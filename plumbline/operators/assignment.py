@@ -60,7 +60,7 @@ def assign(users: DataFrame, items: DataFrame, each: int, user: str = "user", it
     people = checkpointed(numbered(users.select(F.col(user).alias("user")).distinct(), [F.xxhash64("user"), F.col("user")], "number").withColumn("number", F.col("number") - 1))
     count = people.count()
     if count == 0 or each == 0:
-        return users.select(F.col(user).alias("user")).limit(0).join(items.select(F.col(item).alias("item")).limit(0))
+        return users.sparkSession.createDataFrame([], f"user {dict(users.dtypes)[user]}, item {dict(items.dtypes)[item]}")
     rows = items.select(F.col(item).alias("item"), F.col(author).alias("author"), F.coalesce(F.col(load), F.lit(0)).cast("long").alias("load"))
     rows = rows.join(people.select(F.col("user").alias("author"), F.col("number").alias("own")), "author", "left")
     full = F.lit(count) - F.col("own").isNotNull().cast("long")

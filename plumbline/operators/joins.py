@@ -29,13 +29,17 @@ def split_table(df: DataFrame, columns: list[str], key: str) -> tuple[DataFrame,
 
 
 def joinable_tables(edges: DataFrame, base: str, depth: int = 2) -> DataFrame:
-    """Tables within ``depth`` foreign-key steps of a base: target, path, depth. ``edges``: id, source, target; walked both ways, never straight back."""
-    both = edges.select("id", "source", "target").unionByName(edges.select("id", F.col("target").alias("source"), F.col("source").alias("target")))
-    reached = both.where(F.col("source") == base).select("target", F.array("id").alias("path"), F.lit(1).alias("depth"))
+    """Tables within ``depth`` foreign-key steps of a base: base, target, path (ids of edges), reversed (for each, whether it is walked against its direction), depth.
+
+    ``edges``: id, source (the table that refers), target; walked both ways, never straight back.
+    """
+    turned = edges.select("id", F.col("target").alias("source"), F.col("source").alias("target"), F.lit(True).alias("back"))
+    both = edges.select("id", "source", "target", F.lit(False).alias("back")).unionByName(turned)
+    reached = both.where(F.col("source") == base).select(F.lit(base).alias("base"), "target", F.array("id").alias("path"), F.array("back").alias("reversed"), F.lit(1).alias("depth"))
     found, step = reached, reached
     for d in range(2, depth + 1):
         step = step.alias("r").join(both.alias("e"), (F.col("r.target") == F.col("e.source")) & (F.element_at("r.path", -1) != F.col("e.id")))
-        step = step.select(F.col("e.target").alias("target"), F.concat("r.path", F.array("e.id")).alias("path"), F.lit(d).alias("depth"))
+        step = step.select("r.base", F.col("e.target").alias("target"), F.concat("r.path", F.array("e.id")).alias("path"), F.concat("r.reversed", F.array("e.back")).alias("reversed"), F.lit(d).alias("depth"))
         found = found.unionByName(step)
     return found
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import periods
 from plumbline.functions import sql_functions as Q
+from plumbline.functions.money import money_amount, with_currency
 from plumbline.functions.query_string import query_filter
 from plumbline.functions.scalars import haversine_km
 from plumbline.operators import analytics as N
@@ -368,3 +369,48 @@ def least_loaded_assignment(spark, d):
     rows = items.join(taken, F.col("o_orderkey") == F.col("item"), "left").withColumn("more", F.coalesce("more", F.lit(0)))
     own, twice = F.coalesce(F.array_contains("who", F.col("o_custkey")).cast("long"), F.lit(0)), F.col("more") - F.coalesce(F.size("who"), F.lit(0))
     return rows.groupBy((F.col("c") + F.col("more")).alias("load")).agg(F.count("*").alias("n"), F.sum(own).alias("own"), F.sum(F.when(F.col("more") > 0, twice).otherwise(0)).alias("twice"))
+
+
+# money, intervals and shapes ---------------------------------------------------------
+
+
+@query(
+    "SELECT c_custkey, CAST(round(c_acctbal, 2) AS DECIMAL(18,2))::DOUBLE AS amount, CASE c_custkey % 6 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' WHEN 2 THEN 'EUR' WHEN 3 THEN 'CHF' WHEN 4 THEN 'GBP' END AS currency FROM customer"
+)
+def money_of_locales(spark, d):
+    """Balances as they are written in six places, their names of currencies a little off."""
+    texts = [("$", ",", ".", ""), ("", ".", ",", " Euro"), ("EUR ", " ", ",", ""), ("Fr. ", "'", ".", ""), ("", ",", ".", " GB£"), ("", ".", ",", "")]
+    plain = F.format_number(F.abs("c_acctbal"), 2)
+    text = F.lit(None).cast("string")
+    for i, (before, group, point, after) in enumerate(texts):
+        own = F.concat(F.when(F.col("c_acctbal") < 0, "-").otherwise(""), F.lit(before), F.translate(plain, ",.", group + point), F.lit(after))
+        text = F.when(F.col("c_custkey") % 6 == i, own).otherwise(text)
+    known = t(spark, d, "region").select(F.explode(F.array(*(F.struct(F.lit(c).alias("code"), F.lit(s).alias("symbol")) for c, s in (("USD", "$"), ("EUR", "Euro"), ("CHF", "Fr."), ("GBP", "£"))))).alias("c")).select("c.code", "c.symbol").distinct()
+    rows = with_currency(t(spark, d, "customer").select("c_custkey", text.alias("text")), "text", known)
+    return rows.select("c_custkey", money_amount(F.col("text")).cast("double").alias("amount"), "currency")
+
+
+@query(
+    "WITH i AS (SELECT TIMESTAMP '2023-12-30' + CAST(k AS INTEGER) * INTERVAL 18 HOUR AS a FROM range(0, 50) r(k)) SELECT strftime(a, '%Y-%m-%d %H') AS start, count(event_id) AS n, count(DISTINCT user_id) AS users, max(value) AS most FROM i LEFT JOIN events ON ts >= a AND ts < a + INTERVAL 1 DAY AND event_type <> 'view' GROUP BY a"
+)
+def users_in_intervals(spark, d):
+    """Events of some kinds and their different users in overlapping days of a table, empty ones included."""
+    start = (F.lit(datetime(2023, 12, 30)).cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("id").cast("int") * 18)).alias("from")
+    days = spark.range(50).select(start).select("from", (F.col("from") + F.expr("interval 1 day")).alias("to"))
+    rows = t(spark, d, "events").where("event_type <> 'view'")
+    out = I.interval_statistics(rows, "ts", days, "user_id", 86_400.0, [F.max("value").alias("most")])
+    return out.select(F.date_format("from", "yyyy-MM-dd HH").alias("start"), "n", "users", "most")
+
+
+@query(
+    "WITH "
+    + STARS.format(key="s_suppkey", table="supplier", least=3)
+    + ", m AS (SELECT k, ring, sum(x1 * y2 - x2 * y1) AS a, sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS mx, sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS my FROM edge GROUP BY k, ring),"
+    " s AS (SELECT k, sum(CASE ring WHEN 0 THEN abs(a) ELSE -abs(a) END) AS a, sum(CASE ring WHEN 0 THEN sign(a) * mx ELSE -sign(a) * mx END) AS mx, sum(CASE ring WHEN 0 THEN sign(a) * my ELSE -sign(a) * my END) AS my FROM m GROUP BY k),"
+    " b AS (SELECT k, min(x) AS west, min(y) AS south, max(x) AS east, max(y) AS north FROM pt WHERE ring = 0 GROUP BY k)"
+    " SELECT k AS s_suppkey, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north, round(mx / (3 * a), 4) + 0 AS x, round(my / (3 * a), 4) + 0 AS y FROM s JOIN b USING (k)"
+)
+def boxes_and_centroids(spark, d):
+    shapes = stars(t(spark, d, "supplier"), "s_suppkey", 3)
+    rows = shapes.select(F.col("boundary").cast("long").alias("s_suppkey"), I.bounding_box(F.col("rings")).alias("b"), I.centroid(F.col("rings")).alias("c"))
+    return rows.select("s_suppkey", *(F.round(f"b.{c}", 6).alias(c) for c in ("west", "south", "east", "north")), *((F.round(f"c.{c}", 4) + 0.0).alias(c) for c in ("x", "y")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalars import haversine_km
+from plumbline.operators.joins import range_join
 
 EARTH_M = 6_371_000.0
 
@@ -81,3 +82,47 @@ def sums_at(df: DataFrame, start: str, end: str, times: list[datetime], measures
     order = Window.partitionBy(*groups).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
     out = [F.sum(F.coalesce(F.try_element_at("_by", F.col("_i"))[c], F.lit(0))).over(order) for c in ("n", *valued)]
     return spread.select(*groups, "at", *(v.cast("long" if c == "n" else kind).alias(c) for c, v in zip(("n", *valued), out, strict=True)))
+
+
+def interval_statistics(df: DataFrame, ts: str, intervals: DataFrame, user: str, width: float, aggs: list[Column] | None = None) -> DataFrame:
+    """from, to, n, users (and ``aggs``) of each interval [from, to) of a table, empty ones included; rows without a time count nowhere.
+
+    Intervals may overlap; times meet them by an equi-join on cells of ``width``
+    seconds, about the length of an interval.
+    """
+    seconds = F.col(ts).cast("timestamp").cast("double")
+    cells = intervals.select("from", "to", F.col("from").cast("timestamp").cast("double").alias("_lo"), F.col("to").cast("timestamp").cast("double").alias("_hi")).where("_lo < _hi")
+    rows = range_join(df.withColumn("_at", seconds).where("_at is not null").drop("from", "to"), cells, "_at", "_lo", "_hi", width)
+    found = rows.groupBy("_lo", "_hi").agg(F.count("*").alias("n"), F.count_distinct(user).alias("users"), *(aggs or []))
+    out = intervals.select("from", "to", F.col("from").cast("timestamp").cast("double").alias("_lo"), F.col("to").cast("timestamp").cast("double").alias("_hi")).join(found, ["_lo", "_hi"], "left")
+    return out.drop("_lo", "_hi").fillna(0, ["n", "users"])
+
+
+def bounding_box(rings: Column) -> Column:
+    """west, south, east, north of the first ring; null without points."""
+    xs, ys = F.get(rings, 0)["x"], F.get(rings, 0)["y"]
+    return F.when(F.size(xs) > 0, F.struct(F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north")))
+
+
+def centroid(rings: Column) -> Column:
+    """The centre x, y of the area of the first ring less its holes, on a plane; null for an area of nothing."""
+
+    def moments(ring: Column) -> Column:
+        closed = _closed(ring)
+        steps = F.slice(F.arrays_zip(closed.alias("a"), F.slice(closed, F.lit(2), F.size(closed)).alias("b")), F.lit(1), F.size(ring))
+        start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+        def add(s: Column, z: Column) -> Column:
+            cross = z["a"]["x"] * z["b"]["y"] - z["b"]["x"] * z["a"]["y"]
+            return F.struct((s["a"] + cross).alias("a"), (s["x"] + (z["a"]["x"] + z["b"]["x"]) * cross).alias("x"), (s["y"] + (z["a"]["y"] + z["b"]["y"]) * cross).alias("y"))
+
+        return F.aggregate(steps, start, add)
+
+    def total(s: Column, m: Column) -> Column:
+        """Rings count by their size: the first adds, the others subtract, whichever way they turn."""
+        sign = F.when(s["first"], 1.0).otherwise(-1.0) * F.signum(m["a"])
+        return F.struct((s["a"] + sign * m["a"]).alias("a"), (s["x"] + sign * m["x"]).alias("x"), (s["y"] + sign * m["y"]).alias("y"), F.lit(False).alias("first"))
+
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(True).alias("first"))
+    sums = F.aggregate(F.transform(rings, moments), zero, total)
+    return F.when(sums["a"] != 0, F.struct((sums["x"] / (3 * sums["a"])).alias("x"), (sums["y"] / (3 * sums["a"])).alias("y")))

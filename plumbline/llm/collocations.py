@@ -36,8 +36,8 @@ MAX_WORDS, MIN_COUNT, COVERED_PERCENT, PER_LANG = 3, 10, 50, 2_000
 SCALE = 1_000_000
 #: Words of a long piece that are spelled at a time, phrases that a task holds, rows of a result batch.
 BLOCK, HELD, BATCH = 4_096, 300_000, 256
-#: Buckets of phrases for each shuffle partition.
-BUCKETS = 16
+#: Fewest buckets of a language's phrases, so that shuffle partitions are even; there is at least one for each partition.
+BUCKETS = 512
 #: Parts of a phrase's joins with the counts of its parts.
 SALTS = 8
 
@@ -108,11 +108,11 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", max_w
     """``lang, k, phrase, n``: phrases of k words that occur at least ``min_count`` times; null phrases sum up rarer words.
 
     Phrases are shuffled as lines of their bucket, some hundred a row, which
-    takes less than two thirds of the bytes of a row each. There are ``BUCKETS``
-    buckets for each shuffle partition, and a language's are dealt apart.
+    takes less than two thirds of the bytes of a row each. Buckets of a language
+    are dealt apart, ``BUCKETS`` or one for each shuffle partition.
     """
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("string").alias("text"))
-    buckets = BUCKETS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     lines = with_text_batches(rows).mapInArrow(_exploded(max_words, buckets), "lang string, bucket int, lines string").repartition("lang", "bucket")
     phrases = lines.select("lang", "bucket", F.explode(F.split("lines", "\n")).alias("line"))
     tab = F.instr("line", "\t")

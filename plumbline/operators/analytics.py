@@ -112,7 +112,7 @@ def daily_counts(df: DataFrame, ts: str, failed: Column) -> DataFrame:
 
 def peak(df: DataFrame, groups: list[str], ts: str, value: str) -> DataFrame:
     """groups, peak_at, peak, last: the largest value, the first time it is reached, and the last time."""
-    first = F.max_by(ts, F.struct(value, F.negative(epoch_ms(F.col(ts)))))
+    first = F.max_by(ts, F.struct(value, F.negative(F.unix_micros(F.col(ts).cast("timestamp")))))
     return df.groupBy(*groups).agg(first.alias("peak_at"), F.max(value).alias("peak"), F.max(ts).alias("last"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.functions.scalars import epoch_ms
 from plumbline.plans.ranking import sliced_lag, sliced_place
 
 #: Defaults and bounds of the samplers.
@@ -28,9 +29,9 @@ def sample_every(df: DataFrame, key: str, ts: str, n: int = COUNT_DEFAULT, error
 def sample_periods(df: DataFrame, key: str, ts: str, period_ms: int = PERIOD_DEFAULT_MS) -> DataFrame:
     """The first message of each key and those that come at least a period after the message seen before, in slices of time."""
     period_ms = max(period_ms, PERIOD_LEAST_MS)
-    at = F.unix_millis(F.col(ts).cast("timestamp"))
+    at = epoch_ms(F.col(ts))
     seen = sliced_lag(df, key, ts, [c for c in df.columns if c not in (key, ts)], "_seen_at")
-    before = F.unix_millis(F.col("_seen_at").cast("timestamp"))
+    before = epoch_ms(F.col("_seen_at"))
     return seen.where(before.isNull() | (at - before >= period_ms)).drop("_seen_at")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from plumbline.functions.scalars import epoch_ms
 from plumbline.streaming.sampling import PERIOD_DEFAULT_MS, PERIOD_LEAST_MS, SHARE_DEFAULT, SHARE_MOST
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -69,7 +70,7 @@ def sample_recorded(df: DataFrame, key: str, ts: str, tie: str, period_ms: int =
     """
     period = max(period_ms, PERIOD_LEAST_MS)
     slice_ms = max(slice_s * 1000, period)
-    marked = df.withColumns({"_at": F.unix_millis(F.col(ts).cast("timestamp")), "_error": F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)})
+    marked = df.withColumns({"_at": epoch_ms(F.col(ts)), "_error": F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)})
     marked = marked.withColumn("_slice", F.floor(F.col("_at") / slice_ms))
     group, columns = [key, "_slice"], df.columns
     kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
@@ -160,6 +161,13 @@ def _millis(at) -> int:
     return (stamp.tz_localize("UTC") if stamp.tzinfo is None else stamp).value // 1_000_000
 
 
+def _nearest_millis(at) -> int:
+    """As ``epoch_ms`` of a table."""
+    stamp = pd.Timestamp(at)
+    micros = (stamp.tz_localize("UTC") if stamp.tzinfo is None else stamp).value // 1000
+    return (micros + 500) // 1000 if micros >= 0 else -((500 - micros) // 1000)
+
+
 class _Periods(_InOrder):
     def __init__(self, schema: T.StructType, ts: str, tie: str, period: int, error: str | None) -> None:
         super().__init__(schema, ts, tie, "last long")
@@ -169,7 +177,7 @@ class _Periods(_InOrder):
         last = self.state.get()[0] if self.state.exists() else None
         out = []
         for r in due:
-            at = _millis(r[place])
+            at = _nearest_millis(r[place])
             if last is None or at - last >= self.period:
                 last = at
                 out.append(r)

@@ -3,12 +3,11 @@
 Boundaries are a table: ``boundary`` (a name), ``rings`` (closed or open rings of
 points x, y; rings inside others are holes, by even and odd crossings) and
 ``circle`` (x, y and a radius r in metres), one of the two null. They are covered
-by cells of two sizes. A coarse cell without an edge inside is wholly in or out;
-a coarse cell with edges is looked at in ``FINE`` x ``FINE`` fine ones, of which
-those without an edge are wholly in or out as well. Points meet the cover by an
-equi-join on their coarse and their fine cell, and only in a fine cell with edges
-are they tested, against the edges of the cell's row: a ray crosses no others.
-No point is compared with a boundary that is not near, and none is repeated.
+by coarse cells: one without an edge inside is wholly in or out, one with edges
+has the edges of the boundary in its row of cells, by fine rows if they are many.
+Points meet the cover by an equi-join on their coarse cell, and only in a cell
+with edges are they tested, against the edges of the row: a ray crosses no
+others. No point is compared with a boundary that is not near, and none is repeated.
 
 Coordinates are degrees on a plane: shapes do not reach over the antimeridian.
 A point on a border is inside if it lies at the lower or left one.
@@ -24,12 +23,12 @@ from pyspark.sql import functions as F
 from plumbline.errors import SpecError
 from plumbline.functions.scalars import haversine_km
 from plumbline.operators.analytics import date_histogram
-from plumbline.plans.storage import checkpointed
+from plumbline.plans.storage import checkpointed, small_or_shuffled
 
-#: Fine cells on a side of a coarse one.
-FINE = 16
-#: Parts in which the points of one cell meet its boundaries.
-PARTS = 8
+#: Fine rows of a coarse cell, and the edges that a coarse row of a boundary may have before it is split into them.
+FINE, FEW_EDGES = 16, 24
+#: Names and edges of a cover that is broadcast; points of a cell that meet its boundaries in one task.
+BROADCAST_EDGES, PART_POINTS = 50_000, 20_000
 SCHEMA = "boundary string, rings array<array<struct<x:double,y:double>>>, circle struct<x:double,y:double,r:double>"
 METRES_A_DEGREE = 111_195.0
 
@@ -88,14 +87,20 @@ def _at(column: Column, size: float) -> Column:
     return F.floor(column / F.lit(size)).cast("long")
 
 
-def _coarse(cell: Column) -> Column:
-    return F.floor(cell / F.lit(FINE)).cast("long")
+def _cell(column: Column, size: float) -> Column:
+    """The coarse cell, as the one that holds the fine cell."""
+    return F.floor(_at(column, size / FINE) / F.lit(FINE)).cast("long")
+
+
+def _fine_place(column: Column, size: float) -> Column:
+    """The place of a fine cell in its coarse one."""
+    return F.pmod(_at(column, size / FINE), F.lit(FINE)).cast("int")
 
 
 def _row_edges(edges: DataFrame, size: float) -> DataFrame:
-    """Each edge in each row of fine cells that it touches: the cells it may touch there, and where it crosses the row's middle line."""
+    """Each edge in each row of coarse cells that it touches: the cells it may touch there, and where it crosses the row's middle line."""
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
-    rows = edges.select("*", F.explode(F.sequence(_at(low, size), _at(high, size))).alias("row"))
+    rows = edges.select("*", F.explode(F.sequence(_cell(low, size), _cell(high, size))).alias("row"))
     slope = (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
 
     def x_at(y: Column) -> Column:
@@ -108,81 +113,93 @@ def _row_edges(edges: DataFrame, size: float) -> DataFrame:
     right = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(x_at(bottom), x_at(top))) + slack
     middle = (F.col("row") + 0.5) * F.lit(size)
     crosses = (middle < F.col("y1")) != (middle < F.col("y2"))
-    return rows.select("boundary", "row", "x1", "y1", "x2", "y2", _at(left, size).alias("first"), _at(right, size).alias("last"), F.when(crosses, x_at(middle)).alias("cross"))
+    return rows.select("boundary", "row", "x1", "y1", "x2", "y2", _cell(left, size).alias("first"), _cell(right, size).alias("last"), F.when(crosses, x_at(middle)).alias("cross"))
+
+
+def _by_fine_row(edges: Column, row: Column, size: float) -> Column:
+    """The edges of a coarse row in one list, or if they are many in a list for each of its fine rows."""
+    fine = size / FINE
 
+    def touching(k: Column) -> Column:
+        at = row * FINE + k
+        return F.filter(edges, lambda e: (_at(F.least(e["y1"], e["y2"]), fine) <= at) & (_at(F.greatest(e["y1"], e["y2"]), fine) >= at))
 
-def _inner(rows: DataFrame, size: float) -> DataFrame:
-    """boundary, row, after, before: fine cells strictly between an odd crossing of a row's middle line and the next."""
-    crossings = rows.where("cross is not null").groupBy("boundary", "row").agg(F.sort_array(F.collect_list("cross")).alias("at"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("at") - 1, F.lit(2)), lambda i: F.struct(F.element_at("at", i).alias("a"), F.element_at("at", i + 1).alias("b")))
-    return crossings.where(F.size("at") > 1).select("boundary", "row", F.explode(pairs).alias("p")).select("boundary", "row", (_at(F.col("p.a"), size) + 1).alias("after"), (_at(F.col("p.b"), size) - 1).alias("before"))
+    return F.when(F.size(edges) > FEW_EDGES, F.transform(F.sequence(F.lit(0), F.lit(FINE - 1)), touching)).otherwise(F.array(edges))
 
 
 def cover(shapes: DataFrame, cell: float) -> DataFrame:
-    """level, cx, cy, here: the boundaries of each covered cell of ``cell`` degrees (level 0) and of its fine cells (level 1).
+    """cx, cy, inside, tested, circles: the boundaries of each covered coarse cell of ``cell`` degrees.
 
-    ``here`` holds structs of boundary, edges (null where the whole cell is
-    inside) and circle (null but for circles, which are tested in coarse cells).
+    ``inside`` names those that hold the whole cell; ``tested`` has structs of
+    boundary and edges (one list, or one for each fine row), ``circles`` of
+    boundary and circle. A boundary takes part once in each of its coarse rows,
+    so that the cover grows with the cells on borders, not with areas in fine cells.
     """
-    size = cell / FINE
-    rows = checkpointed(_row_edges(_edges(shapes), size))
-    border = rows.select("boundary", "row", F.explode(F.sequence("first", "last")).alias("col")).distinct()
-    tested = rows.where("y1 <> y2").groupBy("boundary", "row").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
-    fine_border = border.join(tested, ["boundary", "row"]).select(F.lit(1).alias("level"), "col", "row", "boundary", "edges")
-    inner = _inner(rows, size)
-    coarse_border = border.select("boundary", _coarse(F.col("row")).alias("big_row"), _coarse(F.col("col")).alias("big_col")).distinct()
-    # fine cells inside, of coarse cells with edges
-    near = inner.withColumn("big_row", _coarse(F.col("row"))).join(coarse_border, ["boundary", "big_row"])
-    near = near.select("boundary", "row", F.greatest("after", F.col("big_col") * FINE).alias("a"), F.least("before", F.col("big_col") * FINE + FINE - 1).alias("b")).where("a <= b")
-    fine_inside = near.select("boundary", "row", F.explode(F.sequence("a", "b")).alias("col")).distinct().join(border, ["boundary", "row", "col"], "left_anti")
-    fine_inside = fine_inside.select(F.lit(1).alias("level"), "col", "row", "boundary", F.lit(None).alias("edges"))
-    # coarse cells inside: along one line of each coarse row
-    along = inner.where(F.pmod("row", F.lit(FINE)) == FINE // 2).select("boundary", _coarse(F.col("row")).alias("big_row"), (_coarse(F.col("after") - 1) + 1).alias("a"), (_coarse(F.col("before") + 1) - 1).alias("b")).where("a <= b")
-    inside = along.select("boundary", "big_row", F.explode(F.sequence("a", "b")).alias("big_col")).distinct().join(coarse_border, ["boundary", "big_row", "big_col"], "left_anti")
-    inside = inside.select(F.lit(0).alias("level"), F.col("big_col").alias("col"), F.col("big_row").alias("row"), "boundary", F.lit(None).alias("edges"))
-    polygons = fine_border.unionByName(fine_inside).unionByName(inside).withColumn("circle", F.lit(None).cast("struct<x:double,y:double,r:double>"))
+    rows = _row_edges(_edges(shapes).where("boundary is not null"), cell)
+    edge = F.struct("x1", "y1", "x2", "y2")
+    made = rows.groupBy("boundary", "row").agg(
+        F.flatten(F.collect_set(F.sequence("first", "last"))).alias("border"),
+        F.collect_list(F.when(F.col("y1") != F.col("y2"), edge)).alias("edges"),
+        F.sort_array(F.collect_list("cross")).alias("at"),
+    )
+    # cells strictly between an odd crossing of the row's middle line and the next, without an edge in them
+    gaps = F.transform(F.sequence(F.lit(1), F.size("at") - 1, F.lit(2)), lambda i: F.struct((_cell(F.element_at("at", i), cell) + 1).alias("a"), (_cell(F.element_at("at", i + 1), cell) - 1).alias("b")))
+    within = F.flatten(F.transform(F.filter(gaps, lambda g: g["a"] <= g["b"]), lambda g: F.sequence(g["a"], g["b"])))
+    empty = F.array().cast("array<bigint>")
+    made = made.select("boundary", "row", F.array_distinct("border").alias("border"), _by_fine_row(F.col("edges"), F.col("row"), cell).alias("edges"), F.when(F.size("at") > 1, within).otherwise(empty).alias("within"))
+    border = made.select(F.col("row").alias("cy"), F.explode("border").alias("cx"), F.lit(None).cast("string").alias("inside"), F.struct("boundary", "edges").alias("tested"))
+    inside = made.select(F.col("row").alias("cy"), F.explode(F.array_except("within", "border")).alias("cx"), F.col("boundary").alias("inside"), F.lit(None).alias("tested"))
+    polygons = border.unionByName(inside).withColumn("circle", F.lit(None).cast("struct<boundary:string,circle:struct<x:double,y:double,r:double>>"))
     high = F.col("circle.r") / METRES_A_DEGREE * 1.001
     furthest = F.least(F.lit(89.9), F.abs("circle.y") + high)
     wide = F.least(F.lit(360.0), high / F.cos(F.radians(furthest)))
-    spans = [F.sequence(_coarse(_at(F.col(f"circle.{c}") - by, size)), _coarse(_at(F.col(f"circle.{c}") + by, size))) for c, by in (("x", wide), ("y", high))]
-    circles = shapes.where("circle is not null").select("boundary", "circle", F.explode(spans[0]).alias("col"), spans[1].alias("rows")).select("boundary", "circle", "col", F.explode("rows").alias("row"))
-    circles = circles.select(F.lit(0).alias("level"), "col", "row", "boundary", F.lit(None).alias("edges"), "circle")
-    both = polygons.unionByName(circles).select("level", F.col("col").alias("cx"), F.col("row").alias("cy"), F.struct("boundary", "edges", "circle").alias("one"))
-    return both.groupBy("level", "cx", "cy").agg(F.collect_list("one").alias("here"))
+    spans = [F.sequence(_cell(F.col(f"circle.{c}") - by, cell), _cell(F.col(f"circle.{c}") + by, cell)) for c, by in (("x", wide), ("y", high))]
+    circles = shapes.where("circle is not null").select("boundary", "circle", F.explode(spans[0]).alias("cx"), spans[1].alias("rows")).select("boundary", "circle", "cx", F.explode("rows").alias("cy"))
+    circles = circles.select("cy", "cx", F.lit(None).cast("string").alias("inside"), F.lit(None).alias("tested"), F.struct("boundary", "circle").alias("circle"))
+    # collect_list leaves nulls out
+    return polygons.unionByName(circles).groupBy("cx", "cy").agg(F.collect_list("inside").alias("inside"), F.collect_list("tested").alias("tested"), F.collect_list("circle").alias("circles"))
 
 
-def _holds(one: Column, x: Column, y: Column) -> Column:
-    """The exact test of a boundary in a cell."""
+def _odd(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a ray from a point crosses an odd number of edges."""
 
     def crossed(n: Column, e: Column) -> Column:
         at = (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]
         return n + (((y < e["y1"]) != (y < e["y2"])) & (x < at)).cast("int")
 
-    odd = F.aggregate(one["edges"], F.lit(0), crossed) % 2 == 1
-    circle = one["circle"]
-    near = haversine_km(y, x, circle["y"], circle["x"]) * 1000 <= circle["r"]
-    return F.when(circle.isNotNull(), near).when(one["edges"].isNull(), F.lit(True)).otherwise(odd)
+    return F.aggregate(edges, F.lit(0), crossed) % 2 == 1
 
 
 def with_boundaries(points: DataFrame, shapes: DataFrame, lon: str, lat: str, cell: float = 1.0, name: str = "boundaries") -> DataFrame:
     """Add the sorted names of the boundaries that hold each point; none for a point without a place.
 
     One row a point throughout. ``cell`` is the side of a coarse cell in degrees,
-    about that of a usual boundary. Points of one cell are dealt to ``PARTS``
-    tasks by their other values, however many they are; a join side that AQE
-    measures as small is broadcast instead.
+    about that of a usual boundary. A cover of at most ``BROADCAST_EDGES`` names
+    and edges, counted, is broadcast; a larger one is joined by sorting, and the
+    points of a cell with more than ``PART_POINTS`` are dealt to as many tasks
+    as it takes.
     """
-    size = cell / FINE
-    cells = checkpointed(cover(shapes, cell)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    simple = [c for c, t in points.dtypes if not t.startswith("map")]
-    found = points.withColumns({"_x1": _at(F.col(lon), size), "_y1": _at(F.col(lat), size), "_part": F.pmod(F.xxhash64(*simple), F.lit(PARTS)).cast("int")}).withColumns({"_x0": _coarse(F.col("_x1")), "_y0": _coarse(F.col("_y1"))})
-    for level in (0, 1):
-        side = cells.where(F.col("level") == level).select(F.col("cx").alias(f"_x{level}"), F.col("cy").alias(f"_y{level}"), "_part", F.col("here").alias(f"_here{level}"))
-        found = found.join(side, [f"_x{level}", f"_y{level}", "_part"], "left")
+    cells = checkpointed(cover(shapes, cell))
+    entries = F.size("inside") + F.size("circles") + F.aggregate("tested", F.lit(0), lambda n, one: n + 1 + F.size(F.flatten(one["edges"])))
+    small = (cells.agg(F.sum(entries.cast("long")).alias("n")).first().n or 0) <= BROADCAST_EDGES
     x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    near = F.concat(*(F.coalesce(F.col(f"_here{i}"), F.array().cast(cells.schema["here"].dataType)) for i in (0, 1)))
-    held = F.transform(F.filter(near, lambda one: _holds(one, x, y)), lambda one: one["boundary"])
-    return found.select(*points.columns, F.array_sort(F.array_distinct(held)).alias(name))
+    found = points.withColumns({"_x": _cell(F.col(lon), cell), "_y": _cell(F.col(lat), cell), "_fine": _fine_place(F.col(lat), cell)})
+    cells = cells.select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), "inside", "tested", "circles")
+    keys = ["_x", "_y"]
+    if small:
+        found = found.join(F.broadcast(cells), keys, "left")
+    else:
+        crowded = checkpointed(found.groupBy(*keys).agg(F.ceil(F.count("*") / PART_POINTS).cast("int").alias("_parts")).where("_parts > 1 and _x is not null and _y is not null"))
+        crowded = small_or_shuffled(crowded, crowded.count())
+        parts = F.coalesce("_parts", F.lit(1))
+        simple = [c for c, t in points.dtypes if not t.startswith("map")]
+        found = found.join(crowded, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*simple), parts).cast("int")).drop("_parts")
+        cells = cells.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        found = found.join(cells.hint("merge"), [*keys, "_part"], "left")
+    tested = F.filter("tested", lambda one: _odd(F.element_at(one["edges"], F.when(F.size(one["edges"]) > 1, F.col("_fine") + 1).otherwise(1)), x, y))
+    near = F.filter("circles", lambda one: haversine_km(y, x, one["circle"]["y"], one["circle"]["x"]) * 1000 <= one["circle"]["r"])
+    held = F.concat("inside", F.transform(tested, lambda one: one["boundary"]), F.transform(near, lambda one: one["boundary"]))
+    return found.select(*points.columns, F.sort_array(F.array_distinct(F.coalesce(held, F.array().cast("array<string>")))).alias(name))
 
 
 def series_by_boundary(points: DataFrame, shapes: DataFrame, lon: str, lat: str, ts: str, width_ms: int, cell: float = 1.0, remainder: str = "remainder", aggs: list[Any] | None = None) -> DataFrame:

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a narrow table that a broadcast may hold; callers count before they broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -16,3 +20,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/plumbline-scratch")
     return df.checkpoint(eager=True)
+
+
+def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast for a side of few counted rows, else a join by sorting, whatever the planner estimates."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")

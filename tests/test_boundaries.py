@@ -75,6 +75,32 @@ def test_no_cross_join_and_no_ring_in_the_plan(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "1.03" not in plan
 
 
+def test_crowded_cells_and_many_edges(spark, monkeypatch):
+    """A cover that is not broadcast, cells whose points go to several tasks, rows of cells that are split into fine ones."""
+    rng = np.random.default_rng(11)
+    shapes = polygons(rng)
+    for i, n in enumerate((80, 900)):
+        angles = np.sort(rng.uniform(0, 2 * pi, n))
+        shapes.append((f"many{i}", [[(float(3 * i + r * np.cos(a)), float(r * np.sin(a))) for a, r in zip(angles, rng.uniform(6, 12, n), strict=True)]]))
+    rows = [(i, float(x), float(y), "mine") for i, (x, y) in enumerate(rng.uniform(-16, 16, (600, 2)))] + [(9000, None, 1.0, None)]
+    monkeypatch.setattr(B, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(B, "PART_POINTS", 7)
+    found = B.with_boundaries(spark.createDataFrame(rows, POINTS), spark.createDataFrame([(n, r, None) for n, r in shapes], B.SCHEMA), "lon", "lat", 5.0)
+    assert "SortMergeJoin" in found._jdf.queryExecution().toString()
+    out = found.collect()
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.boundaries == sorted(n for n, rings in shapes if r.lon is not None and inside(rings, r.lon, r.lat)), r
+
+
+def test_cover_grows_with_borders(spark):
+    """A boundary is in the cover once for each coarse cell, not for each fine cell of its area."""
+    shapes = [(f"s{i}", [[(i + 10 * cos(k * pi / 4), 10 * sin(k * pi / 4)) for k in range(8)]], None) for i in range(20)]
+    cells = B.cover(spark.createDataFrame(shapes, B.SCHEMA), 4.0)
+    entries = sum(F.size(c) for c, t in cells.dtypes if t.startswith("array"))
+    assert cells.agg(F.sum(entries)).first()[0] <= 20 * 7 * 7
+
+
 # intervals
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.plans.storage import checkpointed, small_or_shuffled
 
 #: Items of a block of a group whose items are paired.
 BLOCK_ITEMS = 1_000
+#: Pairs that a task makes, and tasks at most.
+PAIRS_A_TASK, MOST_PARTS = 1_000_000, 10_000
 
 
 def fk_path_join(base: DataFrame, edges: list[tuple[DataFrame, str, str]]) -> DataFrame:
@@ -90,17 +93,38 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
 def co_occurrence(df: DataFrame, group: str, item: str) -> DataFrame:
     """Unordered pairs of items that share a group, and in how many groups.
 
-    A group of many items is cut into blocks of about ``BLOCK_ITEMS`` by a hash
-    of the item, and pairs of blocks are joined apart, so that no task holds all
-    pairs of one group.
+    A group of up to ``BLOCK_ITEMS`` rows gives its pairs from a sorted array,
+    without a join. A larger one is cut into blocks of about so many items by a
+    hash of the item, and pairs of blocks are joined apart, so that no task holds
+    all pairs of one group. Groups are dealt to so many tasks, counted, that each
+    makes about ``PAIRS_A_TASK`` pairs, at any size of the table.
     """
-    rows = df.select(group, item).distinct()
+    rows = df.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull())
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    # repeated rows count as well: never fewer tasks than the pairs need
+    pairs, large = counts.agg(F.sum(F.col("_n").cast("double") * F.col("_n") / 2), F.count_if(F.col("_n") > BLOCK_ITEMS)).first()
+    parts = int(min(MOST_PARTS, max(1, -(-(pairs or 0) // PAIRS_A_TASK))))
+    small = rows
+    if large:
+        crowded = small_or_shuffled(checkpointed(counts.where(F.col("_n") > BLOCK_ITEMS).select(group)), large)
+        small = rows.join(crowded, group, "left_anti")
+    sets = small.repartition(parts, group).groupBy(group).agg(F.sort_array(F.collect_set(item)).alias("_items"))
+    each = sets.where(F.size("_items") > 1).select("_items", F.posexplode("_items").alias("_at", "a"))
+    found = each.select("a", F.explode(F.slice("_items", F.col("_at") + 2, F.size("_items"))).alias("b"))
+    if large:
+        found = found.unionByName(_block_pairs(rows.join(crowded, group, "left_semi").distinct(), group, item, parts))
+    return found.groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+def _block_pairs(rows: DataFrame, group: str, item: str, parts: int) -> DataFrame:
+    """a, b: each pair of items of a group, by pairs of its blocks."""
     blocks = rows.groupBy(group).agg(F.ceil(F.count("*") / BLOCK_ITEMS).alias("_blocks"))
     rows = rows.join(blocks, group).withColumn("_own", F.pmod(F.xxhash64(item), F.col("_blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     a = rows.select(group, F.col(item).alias("a"), F.col("_own").alias("_i"), other.alias("_j"))
     b = rows.select(group, F.col(item).alias("b"), F.col("_own").alias("_j"), other.alias("_i"))
-    return a.join(b, [group, "_i", "_j"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
+    keys = [group, "_i", "_j"]
+    return a.repartition(parts, *keys).join(b.repartition(parts, *keys).hint("merge"), keys).where("a < b").select("a", "b")
 
 
 def related_counts(df: DataFrame, related: DataFrame, key: str, fk: str, least: int) -> DataFrame:

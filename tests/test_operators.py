@@ -168,6 +168,16 @@ def test_pairs_of_a_group_in_blocks(spark, monkeypatch):
     assert got == {(a, b): 2 if (a, b) == (1, 2) else 1 for a in range(40) for b in range(a + 1, 40)}
 
 
+def test_pairs_are_made_in_counted_tasks(spark, monkeypatch):
+    """Tasks follow the pairs, whatever the planner would coalesce; nulls pair with nothing."""
+    monkeypatch.setattr(J, "PAIRS_A_TASK", 50, raising=False)
+    rows = spark.createDataFrame([(g, i) for g in range(30) for i in range(g % 5)] + [(None, 1), (None, 2), (1, None)], "g int, i int")
+    found = J.co_occurrence(rows, "g", "i")
+    assert {(r.a, r.b): r.n for r in found.collect()} == {(a, b): 6 * (4 - b) for b in range(1, 4) for a in range(b)}
+    plan = found._jdf.queryExecution().toString()
+    assert "REPARTITION_BY_NUM" in plan and "Join" not in plan
+
+
 def test_available_functions_and_fixed_order(spark):
     from plumbline.functions.expressions import REGISTRY, REQUIRES, supported_functions
 

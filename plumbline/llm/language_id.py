@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm import gru
 from plumbline.llm.common import checkpointed, fold, small_or_shuffled, with_text_batches
+from plumbline.plans.ranking import running_total
 
 FOLDS, HELD_OUT = 4, 2
 #: Bound of the training sample: labelled rows of each language, read whole; bytes of a training window.
@@ -25,7 +26,7 @@ ROWS_A_LANGUAGE, TRAIN_BYTES = 250, 64
 PARTS = 64
 #: Passes over the windows, and steps at least, of the fit.
 EPOCHS, LEAST_STEPS, BATCH = 2, 150, 256
-#: Share of the held-out rows that reach the score below which a document's language counts as unknown.
+#: Share of all held-out rows that reach the score below which a document's language counts as unknown.
 RECALL = 0.999
 #: Bytes of a scoring window, and windows scored together.
 WINDOW, TOGETHER = 128, 2048
@@ -68,11 +69,34 @@ def fit(docs: DataFrame, **columns: str) -> tuple[dict[str, np.ndarray], list[st
     return gru.train(windows, classes, max(1, len(names)), epochs=epochs, batch=BATCH), names
 
 
-def least_score(model: dict[str, np.ndarray], docs: DataFrame, **columns: str) -> float:
-    """The score that ``RECALL`` of a bounded sample of held-out rows reach; 0 without any."""
-    texts = [text for _, text in labelled_sample(docs, True, **columns)]
-    scores = [x for portion in _portions(texts) for x in document_probabilities(model, portion).max(axis=1)]
-    return float(np.quantile(scores, 1 - RECALL, method="lower")) if scores else 0.0
+def least_score(model: dict[str, np.ndarray], docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> float:
+    """The score that ``RECALL`` of all held-out rows with a language and a letter reach; 0 without any.
+
+    Every such row is scored whole in its partition. The place of the threshold
+    is found among counts of equal scores in a global order.
+    """
+    held_out = F.coalesce(fold(doc_id, FOLDS) == HELD_OUT, F.lit(True))
+    rows = with_text_batches(docs).where(held_out & F.col(lang).isNotNull() & F.col(text).rlike("\\p{L}"))
+    counts = checkpointed(rows.select(_best(docs.sparkSession, model)(F.col(text)).alias("score")).groupBy("score").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n").alias("n")).first().n
+    if not total:
+        return 0.0
+    place = int((total - 1) * (1 - RECALL) + 1e-9)
+    return float(running_total(counts, [F.col("score")], F.col("n"), "upto").where(F.col("upto") > place).agg(F.min("score").alias("least")).first().least)
+
+
+def _best(spark: SparkSession, model: dict[str, np.ndarray]):
+    """The highest mean probability of whole texts to five digits; further ones vary with the texts scored beside."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def best(texts: pd.Series) -> pd.Series:
+        scores: list[float] = []
+        for portion in _portions(texts.tolist()):
+            scores += document_probabilities(shared.value, portion).max(axis=1).astype(np.float64).round(5).tolist()
+        return pd.Series(scores, dtype="float64")
+
+    return best
 
 
 def document_probabilities(model: dict[str, np.ndarray], texts: list[bytes]) -> np.ndarray:
@@ -140,15 +164,7 @@ def identified(docs: DataFrame, labelled: DataFrame, least: float | None = None,
         return docs.limit(0)
     if least is None:
         least = least_score(model, labelled, **columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def best(texts: pd.Series) -> pd.Series:
-        scores: list[float] = []
-        for portion in _portions(texts.tolist()):
-            scores += document_probabilities(shared.value, portion).max(axis=1).tolist()
-        return pd.Series(scores, dtype="float64")
-
+    best = _best(docs.sparkSession, model)
     return docs.where(F.col(text).rlike("\\p{L}")).where(best(F.col(text)) >= least)
 
 

@@ -1,4 +1,7 @@
+import zlib
+
 import numpy as np
+import pytest
 
 from plumbline.llm import gru
 from plumbline.llm.language_id import ROWS_A_LANGUAGE, document_probabilities, identified, identify, labelled_sample, training_windows
@@ -94,3 +97,19 @@ def test_texts_of_no_learnt_language_are_rejected(spark):
     assert len(kept) == len(set(kept)) and identified(frame, frame).columns == frame.columns
     assert len([i for i in kept if i < 1000]) >= 0.99 * 400 and len([i for i in kept if 1000 <= i < 2000]) <= 4 and not [i for i in kept if i >= 2000]
     assert identified(frame.limit(0), frame).count() == identified(frame, frame.limit(0)).count() == 0
+
+
+def test_threshold_counts_every_held_out_row(spark):
+    """More held-out rows of a language than a training sample has: all count, repeated and null ids too."""
+    from plumbline.llm.language_id import HELD_OUT, RECALL, fit, least_score
+
+    words = ["haus", "baum", "wald", "house", "tree", "wood"]
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 2 + i % 9)), "de" if i % 2 else "en") for i in range(3000)]
+    rows += [(None, "zzz qqq", "de")] * 6 + [(5, "12 34", "en"), (6, None, "en"), (7, "tree", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, _ = fit(frame)
+    held = [t for i, t, lang in rows if (i is None or zlib.crc32(str(i).encode()) % 4 == HELD_OUT) and lang and t and any(c.isalpha() for c in t)]
+    assert len(held) > 2 * ROWS_A_LANGUAGE
+    scores = document_probabilities(model, [t.encode() for t in held]).max(axis=1)
+    assert least_score(model, frame) == pytest.approx(np.quantile(scores, 1 - RECALL, method="lower"), abs=2e-5)
+    assert least_score(model, frame.limit(0)) == 0

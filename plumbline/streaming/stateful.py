@@ -14,12 +14,13 @@ from math import isnan
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
 from plumbline.functions.scalars import epoch_ms
+from plumbline.plans.storage import checkpointed
 from plumbline.streaming.sampling import PERIOD_DEFAULT_MS, PERIOD_LEAST_MS, SHARE_DEFAULT, SHARE_MOST
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -72,43 +73,49 @@ def sample_recorded(df: DataFrame, key: str, ts: str, tie: str, period_ms: int =
     slice_ms = max(slice_s * 1000, period)
     marked = df.withColumns({"_at": epoch_ms(F.col(ts)), "_error": F.coalesce(error, F.lit(False)) if error is not None else F.lit(False)})
     marked = marked.withColumn("_slice", F.floor(F.col("_at") / slice_ms))
-    group, columns = [key, "_slice"], df.columns
-    kind = next(f.dataType.simpleString() for f in df.schema.fields if f.name == key)
-
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf["_at"].to_numpy(np.int64))
-        most = int(np.searchsorted(at, at[0] + period)) + 1
-        ends = at[_ends(at, period)]
-        firsts, places = np.unique(at[:most], return_index=True)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "_slice": [int(pdf["_slice"].iloc[0])], "_firsts": [firsts.tolist()], "_lasts": [ends[places].tolist()]})
-
-    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, out = None, []
-        for row in pdf.sort_values("_slice").itertuples(index=False):
-            firsts, lasts = row[2], row[3]
-            out.append(last)
-            i = 0 if last is None else int(np.searchsorted(firsts, last + period))
-            if i < len(firsts):
-                last = int(lasts[i])
-        made = pdf.sort_values("_slice")[[key, "_slice"]].reset_index(drop=True)
-        made["_since"] = pd.array(out, dtype="Int64")
-        return made
-
-    timed = marked.where(F.col("_at").isNotNull())
-    heads = timed.select(*group, "_at").groupBy(*group).applyInPandas(entries, f"`{key}` {kind}, _slice long, _firsts array<long>, _lasts array<long>")
-    since = heads.groupBy(key).applyInPandas(chained, f"`{key}` {kind}, _slice long, _since long")
-
-    def recorded(_: tuple, rows: pd.DataFrame, begin: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_at", tie], kind="stable")
-        at = rows["_at"].to_numpy(np.int64)
-        last = begin["_since"].iloc[0] if len(begin) else None
-        first = 0 if last is None or pd.isna(last) else int(np.searchsorted(at, int(last) + period))
-        keep = rows["_error"].to_numpy(bool).copy()
-        keep[_picked(at, period, first)] = True
-        return rows.loc[keep, columns]
-
-    picked = timed.groupBy(*group).cogroup(since.groupBy(*group)).applyInPandas(recorded, df.schema)
-    return picked.unionByName(marked.where(F.col("_at").isNull() & F.col("_error")).select(*df.columns)) if error is not None else picked
+
+    @F.pandas_udf("firsts array<long>, lasts array<long>")
+    def entries(times: pd.Series) -> pd.DataFrame:
+        firsts, lasts = [], []
+        for at in times:
+            at = np.asarray(at, np.int64)
+            firsts.append(at[: int(np.searchsorted(at, at[0] + period)) + 1])
+            lasts.append(at[_ends(at, period)[: len(firsts[-1])]])
+        return pd.DataFrame({"firsts": firsts, "lasts": lasts})
+
+    @F.pandas_udf("array<long>")
+    def chained(firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        out = []
+        for begins, ends in zip(firsts, lasts, strict=True):
+            last, since = None, []
+            for begin, end in zip(begins, ends, strict=True):
+                since.append(last)
+                i = 0 if last is None else int(np.searchsorted(begin, last + period))
+                if i < len(begin):
+                    last = int(end[i])
+            out.append(since)
+        return pd.Series(out)
+
+    @F.pandas_udf("array<long>")
+    def recorded(times: pd.Series, since: pd.Series) -> pd.Series:
+        out = []
+        for at, last in zip(times, since, strict=True):
+            at = np.asarray(at, np.int64)
+            out.append(at[_picked(at, period, 0 if pd.isna(last) else int(np.searchsorted(at, int(last) + period)))])
+        return pd.Series(out)
+
+    timed = marked.where(F.col("_at").isNotNull()).select(F.col(key).alias("_key"), "_slice", "_at")
+    slices = timed.groupBy("_key", "_slice").agg(F.sort_array(F.collect_set("_at")).alias("_times"))
+    slices = checkpointed(slices.withColumn("_heads", entries("_times")))
+    line = slices.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_slice", "_heads.firsts", "_heads.lasts"))).alias("_line"))
+    since = line.select(F.col("_key").alias("_of"), F.explode(F.arrays_zip(F.col("_line._slice").alias("at"), chained("_line.firsts", "_line.lasts").alias("since"))).alias("_s"))
+    known = slices.join(since, slices["_key"].eqNullSafe(since["_of"]) & (slices["_slice"] == F.col("_s.at")))
+    picked = known.select("_key", F.explode(recorded("_times", F.col("_s.since"))).alias("_picked"))
+    # of messages at one time the first by the tie
+    place = F.row_number().over(Window.partitionBy(key, "_at").orderBy(F.col(tie).asc_nulls_last()))
+    rows = marked.withColumn("_place", place)
+    found = rows.join(picked, rows[key].eqNullSafe(picked["_key"]) & (rows["_at"] == picked["_picked"]), "left")
+    return found.where((F.col("_picked").isNotNull() & (F.col("_place") == 1)) | F.col("_error")).select(*df.columns)
 
 
 # streams in order of event time -------------------------------------------

@@ -44,3 +44,14 @@ def test_times_before_1970(spark, tmp_path):
     rows = [(i, datetime(1970, 1, 1) + timedelta(hours=-i // 9, microseconds=(-500, -400, -600, 0, -1)[i % 5]), 1, "view", 1.0, "{}") for i in range(90)]
     got, want = compared(spark, tmp_path, "date_histogram_zero_fill", {"events": spark.createDataFrame(rows, EVENTS)})
     assert got == want
+
+
+def test_recorded_samples_of_odd_events(spark, tmp_path):
+    """Repeated ids and rows, times within a millisecond, rows without a user, an id, a time or a type."""
+    rows = fine_events()
+    rows += rows[:40] + [(i, at, 7, kind, v, p) for i, at, _, kind, v, p in rows[40:80]]
+    rows += [(1000 + i, at, None, kind, v, p) for i, (_, at, _, kind, v, p) in enumerate(rows[:30])]
+    rows += [(None, at + timedelta(hours=300), u, kind, v, p) for _, at, u, kind, v, p in rows[:30]]
+    rows += [(2000, None, 1, "view", 1.0, "{}"), (2001, None, 1, "error", 1.0, "{}"), (2002, datetime(2024, 3, 1), 1, None, 1.0, "{}")]
+    got, want = compared(spark, tmp_path, "sampling_recorded", {"events": spark.createDataFrame(rows, EVENTS)})
+    assert got == want

@@ -8,6 +8,9 @@ has the edges of the boundary in its row of cells, by fine rows if they are many
 Points meet the cover by an equi-join on their coarse cell, and only in a cell
 with edges are they tested, against the edges of the row: a ray crosses no
 others. No point is compared with a boundary that is not near, and none is repeated.
+Boundaries with equal rings are tested as one, and with a cover that is not small
+points at one place as one, so that tests grow with different places and shapes;
+only the names in the result grow with points times boundaries that hold them.
 
 Coordinates are degrees on a plane: shapes do not reach over the antimeridian.
 A point on a border is inside if it lies at the lower or left one.
@@ -27,7 +30,7 @@ from plumbline.plans.storage import checkpointed, small_or_shuffled
 
 #: Fine rows of a coarse cell, and the edges that a coarse row of a boundary may have before it is split into them.
 FINE, FEW_EDGES = 16, 24
-#: Names and edges of a cover that is broadcast; points of a cell that meet its boundaries in one task.
+#: Names and edges of a cover that is broadcast; places of a cell, or points at a place, that meet its boundaries in one task.
 BROADCAST_EDGES, PART_POINTS = 50_000, 20_000
 SCHEMA = "boundary string, rings array<array<struct<x:double,y:double>>>, circle struct<x:double,y:double,r:double>"
 METRES_A_DEGREE = 111_195.0
@@ -76,6 +79,12 @@ def boundary_table(spark: SparkSession, text: str, kind: str) -> DataFrame:
     return spark.createDataFrame(parse_boundaries(text, kind), SCHEMA)
 
 
+def _alike(shapes: DataFrame) -> DataFrame:
+    """boundary, rings, names: polygons with equal rings once, by the first of their names. Rows of one name are one polygon."""
+    whole = shapes.where("rings is not null and boundary is not null").groupBy("boundary").agg(F.flatten(F.sort_array(F.collect_list("rings"))).alias("rings"))
+    return whole.groupBy("rings").agg(F.collect_list("boundary").alias("names")).select(F.array_min("names").alias("boundary"), "rings", "names")
+
+
 def _edges(shapes: DataFrame) -> DataFrame:
     """boundary, x1, y1, x2, y2: a ring's edges, the one that closes it included."""
     ring = shapes.where("rings is not null").select("boundary", F.explode("rings").alias("ring")).where(F.size("ring") > 2)
@@ -131,11 +140,13 @@ def cover(shapes: DataFrame, cell: float) -> DataFrame:
     """cx, cy, inside, tested, circles: the boundaries of each covered coarse cell of ``cell`` degrees.
 
     ``inside`` names those that hold the whole cell; ``tested`` has structs of
-    boundary and edges (one list, or one for each fine row), ``circles`` of
-    boundary and circle. A boundary takes part once in each of its coarse rows,
-    so that the cover grows with the cells on borders, not with areas in fine cells.
+    the names of boundaries with equal rings and their edges (one list, or one for
+    each fine row), ``circles`` of boundary and circle. A boundary takes part once
+    in each of its coarse rows, so that the cover grows with the cells on borders,
+    not with areas in fine cells.
     """
-    rows = _row_edges(_edges(shapes).where("boundary is not null"), cell)
+    alike = checkpointed(_alike(shapes))
+    rows = _row_edges(_edges(alike), cell)
     edge = F.struct("x1", "y1", "x2", "y2")
     made = rows.groupBy("boundary", "row").agg(
         F.flatten(F.collect_set(F.sequence("first", "last"))).alias("border"),
@@ -147,17 +158,18 @@ def cover(shapes: DataFrame, cell: float) -> DataFrame:
     within = F.flatten(F.transform(F.filter(gaps, lambda g: g["a"] <= g["b"]), lambda g: F.sequence(g["a"], g["b"])))
     empty = F.array().cast("array<bigint>")
     made = made.select("boundary", "row", F.array_distinct("border").alias("border"), _by_fine_row(F.col("edges"), F.col("row"), cell).alias("edges"), F.when(F.size("at") > 1, within).otherwise(empty).alias("within"))
-    border = made.select(F.col("row").alias("cy"), F.explode("border").alias("cx"), F.lit(None).cast("string").alias("inside"), F.struct("boundary", "edges").alias("tested"))
-    inside = made.select(F.col("row").alias("cy"), F.explode(F.array_except("within", "border")).alias("cx"), F.col("boundary").alias("inside"), F.lit(None).alias("tested"))
+    made = made.join(alike.select("boundary", "names").hint("merge"), "boundary")
+    border = made.select(F.col("row").alias("cy"), F.explode("border").alias("cx"), F.lit(None).cast("array<string>").alias("inside"), F.struct("names", "edges").alias("tested"))
+    inside = made.select(F.col("row").alias("cy"), F.explode(F.array_except("within", "border")).alias("cx"), F.col("names").alias("inside"), F.lit(None).alias("tested"))
     polygons = border.unionByName(inside).withColumn("circle", F.lit(None).cast("struct<boundary:string,circle:struct<x:double,y:double,r:double>>"))
     high = F.col("circle.r") / METRES_A_DEGREE * 1.001
     furthest = F.least(F.lit(89.9), F.abs("circle.y") + high)
     wide = F.least(F.lit(360.0), high / F.cos(F.radians(furthest)))
     spans = [F.sequence(_cell(F.col(f"circle.{c}") - by, cell), _cell(F.col(f"circle.{c}") + by, cell)) for c, by in (("x", wide), ("y", high))]
     circles = shapes.where("circle is not null").select("boundary", "circle", F.explode(spans[0]).alias("cx"), spans[1].alias("rows")).select("boundary", "circle", "cx", F.explode("rows").alias("cy"))
-    circles = circles.select("cy", "cx", F.lit(None).cast("string").alias("inside"), F.lit(None).alias("tested"), F.struct("boundary", "circle").alias("circle"))
+    circles = circles.select("cy", "cx", F.lit(None).cast("array<string>").alias("inside"), F.lit(None).alias("tested"), F.struct("boundary", "circle").alias("circle"))
     # collect_list leaves nulls out
-    return polygons.unionByName(circles).groupBy("cx", "cy").agg(F.collect_list("inside").alias("inside"), F.collect_list("tested").alias("tested"), F.collect_list("circle").alias("circles"))
+    return polygons.unionByName(circles).groupBy("cx", "cy").agg(F.flatten(F.collect_list("inside")).alias("inside"), F.collect_list("tested").alias("tested"), F.collect_list("circle").alias("circles"))
 
 
 def _odd(edges: Column, x: Column, y: Column) -> Column:
@@ -170,36 +182,53 @@ def _odd(edges: Column, x: Column, y: Column) -> Column:
     return F.aggregate(edges, F.lit(0), crossed) % 2 == 1
 
 
-def with_boundaries(points: DataFrame, shapes: DataFrame, lon: str, lat: str, cell: float = 1.0, name: str = "boundaries") -> DataFrame:
+def _dealt_join(rows: DataFrame, table: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """Rows with the columns of their key's one row in ``table``, if any, joined by sorting.
+
+    ``counts`` has each key's rows as ``_n``; those of a key with more than
+    ``PART_POINTS`` are dealt to as many tasks as it takes.
+    """
+    crowded = checkpointed(counts.select(*keys, F.ceil(F.col("_n") / PART_POINTS).cast("int").alias("_parts")).where("_parts > 1"))
+    crowded = small_or_shuffled(crowded, crowded.count())
+    parts = F.coalesce("_parts", F.lit(1))
+    simple = [c for c, t in rows.dtypes if not t.startswith("map")]
+    rows = rows.join(crowded, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*simple), parts).cast("int")).drop("_parts")
+    table = table.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return rows.join(table.hint("merge"), [*keys, "_part"], "left").drop("_part")
+
+
+def with_boundaries(points: DataFrame, shapes: DataFrame, lon: str, lat: str, cell: float = 1.0, name: str = "boundaries", joined: str | None = None) -> DataFrame:
     """Add the sorted names of the boundaries that hold each point; none for a point without a place.
 
     One row a point throughout. ``cell`` is the side of a coarse cell in degrees,
-    about that of a usual boundary. A cover of at most ``BROADCAST_EDGES`` names
-    and edges, counted, is broadcast; a larger one is joined by sorting, and the
-    points of a cell with more than ``PART_POINTS`` are dealt to as many tasks
-    as it takes.
+    about that of a usual boundary. With ``joined`` the names are one text,
+    separated by it, else an array. A cover of at most ``BROADCAST_EDGES`` names
+    and edges, counted, is broadcast. With a larger one each place is tested
+    once, by a join with the cover by sorting, and its points then get the names
+    of their place by another; the places of a cell, or the points of a place,
+    that are more than ``PART_POINTS`` are dealt to as many tasks as it takes.
     """
     cells = checkpointed(cover(shapes, cell))
-    entries = F.size("inside") + F.size("circles") + F.aggregate("tested", F.lit(0), lambda n, one: n + 1 + F.size(F.flatten(one["edges"])))
+    entries = F.size("inside") + F.size("circles") + F.aggregate("tested", F.lit(0), lambda n, one: n + F.size(one["names"]) + F.size(F.flatten(one["edges"])))
     small = (cells.agg(F.sum(entries.cast("long")).alias("n")).first().n or 0) <= BROADCAST_EDGES
-    x, y = F.col(lon).cast("double"), F.col(lat).cast("double")
-    found = points.withColumns({"_x": _cell(F.col(lon), cell), "_y": _cell(F.col(lat), cell), "_fine": _fine_place(F.col(lat), cell)})
     cells = cells.select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), "inside", "tested", "circles")
-    keys = ["_x", "_y"]
-    if small:
-        found = found.join(F.broadcast(cells), keys, "left")
-    else:
-        crowded = checkpointed(found.groupBy(*keys).agg(F.ceil(F.count("*") / PART_POINTS).cast("int").alias("_parts")).where("_parts > 1 and _x is not null and _y is not null"))
-        crowded = small_or_shuffled(crowded, crowded.count())
-        parts = F.coalesce("_parts", F.lit(1))
-        simple = [c for c, t in points.dtypes if not t.startswith("map")]
-        found = found.join(crowded, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*simple), parts).cast("int")).drop("_parts")
-        cells = cells.join(crowded, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-        found = found.join(cells.hint("merge"), [*keys, "_part"], "left")
+    x, y = F.col("_lon"), F.col("_lat")
     tested = F.filter("tested", lambda one: _odd(F.element_at(one["edges"], F.when(F.size(one["edges"]) > 1, F.col("_fine") + 1).otherwise(1)), x, y))
     near = F.filter("circles", lambda one: haversine_km(y, x, one["circle"]["y"], one["circle"]["x"]) * 1000 <= one["circle"]["r"])
-    held = F.concat("inside", F.transform(tested, lambda one: one["boundary"]), F.transform(near, lambda one: one["boundary"]))
-    return found.select(*points.columns, F.sort_array(F.array_distinct(F.coalesce(held, F.array().cast("array<string>")))).alias(name))
+    held = F.concat("inside", F.flatten(F.transform(tested, lambda one: one["names"])), F.transform(near, lambda one: one["boundary"]))
+    names = F.sort_array(F.array_distinct(held))
+    none = F.array().cast("array<string>") if joined is None else F.lit("")
+    names = names if joined is None else F.array_join(names, joined)
+    found = points.withColumns({"_lon": F.col(lon).cast("double"), "_lat": F.col(lat).cast("double")})
+    at = {"_x": _cell(x, cell), "_y": _cell(y, cell), "_fine": _fine_place(y, cell)}
+    if small:
+        found = found.withColumns(at).join(F.broadcast(cells), ["_x", "_y"], "left").withColumn("_names", names)
+    else:
+        places = checkpointed(found.where("_lon is not null and _lat is not null").groupBy("_lon", "_lat").agg(F.count("*").alias("_n")))
+        near_cell = places.drop("_n").withColumns(at)
+        placed = _dealt_join(near_cell, cells, ["_x", "_y"], near_cell.groupBy("_x", "_y").agg(F.count("*").alias("_n")))
+        found = _dealt_join(found, placed.select("_lon", "_lat", names.alias("_names")), ["_lon", "_lat"], places)
+    return found.select(*points.columns, F.coalesce("_names", none).alias(name))
 
 
 def series_by_boundary(points: DataFrame, shapes: DataFrame, lon: str, lat: str, ts: str, width_ms: int, cell: float = 1.0, remainder: str = "remainder", aggs: list[Any] | None = None) -> DataFrame:

@@ -101,6 +101,38 @@ def test_cover_grows_with_borders(spark):
     assert cells.agg(F.sum(entries)).first()[0] <= 20 * 7 * 7
 
 
+def test_equal_rings_and_places_are_tested_once(spark, monkeypatch):
+    """Boundaries with equal rings stand in the cover as one, points at one place meet it as one; every point has all names."""
+    rng = np.random.default_rng(5)
+    kinds = [(n, r) for n, r in polygons(rng) if n in ("p0", "p1", "p2", "box", "all", "bow")]
+    shapes = [(f"{n}-{k}", r, None) for n, r in kinds for k in range(9)]
+    # rows of one name are one boundary: the second lies in a hole's place, the third takes it away again
+    shapes += [("two", kinds[0][1], None), ("two", [[(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)]], None), ("twice", kinds[1][1], None), ("twice", kinds[1][1], None), (None, kinds[0][1], None), ("round", None, (1.0, 1.0, 90_000.0))]
+    table = spark.createDataFrame(shapes, B.SCHEMA)
+    first = spark.createDataFrame([x for x in shapes if x[0] is None or "-" not in x[0] or x[0].endswith("-0")], B.SCHEMA)
+    tested = [B.cover(t, 2.0).agg(F.sum(F.size("tested"))).first()[0] for t in (table, first)]
+    assert tested[0] == tested[1]
+
+    spots = [(float(x), float(y)) for x, y in rng.uniform(-20, 20, (60, 2))] + [(0.0, 0.0), (-0.0, 0.0), (0.5, 0.25), (None, 1.0)]
+    rows = [(i, *spots[i % len(spots)], "mine") for i in range(9 * len(spots))]
+    monkeypatch.setattr(B, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(B, "PART_POINTS", 4)
+    met, dealt = [], B._dealt_join
+    monkeypatch.setattr(B, "_dealt_join", lambda rows, table, keys, counts: (met.append(rows.count()), dealt(rows, table, keys, counts))[1])
+    found = B.with_boundaries(spark.createDataFrame(rows, POINTS), table, "lon", "lat", 2.0)
+    out, text = found.collect(), B.with_boundaries(spark.createDataFrame(rows, POINTS), table, "lon", "lat", 2.0, joined=",").collect()
+    assert met[0] <= len(spots) and len(out) == len(text) == len(rows)
+    whole: dict = {}
+    for n, r, _ in shapes:
+        if n is not None and r is not None:
+            whole[n] = [*whole.get(n, []), *r]
+    for r in out:
+        want = [n for n, rings in whole.items() if r.lon is not None and inside(rings, r.lon, r.lat)]
+        want += ["round"] if r.lon is not None and 111.195 * ((r.lon - 1) ** 2 + (r.lat - 1) ** 2) ** 0.5 <= 90 else []
+        assert r.boundaries == sorted(want), r
+    assert {r.id: r.boundaries for r in text} == {r.id: ",".join(r.boundaries) for r in out}
+
+
 # intervals
 
 

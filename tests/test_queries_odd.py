@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from plumbline import more_queries  # noqa: F401  registers its queries
+from plumbline.operators import boundaries
 from plumbline.queries import QUERIES, SQL
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -55,3 +56,14 @@ def test_recorded_samples_of_odd_events(spark, tmp_path):
     rows += [(2000, None, 1, "view", 1.0, "{}"), (2001, None, 1, "error", 1.0, "{}"), (2002, datetime(2024, 3, 1), 1, None, 1.0, "{}")]
     got, want = compared(spark, tmp_path, "sampling_recorded", {"events": spark.createDataFrame(rows, EVENTS)})
     assert got == want
+
+
+def test_points_and_polygons_that_repeat(spark, tmp_path, monkeypatch):
+    """Places and polygons recur with the keys; a supplier twice or three times, keys that are null, with and without a broadcast cover."""
+    customers = [(i * 7 + 61_200 * k,) for i in range(150) for k in range(3)] + [(None,)]
+    suppliers = [(i + 15_300 * k,) for i in range(90) for k in range(4)] + [(3,), (4,), (4,), (None,)]
+    tables = {"customer": spark.createDataFrame(customers, "c_custkey long"), "supplier": spark.createDataFrame(suppliers, "s_suppkey long")}
+    for bound in (0, 10**9):
+        monkeypatch.setattr(boundaries, "BROADCAST_EDGES", bound)
+        got, want = compared(spark, tmp_path, "points_in_polygons", tables)
+        assert got == want and sum(len(names) > 0 for _, names in want) > 50
